@@ -31,8 +31,23 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinegrid.llm.contamination import build_index, contaminated, search
+
+    docs = table(spark, sf_dir, "documents")
+    found = search(build_index(docs), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("key").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 def queries() -> dict:
-    return {"op7_url_filters": op7_url_filters, "op8_sharding": op8_sharding}
+    return {"op7_url_filters": op7_url_filters, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict:
