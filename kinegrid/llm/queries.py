@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import table
+from kinegrid.llm.common import cut_lineage, table
 
 SHARDS = 24
 #: Fixed values of the contract: the judged rules.
@@ -18,6 +18,24 @@ URL_RULES = (
 )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinegrid.llm.rules import quality_votes
+
+    judged = quality_votes(table(spark, sf_dir, "documents"), settle=cut_lineage)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good")
+    )
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinegrid.llm.ranking import THRESHOLD, held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"), train_only=lambda k: ~held_out(k))
+    scored = score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinegrid.llm.urls import judge_urls
 
@@ -47,7 +65,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_url_filters": op7_url_filters, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
+    return {"op2_quality_rules": op2_quality_rules, "op10_quality_classifier": op10_quality_classifier, "op7_url_filters": op7_url_filters, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict:
