@@ -18,6 +18,13 @@ URL_RULES = (
 )
 
 
+def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinegrid.llm.neardup import near_duplicates
+
+    classed, _ = near_duplicates(table(spark, sf_dir, "documents"))
+    return classed.select("doc_id", "class_id", "class_size")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinegrid.llm.rules import quality_votes
 
@@ -81,7 +88,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": op2_quality_rules, "op3_chat_formatting": op3_chat_formatting, "op4_html_extraction": op4_html_extraction, "op10_quality_classifier": op10_quality_classifier, "op7_url_filters": op7_url_filters, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
+    return {"op1_minhash_neardup": op1_minhash_neardup, "op2_quality_rules": op2_quality_rules, "op3_chat_formatting": op3_chat_formatting, "op4_html_extraction": op4_html_extraction, "op10_quality_classifier": op10_quality_classifier, "op7_url_filters": op7_url_filters, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict:
