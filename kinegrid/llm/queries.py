@@ -50,6 +50,23 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinegrid.llm.segment import NBEST, Vocabulary, decode, encode
+
+    vocabulary = Vocabulary.load()
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = decode(encode(docs, vocabulary, nbest=NBEST), vocabulary)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.round("score", 6).alias("score"),
+        F.transform("nbest", lambda x: F.round(x["score"], 6)).alias("nbest_scores"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinegrid.llm.ranking import THRESHOLD, held_out, score, train
 
@@ -88,7 +105,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_minhash_neardup": op1_minhash_neardup, "op2_quality_rules": op2_quality_rules, "op3_chat_formatting": op3_chat_formatting, "op4_html_extraction": op4_html_extraction, "op10_quality_classifier": op10_quality_classifier, "op7_url_filters": op7_url_filters, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
+    return {"op1_minhash_neardup": op1_minhash_neardup, "op2_quality_rules": op2_quality_rules, "op3_chat_formatting": op3_chat_formatting, "op4_html_extraction": op4_html_extraction, "op6_sentencepiece": op6_sentencepiece, "op10_quality_classifier": op10_quality_classifier, "op7_url_filters": op7_url_filters, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict:
