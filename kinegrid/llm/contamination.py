@@ -240,3 +240,16 @@ def _united(passes: list[DataFrame]) -> DataFrame:
 def contaminated(n_hit, n_words):
     """The contract's rule: a twentieth of the words or more are hit."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def decontaminate(docs: DataFrame, tests: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns.
+
+    A contaminated key is a few bytes; rows that repeat a key are told apart by the hash of their text.
+    """
+    mark = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+    both = docs.select(F.concat_ws(" ", mark, F.col(key).cast("string")).alias("_k"), F.col(text).alias("_t"))
+    found = search(build_index(both, key="_k", text="_t"), tests, item=item, text=item_text)
+    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias("_k")).distinct()
+    marked = docs.withColumn("_k", F.concat_ws(" ", mark, F.col(key).cast("string")))
+    return marked.join(bad, "_k", "left_anti").drop("_k")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import cut_lineage, table
+from kinegrid.llm.common import cut_lineage, residue, table
 
 SHARDS = 24
 #: Fixed values of the contract: the judged rules.
@@ -50,6 +50,13 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinegrid.llm.mixing import language_model_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_model_scores(docs, learnt=lambda k: residue(k, 7) != 2, tuning=lambda k: residue(k, 7) == 3)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinegrid.llm.segment import NBEST, Vocabulary, decode, encode
 
@@ -104,8 +111,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+QUERIES = (
+    op1_minhash_neardup,
+    op2_quality_rules,
+    op3_chat_formatting,
+    op4_html_extraction,
+    op5_lm_scoring,
+    op6_sentencepiece,
+    op7_url_filters,
+    op8_sharding,
+    op9_decontamination,
+    op10_quality_classifier,
+)
+
+
 def queries() -> dict:
-    return {"op1_minhash_neardup": op1_minhash_neardup, "op2_quality_rules": op2_quality_rules, "op3_chat_formatting": op3_chat_formatting, "op4_html_extraction": op4_html_extraction, "op6_sentencepiece": op6_sentencepiece, "op10_quality_classifier": op10_quality_classifier, "op7_url_filters": op7_url_filters, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict:
