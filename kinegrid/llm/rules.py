@@ -192,6 +192,7 @@ def keep_good(docs: DataFrame, *, text: str = "text", rules: list[Rule] | None =
     """The documents that quality_votes keeps, with all their columns and nothing else; the texts are read twice."""
     rules = rules or standard_rules()
     counts = measured(docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_t")), "_t")
-    votes = voted(counts.select("_row", "_m.*"), rules)
+    # behind a generator: else the filter below is pushed down with a copy of all counts for each use
+    votes = voted(counts.select("_row", F.explode(F.array("_m")).alias("_m")).select("_row", "_m.*"), rules)
     fit = fit_votes(votes, rules)
     return votes.where(~F.col("base_failed") & (fit.posterior() >= 0.5)).select("_row.*")
