@@ -37,6 +37,7 @@ MARK = "▁"
 SPACE = 0x20
 NBEST = 4
 SLICE_BYTES = 4 << 20
+BLOCK_CHUNKS = 1 << 14
 DECODE_ROWS = 1000
 NORMAL, BYTE, HIDDEN = 0, 1, 2
 PATCH = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("drop", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -82,14 +83,26 @@ class Vocabulary:
             self._trie = _Trie(self)
         return self._trie
 
+    def spellings(self) -> _Trie:
+        """What decoding needs, without states."""
+        if getattr(self, "_spellings", None) is None:
+            self._spellings = getattr(self, "_trie", None) or _Trie(self, states=False)
+        return self._spellings
+
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_trie"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_trie", "_spellings")}
 
 
 class _Trie:
     """States and their followers by byte, and what decoding needs."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, states: bool = True):
+        shown = [p if k != HIDDEN else b"" for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
+        self.size = np.array([len(p) for p in shown])
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(shown), np.uint8)
+        if not states:
+            return
         next_state: dict[int, int] = {}
         ends: dict[int, int] = {}
         for i, (piece, kind) in enumerate(zip(vocabulary.pieces, vocabulary.kinds, strict=True)):
@@ -116,10 +129,6 @@ class _Trie:
             raise ValueError("a piece has a word start behind another character")
         self.alone = np.zeros(256, bool)  # bytes that no longer piece has
         self.alone[[b for b in range(128) if b not in used and b != SPACE]] = True
-        shown = [p if k != HIDDEN else b"" for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
-        self.size = np.array([len(p) for p in shown])
-        self.start = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(shown), np.uint8)
 
 
 class Lattices:
@@ -158,9 +167,7 @@ class Lattices:
         second = np.full(n, -np.inf)
         np.maximum.at(second, of[~on_best], through[~on_best])
         self.loss = np.maximum(self.best - second, 0.0)
-        self.by_end = np.argsort(self.v, kind="stable")
-        self.end_bounds: np.ndarray | None = None
-        self.known: dict[tuple[int, int], list] = {}
+        self.by_end: np.ndarray | None = None
 
     @staticmethod
     def _edges(trie: _Trie, data: np.ndarray, offsets: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,9 +229,8 @@ class Lattices:
 
     def n_best(self, chunk: int, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The chunk's n best paths by backward A*: a path's rank is its own score plus the forward score where it ends."""
-        if (chunk, n) in self.known:
-            return self.known[chunk, n]
-        if self.end_bounds is None:
+        if self.by_end is None:
+            self.by_end = np.argsort(self.v, kind="stable")
             self.end_bounds = np.searchsorted(self.v[self.by_end], np.arange(len(self.forward) + 1))
         first, last = int(self.first[chunk]), int(self.last[chunk])
         heap = [(-float(self.forward[last]), 0, (), last, 0.0)]
@@ -238,10 +244,35 @@ class Lattices:
                 grown = own + float(self.score[e])
                 start = int(self.u[e])
                 heapq.heappush(heap, (-(grown + float(self.forward[start])), count + 1, (int(self.piece[e]), *path), start, grown))
-        self.known[chunk, n] = found
         return found
 
 
+class Segmented:
+    """Distinct chunks, solved some thousands at a time: only their best pieces, scores and losses stay in memory."""
+
+    def __init__(self, vocabulary: Vocabulary, chunks: pa.Array):
+        self.vocabulary, self.chunks = vocabulary, chunks
+        ids, sizes, best, loss = [], [], [], []
+        for a in range(0, len(chunks), BLOCK_CHUNKS):
+            part = Lattices(vocabulary, chunks.slice(a, BLOCK_CHUNKS))
+            ids.append(part.ids)
+            sizes.append(np.diff(part.bounds))
+            best.append(part.best)
+            loss.append(part.loss)
+        one = lambda found, kind: np.concatenate(found) if found else np.zeros(0, kind)
+        self.ids, self.best, self.loss = one(ids, np.int32), one(best, float), one(loss, float)
+        self.bounds = np.concatenate([[0], np.cumsum(one(sizes, np.int64))])
+        self.known: dict[int, list] = {}
+
+    def search(self, codes: np.ndarray, n: int) -> None:
+        """Finds the n best paths of some chunks, for ``known``."""
+        codes = np.unique(codes)
+        for a in range(0, len(codes), BLOCK_CHUNKS):
+            some = codes[a : a + BLOCK_CHUNKS]
+            lattices = Lattices(self.vocabulary, self.chunks.take(pa.array(some)))
+            self.known.update((int(code), lattices.n_best(i, n)) for i, code in enumerate(some))
+
+
 def _chunked(trie: _Trie, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of each text's chunks, the distinct chunks, and the bounds of texts among the codes. A text starts with one more space."""
     data, offsets = raw(texts)
@@ -264,24 +295,25 @@ def _chunked(trie: _Trie, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.nda
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, bounds
 
 
-def _alternatives(lattices: Lattices, codes: np.ndarray, starts: np.ndarray, best: float, n: int) -> list[dict]:
-    """The n best segmentations of one text, as differences from its best one."""
-    loss = lattices.loss[codes]
-    few = min(n - 1, len(codes))
+def _nearest(loss: np.ndarray, few: int) -> np.ndarray:
+    """Places of the ``few`` smallest losses, earlier ones first among equals."""
+    few = min(few, len(loss))
     if not few:
-        return [{"score": best, "patches": []}]
-    limit = np.partition(loss, few - 1)[few - 1]
-    near = np.flatnonzero(loss <= limit)
-    near = np.sort(near[np.argsort(loss[near], kind="stable")[:few]])
+        return np.zeros(0, np.int64)
+    near = np.flatnonzero(loss <= np.partition(loss, few - 1)[few - 1])
+    return np.sort(near[np.argsort(loss[near], kind="stable")[:few]])
+
+
+def _alternatives(segmented: Segmented, codes: np.ndarray, starts: np.ndarray, near: np.ndarray, best: float, n: int) -> list[dict]:
+    """The n best segmentations of one text, as differences from its best one."""
     choices = []
     for k in near.tolist():
-        paths = lattices.n_best(int(codes[k]), n)
+        paths = segmented.known[int(codes[k])]
         choices.append([(0.0, None), *((paths[0][0] - s, (k, ids)) for s, ids in paths[1:])])
     picks = ((sum(c[0] for c in pick), i, pick) for i, pick in enumerate(itertools.product(*choices)))
-    picked = heapq.nsmallest(n, picks, key=lambda x: x[:2])
     out = []
-    for lost, _, pick in picked:
-        patches = [{"at": int(starts[k]), "drop": int(lattices.bounds[codes[k] + 1] - lattices.bounds[codes[k]]), "ids": list(ids)} for _, change in pick if change for k, ids in [change]]
+    for lost, _, pick in heapq.nsmallest(n, picks, key=lambda x: x[:2]):
+        patches = [{"at": int(starts[k]), "drop": int(segmented.bounds[codes[k] + 1] - segmented.bounds[codes[k]]), "ids": list(ids)} for _, change in pick if change for k, ids in [change]]
         out.append({"score": best - lost, "patches": patches})
     return out
 
@@ -289,7 +321,7 @@ def _alternatives(lattices: Lattices, codes: np.ndarray, starts: np.ndarray, bes
 def encode_slice(vocabulary: Vocabulary, texts: pa.Array, nbest: int = 1) -> tuple[pa.Array, np.ndarray, list]:
     """Pieces of each text, the score, and its nbest list."""
     codes, distinct, bounds = _chunked(vocabulary.trie(), texts)
-    lattices = Lattices(vocabulary, distinct)
+    lattices = Segmented(vocabulary, distinct)
     counts = np.diff(lattices.bounds)[codes]
     ends = np.cumsum(counts)
     starts = ends - counts
@@ -299,14 +331,17 @@ def encode_slice(vocabulary: Vocabulary, texts: pa.Array, nbest: int = 1) -> tup
     scores = np.add.reduceat(np.append(lattices.best[codes], 0.0), bounds[:-1]) * (np.diff(bounds) > 0) if len(bounds) > 1 else np.zeros(0)
     nbests = []
     if nbest > 1:
-        for i, (a, b) in enumerate(itertools.pairwise(bounds.tolist())):
-            nbests.append(_alternatives(lattices, codes[a:b], starts[a:b] - total[a], float(scores[i]), nbest))
+        texts_codes = [codes[a:b] for a, b in itertools.pairwise(bounds.tolist())]
+        near = [_nearest(lattices.loss[c], nbest - 1) for c in texts_codes]
+        lattices.search(np.concatenate([c[k] for c, k in zip(texts_codes, near, strict=True)]) if near else codes[:0], nbest)
+        for i, (c, k) in enumerate(zip(texts_codes, near, strict=True)):
+            nbests.append(_alternatives(lattices, c, starts[bounds[i] : bounds[i + 1]] - total[bounds[i]], k, float(scores[i]), nbest))
     return ids, scores, nbests
 
 
 def decode_slice(vocabulary: Vocabulary, ids: pa.Array) -> pa.Array:
     """The texts of lists of pieces."""
-    trie = vocabulary.trie()
+    trie = vocabulary.spellings()
     if isinstance(ids, pa.ChunkedArray):
         ids = ids.combine_chunks()
     lists = ids.offsets.to_numpy() - (ids.offsets[0].as_py() if len(ids.offsets) else 0)
