@@ -7,12 +7,13 @@ component's first one (early termination). The share of equal components of two
 Jaccard similarity, whatever the texts' lengths.
 
 1. Equal texts (by the 128-bit hash of their words) are one node of the graph.
-2. Bands of the signature put nodes into buckets. The least node of a bucket is linked with every other one: as many pairs as members.
+2. Bands of the signature put nodes into buckets. Each node is paired with the least node of all its buckets: one pair per node.
 3. The pairs are verified on their whole texts; verified links make components.
-4. What is left are pairs of one bucket in different components. Buckets with several components are dealt into
-   blocks of ``BLOCK`` nodes; pairs of blocks compare signatures, and pairs whose estimate is not far below the threshold
-   (``SLACK``, five standard deviations) are verified too. So every pair of a bucket is linked, rejected, or already connected.
-5. Components of all links are the classes. A class's id is its least document key.
+4. Buckets with several components are dealt into blocks of ``BLOCK`` nodes; pairs of blocks compare signatures. In up to ``MERGING_ROUNDS``
+   rounds each node's ``PARTNERS`` likeliest partners in other components are verified, which merges a large group of mutual near copies long before its pairs are listed.
+5. Pairs of a bucket that are still in different components, and whose estimate is not far below the threshold (``SLACK``, five
+   standard deviations), are verified where their blocks meet. So every pair of a bucket is linked, rejected, or already connected.
+6. Components of all links are the classes. A class's id is its least document key.
 
 With 32 bands of 6 components a pair with similarity 0.8 shares no bucket with probability 6e-5.
 
@@ -23,11 +24,12 @@ the same key only; repeated rows are copies; a null key is never a class id unle
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from functools import partial
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +44,11 @@ COMPONENTS = BANDS * ROWS
 #: A pair is verified unless its estimate is lower than the threshold by more.
 SLACK = 5 * (0.8 * 0.2 / COMPONENTS) ** 0.5
 BLOCK = 256
+MERGING_ROUNDS = 2
+PARTNERS = 3
 PIECE_BYTES = 4 << 20
 VERIFY_BYTES = 8 << 20
+VERIFY_SHINGLES = 1 << 17
 
 
 def bags(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,11 +139,15 @@ def with_nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def probability_jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Exact similarity of the texts of each row."""
-    n = len(a)
     sides = []
     for texts in (a, b):
         words = Words(texts, NOT_SPACE, lower=True)
         sides.append(bags(*shingles(word_hashes(words), words.first, WORDS)))
+    return bag_similarity(sides, len(a))
+
+
+def bag_similarity(sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Similarity of n pairs of bags. sides: the pair's number, shingle and weight of all entries of the first and of the second bags."""
     owner = np.concatenate([s[0] for s in sides])
     shingle = np.concatenate([s[1] for s in sides])
     weight = np.zeros((len(owner), 2))
@@ -184,32 +193,86 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify_batches(threshold), "a binary, b binary")
 
 
-def _near_pairs(group: pa.Table, lowest: float) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of different components in one pair of blocks (or one block), whose estimate is high enough."""
-    nodes = group["node"].to_pylist()
-    order = np.array(sorted(range(len(nodes)), key=nodes.__getitem__))
-    parts = {c: k for k, c in enumerate(dict.fromkeys(group["component"].to_pylist()))}
-    component = np.array([parts[c] for c in group["component"].to_pylist()])[order]
-    if len(parts) < 2:
-        return
-    signed = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(nodes), -1)[order]
-    side = group["block"].to_numpy()[order]
-    one = group["i"][0].as_py() == group["j"][0].as_py()
-    for x in range(len(nodes) - 1):
-        other = component[x + 1 :] != component[x]
-        if not one:
-            other &= side[x + 1 :] != side[x]
-        at = np.flatnonzero(other) + x + 1
-        for y in at[(signed[at] == signed[x]).mean(axis=1) >= lowest] if len(at) else ():
-            yield nodes[order[x]], nodes[order[y]]
-
-
-def _block_pair_batches(lowest: float):
+class _Block:
+    """The nodes of a pair of blocks (or of one block), sorted, and the estimates of pairs that may be compared here."""
+
+    def __init__(self, group: pa.Table):
+        nodes = group["node"].to_pylist()
+        order = np.array(sorted(range(len(nodes)), key=nodes.__getitem__))
+        self.order, self.nodes = order, [nodes[k] for k in order]
+        parts = {c: k for k, c in enumerate(dict.fromkeys(group["component"].to_pylist()))}
+        self.component = np.array([parts[c] for c in group["component"].to_pylist()])[order]
+        self.parts = len(parts)
+        side = group["block"].to_numpy()[order]
+        self.signed = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(nodes), -1)[order]
+        self.estimate = np.zeros((len(nodes), len(nodes)), np.float32)
+        one = group["i"][0].as_py() == group["j"][0].as_py()
+        for x in range(len(nodes) - 1) if self.parts > 1 else ():
+            other = self.component[x + 1 :] != self.component[x]
+            if not one:
+                other &= side[x + 1 :] != side[x]
+            at = np.flatnonzero(other) + x + 1
+            if len(at):
+                self.estimate[x, at] = (self.signed[at] == self.signed[x]).mean(axis=1)
+
+
+def _near_pairs(group: pa.Table, lowest: float, best: int) -> list[tuple[bytes, bytes, float]]:
+    """Each node's ``best`` likeliest partners in other components, whose estimate is high enough."""
+    block = _Block(group)
+    both = np.maximum(block.estimate, block.estimate.T)
+    chosen = np.zeros(both.shape, bool)
+    np.put_along_axis(chosen, np.argsort(-both, axis=1, kind="stable")[:, :best], True, axis=1)
+    near = (block.estimate >= lowest) & (chosen | chosen.T)
+    return [(block.nodes[x], block.nodes[y], float(block.estimate[x, y])) for x, y in zip(*np.nonzero(near), strict=True)]
+
+
+def _near_links(group: pa.Table, lowest: float, threshold: float) -> list[tuple[bytes, bytes, float]]:
+    """Verified links that connect all components of the group that links of it connect, likeliest pairs first.
+
+    A pair is compared in the first band in which its nodes share a bucket only.
+    """
+    block = _Block(group)
+    x, y = np.nonzero(block.estimate >= lowest)
+    if not len(x):
+        return []
+    bands = block.signed.reshape(len(block.nodes), BANDS, ROWS)
+    first = (bands[x] == bands[y]).all(axis=2).argmax(axis=1)
+    here = first == group["band"][0].as_py()
+    x, y = x[here], y[here]
+    likely = np.argsort(-block.estimate[x, y], kind="stable")
+    x, y = x[likely], y[likely]
+    words = Words(group["text"].combine_chunks().take(pa.array(block.order)), NOT_SPACE, lower=True)
+    owner, shingle, weight = bags(*shingles(word_hashes(words), words.first, WORDS))
+    bounds = np.searchsorted(owner, np.arange(len(block.nodes) + 1))
+    size = np.diff(bounds)
+
+    def side(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ends = np.cumsum(size[of])
+        at = np.repeat(bounds[of] - (ends - size[of]), size[of]) + np.arange(int(ends[-1]))
+        return np.repeat(np.arange(len(of)), size[of]), shingle[at], weight[at]
+
+    found, component = [], block.component.copy()
+    while len(x):
+        cut = max(1, int(np.searchsorted(np.cumsum(size[x] + size[y]), VERIFY_SHINGLES)))
+        part = x[:cut], y[:cut]
+        x, y = x[cut:], y[cut:]
+        for k in np.flatnonzero(bag_similarity([side(part[0]), side(part[1])], len(part[0])) >= threshold - 1e-9):
+            one, two = component[part[0][k]], component[part[1][k]]
+            if one != two:
+                found.append((block.nodes[part[0][k]], block.nodes[part[1][k]], 1.0))
+                component[component == two] = one
+        still = component[x] != component[y]
+        x, y = x[still], y[still]
+    return found
+
+
+def _block_pair_batches(pairs_of: Callable[[pa.Table], list[tuple[bytes, bytes, float]]]):
     """Rows come sorted by (bucket, i, j); a group that a batch ends in goes on in the next one."""
 
     def pairs(groups: list[pa.Table]) -> pa.RecordBatch:
-        found = [p for g in groups for p in _near_pairs(g, lowest)]
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+        found = [p for g in groups for p in pairs_of(g)]
+        a, b, estimate = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(estimate, pa.float64())], names=["a", "b", "estimate"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -233,7 +296,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = cut_lineage(sketches(docs, key, text))
     nodes = rows.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * 2 * ROWS + 1, F.lit(2 * ROWS))))
-    banded = nodes.select("node", F.explode(band).alias("bucket"))
+    banded = nodes.select("node", F.posexplode(band).alias("band", "bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("bucket", "hub")
     members = cut_lineage(banded.join(hubs, "bucket"))  # of buckets with several nodes
 
@@ -241,24 +304,42 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     bodies = with_nodes(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key", "text").select(F.col("_node").alias("node"), "text")
     texts = cut_lineage(bodies.join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
-    stars = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = cut_lineage(verified(stars, texts, threshold))
-    joined = connected_components(links)
-
-    placed = members.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = (
-        placed.join(open_buckets.select("bucket", blocks.alias("blocks")), "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(nodes, "node")
-        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "sketch")
-    )
-    grouped = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    left = grouped.mapInArrow(_block_pair_batches(threshold - SLACK), "a binary, b binary").distinct()
-    more = cut_lineage(verified(left, texts, threshold))
-    classes = joined if more.isEmpty() else connected_components(links.union(more))
+    def dealt(joined: DataFrame) -> DataFrame:
+        """The nodes of buckets with several components, in pairs of blocks."""
+        placed = members.join(joined, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+        open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        return (
+            placed.join(open_buckets.select("bucket", blocks.alias("blocks")), "bucket")
+            .withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .join(nodes, "node")
+            .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "sketch", "band")
+        )
+
+    def paired(rows: DataFrame, pairs_of) -> DataFrame:
+        grouped = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        return grouped.mapInArrow(_block_pair_batches(pairs_of), "a binary, b binary, estimate double").distinct()
+
+    lowest = threshold - SLACK
+    stars = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    tested = cut_lineage(stars)
+    links = cut_lineage(verified(tested, texts, threshold))
+    classes = connected_components(links)
+    for _ in range(MERGING_ROUNDS):
+        each = paired(dealt(classes), partial(_near_pairs, lowest=lowest, best=PARTNERS)).join(tested, ["a", "b"], "left_anti")
+        both = each.select(F.col("a").alias("node"), "a", "b", "estimate").union(each.select(F.col("b").alias("node"), "a", "b", "estimate"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("estimate"), "a", "b"))
+        likeliest = cut_lineage(both.select("a", "b", place.alias("place")).where(F.col("place") <= PARTNERS).select("a", "b").distinct())
+        found = cut_lineage(verified(likeliest, texts, threshold))
+        if found.isEmpty():
+            break
+        tested, links = tested.union(likeliest), links.union(found)
+        classes = connected_components(links)
+    with_texts = dealt(classes).join(texts, "node")
+    more = cut_lineage(paired(with_texts, partial(_near_links, lowest=lowest, threshold=threshold)).select("a", "b"))
+    if not more.isEmpty():
+        classes = connected_components(links.union(more))
 
     placed_rows = rows.select("key", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     totals = placed_rows.groupBy("component").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
