@@ -70,3 +70,8 @@ def lerp_at(values: Column, at: Column) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
+
+
+def packed(value: str, order: str = "k") -> Column:
+    """Aggregate: the group's values as an array, sorted by ``order``."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
