@@ -98,9 +98,9 @@ def q19_velocity_peaks(spark, sf):
     return rounded(geometry.velocity_measures(s, f.withColumn("ang_vel", F.col("y") - 49.5)), "session_id", "idx")
 
 
-@query("WITH " + _MOVES + ", " + _smooth(1.5, "sm") + " SELECT session_id, idx, k, " + _r("x", "y") + " FROM sm")
+@query("WITH " + _MOVES + ", " + _smooth(1.5, "sm") + " SELECT session_id, idx, k, " + _r("x", "y", places=4) + " FROM sm")
 def q20_smoothed_paths(spark, sf):
-    return geometry.smooth(_samples(spark, sf)).select("session_id", "idx", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return geometry.smooth(_samples(spark, sf)).select("session_id", "idx", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def _on_grid(n: int, values: tuple[str, ...], name: str = "gr") -> str:

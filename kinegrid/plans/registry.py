@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("kinematics", "movement")
+MODULES = ("kinematics", "movement", "inference")
 
 
 def _all(name: str) -> dict:
