@@ -10,7 +10,7 @@ Jaccard similarity, whatever the texts' lengths.
 2. Bands of the signature put nodes into buckets. Each node is paired with the least node of all its buckets: one pair per node.
 3. The pairs are verified on their whole texts; verified links make components.
 4. Buckets with several components are dealt into blocks of ``BLOCK`` nodes; pairs of blocks compare signatures. In up to ``MERGING_ROUNDS``
-   rounds each node's ``PARTNERS`` likeliest partners in other components are verified, which merges a large group of mutual near copies long before its pairs are listed.
+   rounds, over the first ``MERGING_BANDS`` bands, each node's ``PARTNERS`` likeliest partners in other components are verified, which merges a large group of mutual near copies long before its pairs are listed.
 5. Pairs of a bucket that are still in different components, and whose estimate is not far below the threshold (``SLACK``, five
    standard deviations), are verified where their blocks meet. So every pair of a bucket is linked, rejected, or already connected.
 6. Components of all links are the classes. A class's id is its least document key.
@@ -44,7 +44,8 @@ COMPONENTS = BANDS * ROWS
 #: A pair is verified unless its estimate is lower than the threshold by more.
 SLACK = 5 * (0.8 * 0.2 / COMPONENTS) ** 0.5
 BLOCK = 256
-MERGING_ROUNDS = 2
+#: Rounds that merge likely partners look at so many bands; the last comparison looks at all.
+MERGING_ROUNDS, MERGING_BANDS = 4, 6
 PARTNERS = 3
 PIECE_BYTES = 4 << 20
 VERIFY_BYTES = 8 << 20
@@ -304,9 +305,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     bodies = with_nodes(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key", "text").select(F.col("_node").alias("node"), "text")
     texts = cut_lineage(bodies.join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
-    def dealt(joined: DataFrame) -> DataFrame:
+    def dealt(joined: DataFrame, bands: int) -> DataFrame:
         """The nodes of buckets with several components, in pairs of blocks."""
-        placed = members.join(joined, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+        placed = members.where(F.col("band") < bands).join(joined, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
         open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         return (
@@ -327,7 +328,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = cut_lineage(verified(tested, texts, threshold))
     classes = connected_components(links)
     for _ in range(MERGING_ROUNDS):
-        each = paired(dealt(classes), partial(_near_pairs, lowest=lowest, best=PARTNERS)).join(tested, ["a", "b"], "left_anti")
+        each = paired(dealt(classes, MERGING_BANDS), partial(_near_pairs, lowest=lowest, best=PARTNERS)).join(tested, ["a", "b"], "left_anti")
         both = each.select(F.col("a").alias("node"), "a", "b", "estimate").union(each.select(F.col("b").alias("node"), "a", "b", "estimate"))
         place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("estimate"), "a", "b"))
         likeliest = cut_lineage(both.select("a", "b", place.alias("place")).where(F.col("place") <= PARTNERS).select("a", "b").distinct())
@@ -336,7 +337,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             break
         tested, links = tested.union(likeliest), links.union(found)
         classes = connected_components(links)
-    with_texts = dealt(classes).join(texts, "node")
+    with_texts = dealt(classes, BANDS).join(texts, "node")
     more = cut_lineage(paired(with_texts, partial(_near_links, lowest=lowest, threshold=threshold)).select("a", "b"))
     if not more.isEmpty():
         classes = connected_components(links.union(more))
