@@ -298,7 +298,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     nodes = rows.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * 2 * ROWS + 1, F.lit(2 * ROWS))))
     banded = nodes.select("node", F.posexplode(band).alias("band", "bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("bucket", "hub")
+    # Buckets of the same nodes (close copies share most bands) compare the same pairs: the one of the first band stands for them.
+    buckets = banded.groupBy("bucket").agg(
+        F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("all"), F.first("band").alias("band")
+    )
+    hubs = buckets.where("hub <> top").groupBy("hub", "top", "m", "all").agg(F.min_by("bucket", F.struct("band", "bucket")).alias("bucket")).select("bucket", "hub")
     members = cut_lineage(banded.join(hubs, "bucket"))  # of buckets with several nodes
 
     involved = members.select("node").distinct()
