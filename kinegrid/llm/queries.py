@@ -129,5 +129,29 @@ def queries() -> dict:
     return {q.__name__: q for q in QUERIES}
 
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3_SQL = r"""WITH t AS (SELECT conv_id, turn, role AS r, text AS x, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '', 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '', 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t') AS et, replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':', '\c'), chr(10), '\n') AS er FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(length(er) + length(et) + 14) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+OP9_SQL = (
+    "WITH d AS (SELECT doc_id, row_number() OVER () AS rid, " + _WORDS.format("text") + " AS w FROM documents), "
+    "i AS (SELECT CAST(item_id AS VARCHAR) AS item, " + _WORDS.format("text") + """ AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item, least(13, len(w)) AS s, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+sz AS (SELECT DISTINCT s FROM iw), dp AS (SELECT rid, w, s, unnest(range(1, len(w) - s + 2)) AS p FROM d, sz WHERE len(w) >= s),
+m AS (SELECT rid, dw.s, p, item FROM (SELECT rid, s, p, array_to_string(w[p:p + s - 1], ' ') AS k FROM dp) dw JOIN iw ON iw.s = dw.s AND iw.k = dw.k),
+h AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, q FROM (SELECT rid, unnest(range(p, p + s)) AS q FROM m)) GROUP BY 1),
+n AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN n USING (rid)"""
+)
+
+
 def oracle_sql() -> dict:
-    return {}
+    """The other queries are no SQL: they fit models, walk graphs or lattices, or order by Spark's hashes. Their tests are brute force."""
+    return {"op3_chat_formatting": OP3_SQL, "op9_decontamination": OP9_SQL}
