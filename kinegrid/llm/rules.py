@@ -181,8 +181,10 @@ def quality_votes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", r
     ``settle`` (such as a checkpoint) holds the small table of counts, so that texts are read once.
     """
     rules = rules or standard_rules()
-    counts = measured(docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")), "_t").select("_k", "_m.*")
-    votes = voted(settle(counts) if settle else counts, rules)
+    counts = measured(docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")), "_t")
+    # without a settled table, a generator keeps the optimizer from copying all counts into each of their uses
+    counts = settle(counts.select("_k", "_m.*")) if settle else counts.select("_k", F.explode(F.array("_m")).alias("_m")).select("_k", "_m.*")
+    votes = voted(counts, rules)
     fit = fit_votes(votes, rules)
     judged = votes.withColumn("p_good", fit.posterior()).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
     return judged.withColumnRenamed("_k", key)

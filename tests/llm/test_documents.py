@@ -127,7 +127,8 @@ def test_shards(spark):
     assert len(got) == 1500 and sizes.max() - sizes.min() <= 1 and sorted(sizes.index) == list(range(7))
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
     share = got.groupby(["shard", "stratum"]).size().unstack(fill_value=0)
-    assert (share.max() - share.min()).max() <= 2  # every shard matches the mixture
+    spread = share.max() - share.min()  # every shard matches the mixture: by one row a stratum, the largest one by what the others leave
+    assert spread.drop("shot").max() <= 1 and spread["shot"] <= share.shape[1]
     want = Counter((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t, _ in rows)
     assert Counter(zip(got["size"], got["text_crc32"])) == want
     again = shards.interleaved_shards(table.repartition(5), 7).toPandas()
