@@ -45,7 +45,7 @@ COMPONENTS = BANDS * ROWS
 SLACK = 5 * (0.8 * 0.2 / COMPONENTS) ** 0.5
 BLOCK = 256
 #: Rounds that merge likely partners look at so many bands; the last comparison looks at all.
-MERGING_ROUNDS, MERGING_BANDS = 4, 6
+MERGING_ROUNDS, MERGING_BANDS = 1, 6
 PARTNERS = 3
 PIECE_BYTES = 4 << 20
 VERIFY_BYTES = 8 << 20
