@@ -180,7 +180,8 @@ def q39b_pca_varimax(spark, sf):
 
 
 def _table(spark, sf):
-    return geometry.build_measure_table(L.trials(spark, sf), L.frames(spark, sf), _axis(spark, sf))
+    """The measure table, kept as its fits read it several times."""
+    return geometry.build_measure_table(L.trials(spark, sf), L.frames(spark, sf), _axis(spark, sf)).persist()
 
 
 @query()
