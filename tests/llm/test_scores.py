@@ -162,3 +162,29 @@ def test_near_duplicate_classes(spark):
     assert got == want
     kept = neardup.drop_near_duplicates(docs(spark, rows))
     assert kept.count() == len(members) and kept.columns == ["doc_id", "text", "score"]
+
+
+def test_contexts_are_counted_exactly():
+    """Contexts never share a count, however many there are, and chunks that are summed are as one chunk."""
+    rng = np.random.default_rng(6)
+    words = sorted({bytes(rng.integers(97, 123, rng.integers(1, 12)).astype(np.uint8)) for _ in range(30_000)})
+    n0, n1 = rng.integers(0, 4, len(words)), rng.integers(0, 3, len(words))
+    spelled = mixing.Spelled(pa.array(words, pa.binary()))
+    exact = set()
+    for w in words:
+        for i, symbol in enumerate(w + b" "):
+            exact |= {(w[:i], int(n)) for n in mixing.CODE.node[symbol, : mixing.CODE.size[symbol]]}
+    assert len(np.unique(spelled.slots[-1])) == len(exact)
+    halves, told = [0, len(words) // 3, len(words)], {}
+    parts = [mixing.Spelled(pa.array(words[a:b], pa.binary())) for a, b in zip(halves[:-1], halves[1:])]
+    for i, (a, b) in enumerate(zip(halves[:-1], halves[1:])):
+        for block, data in mixing.asked_blocks(parts[i], n0[a:b], n1[a:b]):
+            told.setdefault(block, []).append((i, data))
+    back = [[], []]
+    for block in sorted(told):
+        for (i, _), data in zip(told[block], mixing.answered([d for _, d in told[block]])):
+            back[i].append(data)
+    first, both = mixing.context_counts(spelled, n0), mixing.context_counts(spelled, n0 + n1)
+    want = np.stack([*mixing.finished_tables(*first), *mixing.finished_tables(*both)])
+    for part, data in zip(parts, back):
+        assert (mixing.predictions(data) == want[:, np.searchsorted(spelled.keys, part.keys)]).all()
