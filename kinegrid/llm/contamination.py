@@ -114,10 +114,14 @@ def _near(lists: list[np.ndarray], slop: int) -> np.ndarray:
     rarest = min(range(len(lists)), key=lambda k: len(lists[k]))
     reach = len(lists) + slop
     first = lists[0]
-    after = np.searchsorted(lists[rarest], first)  # a start is of use only with the rarest term in its reach
-    first = first[(after < len(lists[rarest])) & (lists[rarest][np.minimum(after, len(lists[rarest]) - 1)] < first + reach)]
+    until = np.searchsorted(first, lists[rarest], "right")  # a start is of use only with the rarest term in its reach
+    since = np.maximum(np.searchsorted(first, lists[rarest] - reach, "right"), np.append(0, until[:-1]))
+    many = np.maximum(until - since, 0)
+    first = first[np.arange(many.sum()) + np.repeat(since - (np.cumsum(many) - many), many)]
     last = first
     for k in range(1, len(lists)):
+        if not len(first):
+            break
         at = np.searchsorted(lists[k], last, "right")
         ok = at < len(lists[k])
         first, last = first[ok], lists[k][at[ok]]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinegrid.llm.common import cut_lineage, residue, table
 
 SHARDS = 24
+#: Words that may stand between those of a benchmark window in a proximity match.
+SLOP = 3
 #: Fixed values of the contract: the judged rules.
 URL_RULES = (
     ("allow", "com", "/"),
@@ -96,11 +98,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _contamination(spark: SparkSession, sf_dir: str, slop: int, *more: Column) -> DataFrame:
     from kinegrid.llm.contamination import build_index, contaminated, search
 
     docs = table(spark, sf_dir, "documents")
-    found = search(build_index(docs), table(spark, sf_dir, "benchmark"))
+    found = search(build_index(docs), table(spark, sf_dir, "benchmark"), slop=slop)
     return found.select(
         F.col("key").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         "n_words",
@@ -108,9 +110,19 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        *more,
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contamination(spark, sf_dir, 0)
+
+
+def op9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op9, and the items with a window whose words stand in order within SLOP more words (exact matches are among them)."""
+    return _contamination(spark, sf_dir, SLOP, F.size("near").cast("long").alias("n_near"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"))
+
+
 QUERIES = (
     op1_minhash_neardup,
     op2_quality_rules,
@@ -121,6 +133,7 @@ QUERIES = (
     op7_url_filters,
     op8_sharding,
     op9_decontamination,
+    op9_proximity,
     op10_quality_classifier,
 )
 

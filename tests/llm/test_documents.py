@@ -167,6 +167,40 @@ def test_contamination_brute_force(spark):
     assert {str(r["doc_id"]) for r in kept.collect()} == {str(k) for k, _ in rows} - bad and kept.columns == ["doc_id", "text", "items"]
 
 
+def test_proximity_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(9)]
+    tests = [(str(i), " ".join(rng.choice(words, n))) for i, n in enumerate([16, 14, 4, 6, 1])]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(25)]
+    for i in range(0, 25, 4):
+        inner = tests[i % 2][1].split()
+        for at in (10, 6, 3, 2)[: 1 + i // 4]:
+            inner.insert(at, "extra")
+        texts[i] = " ".join([*texts[i].split()[:10], *inner, *texts[i].split()[:5]])
+    rows = [*enumerate(texts), (30, None), (31, tests[1][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(tests, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def holds(own, q, reach):  # q's words in order from own[0] on, within its first ``reach`` words
+        rest = iter(own[:reach])
+        return own[0] == q[0] and all(w in rest for w in q)
+
+    want = {}
+    for k, t in rows:
+        own, found = (t or "").split(), set()
+        for item, body in tests:
+            q = body.split()
+            n = min(13, len(q))
+            if any(holds(own[i:], q[j : j + n], n + queries.SLOP) for j in range(len(q) - n + 1) for i in range(len(own))):
+                found.add(item)
+        want[k] = (len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
+    got = queries.queries()["op9_proximity"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_near"], r["near_sha256"]) for r in got} == want
+    assert any(r["n_near"] > r["n_items"] for r in got) and all(r["n_near"] >= r["n_items"] for r in got)
+    exact = {tuple(r) for r in queries.queries()["op9_decontamination"](spark, str(tmp_path)).collect()}
+    assert {tuple(r)[:6] for r in got} == exact
+
+
 def test_ranking_separates_junk(spark):
     rng = np.random.default_rng(5)
     rows, labels = [], []
