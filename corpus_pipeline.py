@@ -13,7 +13,7 @@ from kinegrid.llm.contamination import decontaminate
 from kinegrid.llm.neardup import drop_near_duplicates
 from kinegrid.llm.ranking import THRESHOLD, held_out, score, train
 from kinegrid.llm.rules import keep_good
-from kinegrid.llm.segment import Vocabulary, encode
+from kinegrid.llm.segment import NBEST, Vocabulary, decode, encode
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the pieces of their best segmentation (ids) and its score."""
-    return encode(docs, Vocabulary.load(), nbest=1)
+    """The documents with the pieces of their best segmentation (ids), its score, the N best, and whether the pieces read back to the text."""
+    vocabulary = Vocabulary.load()
+    back = decode(encode(docs, vocabulary, nbest=NBEST), vocabulary, into="_decoded")
+    return back.withColumn("round_trip", F.col("_decoded") == F.coalesce("text", F.lit(""))).drop("_decoded")
 
 
 STAGES = [

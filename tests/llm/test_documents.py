@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinegrid.llm import chat, components, contamination, pages, queries, ranking, rules, shards, urls
+from kinegrid.llm import chat, components, contamination, pages, queries, ranking, rules, segment, shards, urls
 
 SF = "/root/testdata/sf0.001"
 CASES = ["", None, " \t\n", "word", "a b c a b c a b c", "line one\nline one\nline  one\n\n", "# * $ % & | < >", "é ü\x0bñ\x0c" * 30, "the of and to in " * 40 + "end!", "long " * 3000]
@@ -167,6 +167,17 @@ def test_contamination_brute_force(spark):
     assert {str(r["doc_id"]) for r in kept.collect()} == {str(k) for k, _ in rows} - bad and kept.columns == ["doc_id", "text", "items"]
 
 
+def test_pipeline_searches_and_decodes(spark):
+    import corpus_pipeline as pipeline
+
+    table = docs(spark)
+    got = {r["doc_id"]: r for r in pipeline.tokens(spark, table, SF).collect()}
+    alone = {r["doc_id"]: r for r in segment.encode(table, segment.Vocabulary.load()).collect()}
+    assert len(got) == len(CASES) and all(r["round_trip"] for r in got.values())
+    assert all(got[k]["nbest"] == alone[k]["nbest"] and got[k]["ids"] == alone[k]["ids"] for k in alone)
+    assert max(len(r["nbest"]) for r in got.values()) == segment.NBEST
+
+
 def test_proximity_brute_force(spark, tmp_path):
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(9)]
