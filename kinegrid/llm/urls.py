@@ -13,6 +13,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import html.entities
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,14 @@ from kinegrid.llm.components import connected_components
 
 #: Up to so many rules are one CASE expression; beyond it they are a joined table keyed by host.
 INLINE_RULES = 100
-REFRESH = r"""(?is)<meta\b[^>]*http-equiv\s*=\s*["']?refresh\b[^>]*?url\s*=\s*["']?([^"'>\s]+)"""
+META_TAG = r"""(?is)(<meta\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
+REFRESH_TAG = r"""(?is)[\s"'/]http-equiv\s*=\s*["']?\s*refresh\b"""
+CONTENT = r"""(?is)[\s"'/]content\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+REFRESH_URL = r"""(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*["']?\s*([^"'\s]+)"""
+SCHEME = "[A-Za-z][A-Za-z0-9+.-]*:"
+REFERENCE = "(&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[A-Za-z]+;|&(?:amp|lt|gt|quot)(?![=A-Za-z0-9;])|[^&]+|&)"
+#: Named references: the Latin and Greek ones, and those of ASCII characters.
+NAMES = {k: chr(v) for k, v in html.entities.name2codepoint.items()} | {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";") and v.isascii()}
 CANONICAL_TAG = r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'>\s]+)"""
 
@@ -73,18 +81,55 @@ def best_rule(df: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame
     )
 
 
+def decoded(text: Column) -> Column:
+    """Character references read; what is none stays as it is."""
+    names = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
+
+    def read(x: Column) -> Column:
+        name = F.regexp_extract(x, "^&([A-Za-z]+);?$", 1)
+        digits, hexed = F.regexp_extract(x, "^&#([0-9]+)", 1), F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+)", 1)
+        code = F.when(digits != "", digits.cast("long")).otherwise(F.conv(hexed, 16, 10).cast("long"))
+        code = F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), 0xFFFD).otherwise(code)
+        number = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(x.startswith("&#") & (F.length(x) > 2), number).when(name != "", F.coalesce(F.try_element_at(names, name), x)).otherwise(x)
+
+    parts = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), read)
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its ``.`` and ``..`` segments resolved."""
+    names = F.split(F.regexp_replace(path, r"/\.{1,2}$", "$0/"), "/")
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x)))
+    return F.when(path.contains("/."), F.array_join(F.aggregate(F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), F.array(F.lit("")), step), "/")).otherwise(path)
+
+
+def resolved(own: Column, to: Column) -> Column:
+    """The url that a reference on page ``own`` names; null for other schemes than those with ``://``, and without a base."""
+    origin = F.regexp_extract(own, f"^({SCHEME}//[^/?#]*)", 1)
+    base = F.regexp_extract(own, f"(?s)^{SCHEME}//[^/?#]*([^?#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(base, "(?s)^/(.*/)", 1))
+    path, rest = F.regexp_extract(to, "(?s)^([^?#]*)", 1), F.regexp_extract(to, "(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(to.rlike(f"^{SCHEME}//"), to).when(to.rlike(f"^{SCHEME}") | (origin == ""), F.lit(None))
+        .when(to.startswith("//"), F.concat(F.regexp_extract(own, f"^({SCHEME})", 1), to))
+        .when(path == "", F.when(to.startswith("?"), F.concat(origin, base, to)))
+        .when(to.startswith("/"), F.concat(origin, _without_dots(path), rest))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): alias keys of each page's url and of its canonical link or refresh target."""
     body, own = F.coalesce(F.col(html), F.lit("")), F.col(url)
     canonical = F.regexp_extract(F.regexp_extract(body, CANONICAL_TAG, 1), HREF, 1)
-    target = F.explode(F.array(canonical, F.regexp_extract(body, REFRESH, 1)))
-    origin = F.regexp_extract(F.col("own"), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(F.col("own"), r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    to = F.col("target")
-    full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(scheme, to)).when(to.startswith("/"), F.concat(origin, to))
+    tag = F.get(F.filter(F.regexp_extract_all(body, F.lit(META_TAG), F.lit(1)), lambda x: x.rlike(REFRESH_TAG)), 0)
+    content = F.coalesce(F.concat(*(F.regexp_extract(tag, CONTENT, i) for i in (1, 2, 3))), F.lit(""))
+    refresh = F.regexp_extract(decoded(content), REFRESH_URL, 1)
     return (
-        pages.select(own.alias("own"), target.alias("target")).where("target <> ''")
-        .select(alias_key(F.col("own")).alias("a"), alias_key(full).alias("b"))
+        pages.select(own.alias("own"), F.explode(F.array(decoded(canonical), refresh)).alias("target")).where("target <> ''")
+        .select("own", resolved(F.col("own"), F.col("target")).alias("full"))
+        .select(alias_key(F.col("own")).alias("a"), alias_key(F.col("full")).alias("b"))
         .where("a is not null and b is not null and a <> b")
     )
 

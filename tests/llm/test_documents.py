@@ -112,6 +112,26 @@ def test_url_rules_and_aliases(spark):
     assert urls.judge_urls(p.where("page_id > 99"), RULES).count() == 0
 
 
+def test_page_link_targets(spark):
+    link, own = '<link rel="canonical" href="{}">', "https://x.org/d/e/p?q"
+    cases = [
+        (link.format("https://y.org/p?a=1&amp;b=2"), "y.org/p?a=1&b=2"), (link.format("https://y.org/&#233;&#x1F600;&eacute;&sol;?a&b=&copy=1"), "y.org/é😀é/?a&b=&copy=1"),
+        (link.format("page2.html"), "x.org/d/e/page2.html"), (link.format("../p"), "x.org/d/p"), (link.format("../../../p/./a/.."), "x.org/p/"), (link.format("?a=1"), "x.org/d/e/p?a=1"),
+        (link.format("/r?u=http://other/"), "x.org/r?u=http://other/"), (link.format("r?u=http://other/"), "x.org/d/e/r?u=http://other/"), (link.format("//z.net/a"), "z.net/a"),
+        (link.format("mailto:a@b.c"), None), (link.format("#top"), None), ('<meta name=a content="url=n"><META content="5; URL=\'/n?a&amp;b\'" id=r http-equiv=Refresh>', "x.org/n?a&b"),
+        ('<meta http-equiv="refresh" content="0;url=https://y.org/z">', "y.org/z"), ('<meta http-equiv="refresh" content="30">', None),
+    ]
+    for i, (body, want) in enumerate(cases):
+        cases[i] = (own, body, want)
+    cases += [("https://x.org", link.format("p"), "x.org/p"), ("nothing", link.format("/r?u=http://other/"), None)]
+    got = {}
+    rows = spark.createDataFrame([(f"{u}{'&' if '?' in u else '#'}{i}", h) for i, (u, h, _) in enumerate(cases)], "url string, html string")
+    for r in urls.page_links(rows.coalesce(1)).collect():
+        got.setdefault(r["b"], 0)
+        got[r["b"]] += 1
+    assert got == Counter(w for _, _, w in cases if w)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (6, 6), (None, 7), (3, 1), *[(100 + i, 101 + i) for i in range(40)]]
     got = {(r["node"], r["component"]) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
