@@ -9,10 +9,13 @@ Jaccard similarity, whatever the texts' lengths.
 1. Equal texts (by the 128-bit hash of their words) are one node of the graph.
 2. Bands of the signature put nodes into buckets. Each node is paired with the least node of all its buckets: one pair per node.
 3. The pairs are verified on their whole texts; verified links make components.
-4. Buckets with several components are dealt into blocks of ``BLOCK`` nodes; pairs of blocks compare signatures. In up to ``MERGING_ROUNDS``
-   rounds, over the first ``MERGING_BANDS`` bands, each node's ``PARTNERS`` likeliest partners in other components are verified, which merges a large group of mutual near copies long before its pairs are listed.
-5. Pairs of a bucket that are still in different components, and whose estimate is not far below the threshold (``SLACK``, five
-   standard deviations), are verified where their blocks meet. So every pair of a bucket is linked, rejected, or already connected.
+4. A bucket with several components is open. Its largest component is the base, the other nodes are probes: probes meet the base and each other
+   in cells of about ``BLOCK`` nodes a side, which compare signatures only. A bucket of m nodes and k probes is m + k * (m / BLOCK) rows
+   as long as k is below BLOCK. In up to ``MERGING_ROUNDS`` rounds, each node's ``PARTNERS`` likeliest partners in
+   other components are verified; a large group of mutual near copies is one component, and its buckets are closed, before its pairs are listed.
+5. In the last round all pairs of open buckets that are still in different components, and whose estimate is not far below the threshold
+   (``SLACK``, five standard deviations), are verified, those of a dense cell where the cell's texts meet, the others pair by pair.
+   So every pair of a bucket is linked, rejected, or already connected.
 6. Components of all links are the classes. A class's id is its least document key.
 
 With 32 bands of 6 components a pair with similarity 0.8 shares no bucket with probability 6e-5.
@@ -29,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,13 +47,13 @@ BANDS, ROWS = 32, 6
 COMPONENTS = BANDS * ROWS
 #: A pair is verified unless its estimate is lower than the threshold by more.
 SLACK = 5 * (0.8 * 0.2 / COMPONENTS) ** 0.5
-BLOCK = 256
-#: Rounds that merge likely partners look at so many bands; the last comparison looks at all.
-MERGING_ROUNDS, MERGING_BANDS = 1, 6
-PARTNERS = 3
+BLOCK = 1024
+MERGING_ROUNDS, PARTNERS = 2, 3
+#: A cell is verified in one place, each text sent once, if it lists more pairs than so many times its nodes and its texts have no more bytes than this.
+DENSE, CELL_BYTES = 2, 32 << 20
 PIECE_BYTES = 4 << 20
 VERIFY_BYTES = 8 << 20
-VERIFY_SHINGLES = 1 << 17
+VERIFY_SHINGLES = 1 << 18
 
 
 def bags(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,86 +198,108 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify_batches(threshold), "a binary, b binary")
 
 
-class _Block:
-    """The nodes of a pair of blocks (or of one block), sorted, and the estimates of pairs that may be compared here."""
-
-    def __init__(self, group: pa.Table):
-        nodes = group["node"].to_pylist()
-        order = np.array(sorted(range(len(nodes)), key=nodes.__getitem__))
-        self.order, self.nodes = order, [nodes[k] for k in order]
-        parts = {c: k for k, c in enumerate(dict.fromkeys(group["component"].to_pylist()))}
-        self.component = np.array([parts[c] for c in group["component"].to_pylist()])[order]
-        self.parts = len(parts)
-        side = group["block"].to_numpy()[order]
-        self.signed = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(nodes), -1)[order]
-        self.estimate = np.zeros((len(nodes), len(nodes)), np.float32)
-        one = group["i"][0].as_py() == group["j"][0].as_py()
-        for x in range(len(nodes) - 1) if self.parts > 1 else ():
-            other = self.component[x + 1 :] != self.component[x]
-            if not one:
-                other &= side[x + 1 :] != side[x]
-            at = np.flatnonzero(other) + x + 1
-            if len(at):
-                self.estimate[x, at] = (self.signed[at] == self.signed[x]).mean(axis=1)
-
-
-def _near_pairs(group: pa.Table, lowest: float, best: int) -> list[tuple[bytes, bytes, float]]:
-    """Each node's ``best`` likeliest partners in other components, whose estimate is high enough."""
-    block = _Block(group)
-    both = np.maximum(block.estimate, block.estimate.T)
-    chosen = np.zeros(both.shape, bool)
-    np.put_along_axis(chosen, np.argsort(-both, axis=1, kind="stable")[:, :best], True, axis=1)
-    near = (block.estimate >= lowest) & (chosen | chosen.T)
-    return [(block.nodes[x], block.nodes[y], float(block.estimate[x, y])) for x, y in zip(*np.nonzero(near), strict=True)]
-
-
-def _near_links(group: pa.Table, lowest: float, threshold: float) -> list[tuple[bytes, bytes, float]]:
-    """Verified links that connect all components of the group that links of it connect, likeliest pairs first.
-
-    A pair is compared in the first band in which its nodes share a bucket only.
+def _cell_pairs(group: pa.Table, lowest: float, best: int | None) -> list[tuple[bytes, bytes, float]]:
+    """The pairs of a cell in different components whose estimate is high enough: each node's ``best`` likeliest, or all.
+
+    Where all are listed, a pair is listed in the first band in which its nodes share a bucket only.
     """
-    block = _Block(group)
-    x, y = np.nonzero(block.estimate >= lowest)
-    if not len(x):
+    component = group["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+    if not component.any():
         return []
-    bands = block.signed.reshape(len(block.nodes), BANDS, ROWS)
-    first = (bands[x] == bands[y]).all(axis=2).argmax(axis=1)
-    here = first == group["band"][0].as_py()
-    x, y = x[here], y[here]
-    likely = np.argsort(-block.estimate[x, y], kind="stable")
-    x, y = x[likely], y[likely]
-    words = Words(group["text"].combine_chunks().take(pa.array(block.order)), NOT_SPACE, lower=True)
-    owner, shingle, weight = bags(*shingles(word_hashes(words), words.first, WORDS))
-    bounds = np.searchsorted(owner, np.arange(len(block.nodes) + 1))
-    size = np.diff(bounds)
-
-    def side(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ends = np.cumsum(size[of])
-        at = np.repeat(bounds[of] - (ends - size[of]), size[of]) + np.arange(int(ends[-1]))
-        return np.repeat(np.arange(len(of)), size[of]), shingle[at], weight[at]
-
-    found, component = [], block.component.copy()
-    while len(x):
-        cut = max(1, int(np.searchsorted(np.cumsum(size[x] + size[y]), VERIFY_SHINGLES)))
-        part = x[:cut], y[:cut]
-        x, y = x[cut:], y[cut:]
-        for k in np.flatnonzero(bag_similarity([side(part[0]), side(part[1])], len(part[0])) >= threshold - 1e-9):
-            one, two = component[part[0][k]], component[part[1][k]]
-            if one != two:
-                found.append((block.nodes[part[0][k]], block.nodes[part[1][k]], 1.0))
-                component[component == two] = one
-        still = component[x] != component[y]
-        x, y = x[still], y[still]
-    return found
-
-
-def _block_pair_batches(pairs_of: Callable[[pa.Table], list[tuple[bytes, bytes, float]]]):
-    """Rows come sorted by (bucket, i, j); a group that a batch ends in goes on in the next one."""
+    names = group["node"].to_pylist()
+    signed = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(names), -1)
+    block = group["block"].to_numpy()
+    one = group["i"][0].as_py() == group["j"][0].as_py()
+    estimate = np.zeros((len(names), len(names)), np.float32)
+    for x in range(len(names) - 1):
+        other = component[x + 1 :] != component[x]
+        if not one:
+            other &= block[x + 1 :] != block[x]
+        at = np.flatnonzero(other) + x + 1
+        if len(at):
+            estimate[x, at] = (signed[at] == signed[x]).mean(axis=1)
+    near = estimate >= lowest
+    if best is not None and len(names) > best + 1:
+        both = np.maximum(estimate, estimate.T)
+        chosen = np.zeros(both.shape, bool)
+        np.put_along_axis(chosen, np.argpartition(-both, best - 1, axis=1)[:, :best], True, axis=1)
+        near &= chosen | chosen.T
+    x, y = np.nonzero(near)
+    if best is None and len(x):
+        bands = signed.reshape(len(names), BANDS, ROWS)
+        first = np.concatenate([(bands[x[k : k + 4096]] == bands[y[k : k + 4096]]).all(axis=2).argmax(axis=1) for k in range(0, len(x), 4096)])
+        here = first == group["band"][0].as_py()
+        x, y = x[here], y[here]
+    return [(min(names[i], names[j]), max(names[i], names[j]), float(e)) for i, j, e in zip(x, y, estimate[x, y], strict=True)]
+
+
+def _cell_links(threshold: float):
+    """One group: the texts of a cell (node, text) and its listed pairs (a, b). The pairs that are similar."""
+
+    def run(group: pa.Table) -> pa.Table:
+        texts, listed = group.filter(pc.is_valid(group["node"])).combine_chunks(), group.filter(pc.is_null(group["node"]))
+        words = Words(texts["text"].combine_chunks(), NOT_SPACE, lower=True)
+        owner, shingle, weight = bags(*shingles(word_hashes(words), words.first, WORDS))
+        bounds = np.searchsorted(owner, np.arange(texts.num_rows + 1))
+        size, total = np.diff(bounds), np.add.reduceat(weight, bounds[:-1])
+        code = np.unique(shingle, return_inverse=True)[1]
+        x, y = (pc.index_in(listed[c].combine_chunks(), texts["node"].combine_chunks()).to_numpy() for c in ("a", "b"))
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        share = np.zeros(int(code.max(initial=-1)) + 1)
+        similar = np.zeros(len(x), bool)
+
+        def entries(of: np.ndarray) -> np.ndarray:
+            ends = np.cumsum(size[of])
+            return np.repeat(bounds[of] - (ends - size[of]), size[of]) + np.arange(int(ends[-1]))
+
+        def side(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at = entries(of)
+            return np.repeat(np.arange(len(of)), size[of]), shingle[at], weight[at]
+
+        edges = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
+        for first, last in zip(edges[:-1], edges[1:], strict=True):
+            own = slice(bounds[x[first]], bounds[x[first] + 1])
+            share[code[own]] = weight[own] / total[x[first]]
+            a = first
+            while a < last:  # the overlap of the normalised bags is an upper bound of the similarity
+                b = a + max(1, int(np.searchsorted(np.cumsum(size[y[a:last]]), VERIFY_SHINGLES)))
+                b = min(b, last)
+                at = entries(y[a:b])
+                overlap = np.minimum(share[code[at]], weight[at] / np.repeat(total[y[a:b]], size[y[a:b]]))
+                overlap = np.add.reduceat(overlap, np.cumsum(size[y[a:b]]) - size[y[a:b]])
+                near = a + np.flatnonzero(overlap >= threshold - 1e-9)
+                if len(near):
+                    similar[near] = bag_similarity([side(x[near]), side(y[near])], len(near)) >= threshold - 1e-9
+                a = b
+            share[code[own]] = 0.0
+        found = pc.take(listed.select(["a", "b"]), pa.array(order[similar]))
+        return pa.table([found["a"], found["b"]], names=["a", "b"])
+
+    return run
+
+
+def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The listed pairs (cell, a, b) of nodes whose texts are similar; a dense cell's texts are sent once each."""
+    ends = pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sizes = ends.join(texts.select("node", F.octet_length("text").cast("long").alias("bytes")), "node").groupBy("cell").agg(F.count("*").alias("nodes"), F.sum("bytes").alias("bytes"))
+    shape = pairs.groupBy("cell").agg(F.count("*").alias("pairs")).join(sizes, "cell")
+    dense = cut_lineage(shape.where((F.col("pairs") > DENSE * F.col("nodes")) & (F.col("bytes") <= CELL_BYTES)).select("cell"))
+    single = verified(pairs.join(dense, "cell", "left_anti").select("a", "b"), texts, threshold)
+    none = F.lit(None).cast("binary")
+    placed = ends.join(dense, "cell", "left_semi").join(texts, "node").select("cell", "node", "text", none.alias("a"), none.alias("b"))
+    listed = pairs.join(dense, "cell", "left_semi").select("cell", none.alias("node"), F.lit(None).cast("string").alias("text"), "a", "b")
+    return single.union(placed.union(listed).groupBy("cell").applyInArrow(_cell_links(threshold), "a binary, b binary"))
+
+
+def _cell_batches(pairs_of: Callable[[pa.Table], list[tuple[bytes, bytes, float]]]):
+    """Rows come sorted by (bucket, i, j); a group that a batch ends in goes on in the next one. cell: a number of (bucket, i, j)."""
 
     def pairs(groups: list[pa.Table]) -> pa.RecordBatch:
-        found = [p for g in groups for p in pairs_of(g)]
-        a, b, estimate = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(estimate, pa.float64())], names=["a", "b", "estimate"])
+        found = [(*p, cell) for g in groups for cell in (hash(tuple(g[c][0].as_py() for c in ("bucket", "i", "j"))),) for p in pairs_of(g)]
+        a, b, estimate, cell = zip(*found, strict=True) if found else ((), (), (), ())
+        columns = [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(estimate, pa.float64()), pa.array(cell, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "estimate", "cell"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -295,7 +321,7 @@ def _block_pair_batches(pairs_of: Callable[[pa.Table], list[tuple[bytes, bytes,
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(key, node, component, class_id, class_size) for every row, and (node, component) of nodes with links."""
     rows = cut_lineage(sketches(docs, key, text))
-    nodes = rows.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    nodes = cut_lineage(rows.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch")))
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * 2 * ROWS + 1, F.lit(2 * ROWS))))
     banded = nodes.select("node", F.posexplode(band).alias("band", "bucket"))
     # Buckets of the same nodes (close copies share most bands) compare the same pairs: the one of the first band stands for them.
@@ -307,44 +333,56 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     involved = members.select("node").distinct()
     bodies = with_nodes(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key", "text").select(F.col("_node").alias("node"), "text")
-    texts = cut_lineage(bodies.join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-
-    def dealt(joined: DataFrame, bands: int) -> DataFrame:
-        """The nodes of buckets with several components, in pairs of blocks."""
-        placed = members.where(F.col("band") < bands).join(joined, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
-        open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    # one text per node before the join: a text that a third of all rows share is a row per task
+    texts = cut_lineage(bodies.groupBy("node").agg(F.first("text").alias("text")).join(involved, "node", "left_semi"))
+
+    def cells(joined: DataFrame) -> DataFrame:
+        """The nodes of buckets with several components, in cells. Probes have the first block numbers, the base has those after."""
+        placed = members.join(joined, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+        parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        opened = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("base"), F.max("n").alias("n"), F.sum("n").alias("m")).where("n < m")
+        small = F.col("m") <= BLOCK
+        shaped = opened.select(
+            "bucket",
+            F.when(~small, F.col("base")).alias("base"),
+            F.when(small, 1).otherwise(F.ceil((F.col("m") - F.col("n")) / BLOCK)).cast("int").alias("probes"),
+            F.when(small, 0).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("bases"),
+        )
+        place = F.xxhash64("node", "bucket")
+        in_base = F.col("component").eqNullSafe(F.col("base"))
+        block = F.when(in_base, F.col("probes") + F.pmod(place, F.col("bases"))).otherwise(F.pmod(place, F.col("probes"))).cast("int")
+        others = F.when(in_base, F.col("probes")).otherwise(F.col("probes") + F.col("bases"))
         return (
-            placed.join(open_buckets.select("bucket", blocks.alias("blocks")), "bucket")
-            .withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .join(nodes, "node")
+            placed.join(shaped, "bucket").join(nodes, "node")
+            .select("bucket", "band", "node", "component", "sketch", block.alias("block"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
             .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "sketch", "band")
-        )
-
-    def paired(rows: DataFrame, pairs_of) -> DataFrame:
-        grouped = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        return grouped.mapInArrow(_block_pair_batches(pairs_of), "a binary, b binary, estimate double").distinct()
+        )
+
+    def candidates(joined: DataFrame, best: int | None) -> DataFrame:
+        grouped = cells(joined).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        found = grouped.mapInArrow(_cell_batches(partial(_cell_pairs, lowest=threshold - SLACK, best=best)), "a binary, b binary, estimate double, cell long")
+        found = found.join(tested, ["a", "b"], "left_anti")
+        if best is None:
+            return found.select("cell", "a", "b")
+        found = found.drop("cell").distinct()
+        both = found.select(F.col("a").alias("node"), "a", "b", "estimate").union(found.select(F.col("b").alias("node"), "a", "b", "estimate"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("estimate"), "a", "b"))
+        return both.select("a", "b", place.alias("place")).where(F.col("place") <= best).select("a", "b").distinct()
 
-    lowest = threshold - SLACK
     stars = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     tested = cut_lineage(stars)
     links = cut_lineage(verified(tested, texts, threshold))
     classes = connected_components(links)
-    for _ in range(MERGING_ROUNDS):
-        each = paired(dealt(classes, MERGING_BANDS), partial(_near_pairs, lowest=lowest, best=PARTNERS)).join(tested, ["a", "b"], "left_anti")
-        both = each.select(F.col("a").alias("node"), "a", "b", "estimate").union(each.select(F.col("b").alias("node"), "a", "b", "estimate"))
-        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("estimate"), "a", "b"))
-        likeliest = cut_lineage(both.select("a", "b", place.alias("place")).where(F.col("place") <= PARTNERS).select("a", "b").distinct())
-        found = cut_lineage(verified(likeliest, texts, threshold))
+    rounds = [PARTNERS] * MERGING_ROUNDS + [None]
+    while rounds:
+        best = rounds.pop(0)
+        pairs = cut_lineage(candidates(classes, best))
+        found = cut_lineage(verified(pairs, texts, threshold) if best else compared(pairs, texts, threshold))
         if found.isEmpty():
-            break
-        tested, links = tested.union(likeliest), links.union(found)
+            rounds = rounds[-1:] if best else []
+            continue
+        tested, links = tested.union(pairs.select("a", "b")), links.union(found)
         classes = connected_components(links)
-    with_texts = dealt(classes, BANDS).join(texts, "node")
-    more = cut_lineage(paired(with_texts, partial(_near_links, lowest=lowest, threshold=threshold)).select("a", "b"))
-    if not more.isEmpty():
-        classes = connected_components(links.union(more))
 
     placed_rows = rows.select("key", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     totals = placed_rows.groupBy("component").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
