@@ -10,12 +10,12 @@ Jaccard similarity, whatever the texts' lengths.
 2. Bands of the signature put nodes into buckets. Each node is paired with the least node of all its buckets: one pair per node.
 3. The pairs are verified on their whole texts; verified links make components.
 4. A bucket with several components is open. Its largest component is the base, the other nodes are probes: probes meet the base and each other
-   in cells of about ``BLOCK`` nodes a side, which compare signatures only. A bucket of m nodes and k probes is m + k * (m / BLOCK) rows
-   as long as k is below BLOCK. In up to ``MERGING_ROUNDS`` rounds, each node's ``PARTNERS`` likeliest partners in
-   other components are verified; a large group of mutual near copies is one component, and its buckets are closed, before its pairs are listed.
-5. In the last round all pairs of open buckets that are still in different components, and whose estimate is not far below the threshold
-   (``SLACK``, five standard deviations), are verified, those of a dense cell where the cell's texts meet, the others pair by pair.
-   So every pair of a bucket is linked, rejected, or already connected.
+   in cells of about ``BLOCK`` nodes (and ``CELL_BYTES`` of text) a side, which compare signatures. A bucket of m nodes and k probes is
+   m + k * (m / BLOCK) rows as long as k is below BLOCK. Once, each node's likeliest partner in another component is verified;
+   that makes a large group of mutual near copies one component and closes its buckets.
+5. In the buckets that are still open, all pairs in different components whose estimate is not far below the threshold (``SLACK``, five
+   standard deviations) are verified. A cell with few of them lists them; of a cell with many, each node is sent once with its text, and the
+   pairs are compared where they meet. So every pair of a bucket is linked, rejected, or already connected, and no row stands for a pair of a large group.
 6. Components of all links are the classes. A class's id is its least document key.
 
 With 32 bands of 6 components a pair with similarity 0.8 shares no bucket with probability 6e-5.
@@ -27,13 +27,11 @@ the same key only; repeated rows are copies; a null key is never a class id unle
 from __future__ import annotations
 
 import hashlib
-from functools import partial
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,10 +45,9 @@ BANDS, ROWS = 32, 6
 COMPONENTS = BANDS * ROWS
 #: A pair is verified unless its estimate is lower than the threshold by more.
 SLACK = 5 * (0.8 * 0.2 / COMPONENTS) ** 0.5
-BLOCK = 1024
-MERGING_ROUNDS, PARTNERS = 2, 3
-#: A cell is verified in one place, each text sent once, if it lists more pairs than so many times its nodes and its texts have no more bytes than this.
-DENSE, CELL_BYTES = 2, 32 << 20
+BLOCK, CELL_BYTES = 1024, 16 << 20
+#: A cell lists its pairs up to so many times its nodes.
+LISTED = 1
 PIECE_BYTES = 4 << 20
 VERIFY_BYTES = 8 << 20
 VERIFY_SHINGLES = 1 << 18
@@ -117,14 +114,15 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             signed = signatures(owner, shingle, weight, part.num_rows)
             sketch = [s.tobytes() if n else None for s, n in zip(signed, words.counts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(_nodes(words, hashes, part.column(0)), pa.binary()), pa.array(sketch, pa.binary())], names=["key", "node", "sketch"]
+                [part.column(0), pa.array(_nodes(words, hashes, part.column(0)), pa.binary()), pa.array(sketch, pa.binary()), pa.array(np.diff(words.offsets))],
+                names=["key", "node", "sketch", "bytes"],
             )
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, sketch) of every row; sketch is null for a text without words."""
+    """(key, node, sketch, bytes) of every row; sketch is null for a text without words."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["key"], T.StructField("node", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([rows.schema["key"], T.StructField("node", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("bytes", T.LongType())])
     return rows.mapInArrow(_sketch_batches, schema)
 
 
@@ -198,56 +196,113 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify_batches(threshold), "a binary, b binary")
 
 
-def _cell_pairs(group: pa.Table, lowest: float, best: int | None) -> list[tuple[bytes, bytes, float]]:
-    """The pairs of a cell in different components whose estimate is high enough: each node's ``best`` likeliest, or all.
-
-    Where all are listed, a pair is listed in the first band in which its nodes share a bucket only.
-    """
-    component = group["component"].combine_chunks().dictionary_encode().indices.to_numpy()
-    if not component.any():
-        return []
-    names = group["node"].to_pylist()
-    signed = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(names), -1)
-    block = group["block"].to_numpy()
-    one = group["i"][0].as_py() == group["j"][0].as_py()
-    estimate = np.zeros((len(names), len(names)), np.float32)
-    for x in range(len(names) - 1):
-        other = component[x + 1 :] != component[x]
-        if not one:
-            other &= block[x + 1 :] != block[x]
-        at = np.flatnonzero(other) + x + 1
-        if len(at):
-            estimate[x, at] = (signed[at] == signed[x]).mean(axis=1)
-    near = estimate >= lowest
-    if best is not None and len(names) > best + 1:
-        both = np.maximum(estimate, estimate.T)
-        chosen = np.zeros(both.shape, bool)
-        np.put_along_axis(chosen, np.argpartition(-both, best - 1, axis=1)[:, :best], True, axis=1)
-        near &= chosen | chosen.T
-    x, y = np.nonzero(near)
-    if best is None and len(x):
-        bands = signed.reshape(len(names), BANDS, ROWS)
-        first = np.concatenate([(bands[x[k : k + 4096]] == bands[y[k : k + 4096]]).all(axis=2).argmax(axis=1) for k in range(0, len(x), 4096)])
-        here = first == group["band"][0].as_py()
-        x, y = x[here], y[here]
-    return [(min(names[i], names[j]), max(names[i], names[j]), float(e)) for i, j, e in zip(x, y, estimate[x, y], strict=True)]
-
-
-def _cell_links(threshold: float):
-    """One group: the texts of a cell (node, text) and its listed pairs (a, b). The pairs that are similar."""
+class _Cell:
+    """The rows of a cell, and the pairs x, y of them in different components (and on different sides) whose estimate is high enough."""
+
+    def __init__(self, rows: pa.Table, lowest: float):
+        self.rows, n = rows, rows.num_rows
+        component = rows["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+        self.component, self.signed = component, np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(n, -1)
+        block, one = rows["block"].to_numpy(), rows["i"][0].as_py() == rows["j"][0].as_py()
+        xs, ys, es = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for x in range(n - 1) if component.any() else ():
+            other = component[x + 1 :] != component[x]
+            if not one:
+                other &= block[x + 1 :] != block[x]
+            at = np.flatnonzero(other) + x + 1
+            estimate = (self.signed[at] == self.signed[x]).mean(axis=1)
+            near = estimate >= lowest
+            xs.append(np.full(int(near.sum()), x)), ys.append(at[near]), es.append(estimate[near])
+        self.x, self.y, self.estimate = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
+
+    def keep(self, at: np.ndarray) -> _Cell:
+        self.x, self.y, self.estimate = self.x[at], self.y[at], self.estimate[at]
+        return self
+
+    def likeliest(self) -> _Cell:
+        """The best pair of each node only."""
+        ends, pair = np.concatenate([self.x, self.y]), np.tile(np.arange(len(self.x)), 2)
+        order = np.lexsort((pair, -np.tile(self.estimate, 2), ends))
+        first = np.flatnonzero(np.diff(ends[order], prepend=-1))
+        return self.keep(np.unique(pair[order[first]]))
+
+    def first_met(self) -> _Cell:
+        """Pairs whose first common bucket this is: no pair is compared twice."""
+        band = self.rows["band"][0].as_py()
+        bands = self.signed.reshape(self.rows.num_rows, BANDS, ROWS)[:, : band + 1]
+        step = range(0, len(self.x), 4096)
+        first = [(bands[self.x[k : k + 4096]] == bands[self.y[k : k + 4096]]).all(axis=2).argmax(axis=1) for k in step]
+        return self.keep(np.flatnonzero(np.concatenate(first) == band) if first else np.zeros(0, np.int64))
+
+    def pairs(self) -> tuple[list[bytes], list[bytes]]:
+        names = self.rows["node"].to_pylist()
+        both = [sorted((names[i], names[j])) for i, j in zip(self.x.tolist(), self.y.tolist(), strict=True)]
+        return [p[0] for p in both], [p[1] for p in both]
+
+
+def _by_cell(of_cell: Callable[[pa.Table], pa.Table]):
+    """Rows come sorted by (bucket, i, j); a cell that a batch ends in goes on in the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+            keys = np.stack([rows[c].to_numpy() for c in ("bucket", "i", "j")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+            found = [of_cell(rows.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            if found:
+                yield from pa.concat_tables(found).combine_chunks().to_batches()
+            rest = rows.slice(edges[-1]).combine_chunks()
+        if rest is not None:
+            yield from of_cell(rest).to_batches()
+
+    return run
+
+
+def _likely(lowest: float):
+    def run(group: pa.Table) -> pa.Table:
+        cell = _Cell(group, lowest).likeliest()
+        a, b = cell.pairs()
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(cell.estimate)], names=["a", "b", "estimate"])
+
+    return run
+
+
+CELL = "bucket long, i int, j int, block int, node binary, component binary, sketch binary, band int"
+CELL_NAMES = [c.split()[0] for c in CELL.split(", ")]
+
+
+def _open(lowest: float):
+    """A cell's pairs (a, b), or its rows with pairs if there are many."""
+
+    def run(group: pa.Table) -> pa.Table:
+        cell = _Cell(group, lowest).first_met()
+        nodes = np.unique(np.concatenate([cell.x, cell.y]))
+        if len(cell.x) > LISTED * len(nodes):
+            rows = group.select(CELL_NAMES).take(pa.array(nodes))
+            return pa.table([pa.nulls(len(nodes), pa.binary())] * 2 + rows.columns, names=["a", "b", *CELL_NAMES])
+        a, b = cell.pairs()
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), *(pa.nulls(len(a), group.schema.field(c).type) for c in CELL_NAMES)], names=["a", "b", *CELL_NAMES])
+
+    return run
+
+
+def _cell_links(lowest: float, threshold: float):
+    """Verified links of a cell's rows with their texts: enough of them to connect all that links of it connect."""
 
     def run(group: pa.Table) -> pa.Table:
-        texts, listed = group.filter(pc.is_valid(group["node"])).combine_chunks(), group.filter(pc.is_null(group["node"]))
-        words = Words(texts["text"].combine_chunks(), NOT_SPACE, lower=True)
+        group = group.combine_chunks()
+        cell = _Cell(group, lowest).first_met()
+        words = Words(group["text"], NOT_SPACE, lower=True)
         owner, shingle, weight = bags(*shingles(word_hashes(words), words.first, WORDS))
-        bounds = np.searchsorted(owner, np.arange(texts.num_rows + 1))
+        bounds = np.searchsorted(owner, np.arange(group.num_rows + 1))
         size, total = np.diff(bounds), np.add.reduceat(weight, bounds[:-1])
         code = np.unique(shingle, return_inverse=True)[1]
-        x, y = (pc.index_in(listed[c].combine_chunks(), texts["node"].combine_chunks()).to_numpy() for c in ("a", "b"))
-        order = np.argsort(x, kind="stable")
-        x, y = x[order], y[order]
         share = np.zeros(int(code.max(initial=-1)) + 1)
-        similar = np.zeros(len(x), bool)
+        component, linked = cell.component.copy(), []
 
         def entries(of: np.ndarray) -> np.ndarray:
             ends = np.cumsum(size[of])
@@ -257,63 +312,32 @@ def _cell_links(threshold: float):
             at = entries(of)
             return np.repeat(np.arange(len(of)), size[of]), shingle[at], weight[at]
 
-        edges = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
+        x, y = cell.x, cell.y  # sorted by x
+        edges = np.flatnonzero(np.diff(x, prepend=-1, append=-1))
         for first, last in zip(edges[:-1], edges[1:], strict=True):
-            own = slice(bounds[x[first]], bounds[x[first] + 1])
-            share[code[own]] = weight[own] / total[x[first]]
-            a = first
-            while a < last:  # the overlap of the normalised bags is an upper bound of the similarity
-                b = a + max(1, int(np.searchsorted(np.cumsum(size[y[a:last]]), VERIFY_SHINGLES)))
-                b = min(b, last)
-                at = entries(y[a:b])
-                overlap = np.minimum(share[code[at]], weight[at] / np.repeat(total[y[a:b]], size[y[a:b]]))
-                overlap = np.add.reduceat(overlap, np.cumsum(size[y[a:b]]) - size[y[a:b]])
-                near = a + np.flatnonzero(overlap >= threshold - 1e-9)
-                if len(near):
-                    similar[near] = bag_similarity([side(x[near]), side(y[near])], len(near)) >= threshold - 1e-9
-                a = b
+            one = x[first]
+            own = slice(bounds[one], bounds[one + 1])
+            share[code[own]] = weight[own] / total[one]
+            while first < last:
+                some = y[first : first + max(1, int(np.searchsorted(np.cumsum(size[y[first:last]]), VERIFY_SHINGLES)))]
+                first += len(some)
+                some = some[component[some] != component[one]]
+                if not len(some):
+                    continue
+                # the overlap of the normalised bags is an upper bound of the similarity
+                at = entries(some)
+                overlap = np.minimum(share[code[at]], weight[at] / np.repeat(total[some], size[some]))
+                some = some[np.add.reduceat(overlap, np.cumsum(size[some]) - size[some]) >= threshold - 1e-9]
+                if not len(some):
+                    continue
+                similar = bag_similarity([side(np.full(len(some), one)), side(some)], len(some)) >= threshold - 1e-9
+                for two in some[similar]:
+                    if component[one] != component[two]:
+                        component[component == component[two]] = component[one]
+                        linked.append((one, two))
             share[code[own]] = 0.0
-        found = pc.take(listed.select(["a", "b"]), pa.array(order[similar]))
-        return pa.table([found["a"], found["b"]], names=["a", "b"])
-
-    return run
-
-
-def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The listed pairs (cell, a, b) of nodes whose texts are similar; a dense cell's texts are sent once each."""
-    ends = pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
-    sizes = ends.join(texts.select("node", F.octet_length("text").cast("long").alias("bytes")), "node").groupBy("cell").agg(F.count("*").alias("nodes"), F.sum("bytes").alias("bytes"))
-    shape = pairs.groupBy("cell").agg(F.count("*").alias("pairs")).join(sizes, "cell")
-    dense = cut_lineage(shape.where((F.col("pairs") > DENSE * F.col("nodes")) & (F.col("bytes") <= CELL_BYTES)).select("cell"))
-    single = verified(pairs.join(dense, "cell", "left_anti").select("a", "b"), texts, threshold)
-    none = F.lit(None).cast("binary")
-    placed = ends.join(dense, "cell", "left_semi").join(texts, "node").select("cell", "node", "text", none.alias("a"), none.alias("b"))
-    listed = pairs.join(dense, "cell", "left_semi").select("cell", none.alias("node"), F.lit(None).cast("string").alias("text"), "a", "b")
-    return single.union(placed.union(listed).groupBy("cell").applyInArrow(_cell_links(threshold), "a binary, b binary"))
-
-
-def _cell_batches(pairs_of: Callable[[pa.Table], list[tuple[bytes, bytes, float]]]):
-    """Rows come sorted by (bucket, i, j); a group that a batch ends in goes on in the next one. cell: a number of (bucket, i, j)."""
-
-    def pairs(groups: list[pa.Table]) -> pa.RecordBatch:
-        found = [(*p, cell) for g in groups for cell in (hash(tuple(g[c][0].as_py() for c in ("bucket", "i", "j"))),) for p in pairs_of(g)]
-        a, b, estimate, cell = zip(*found, strict=True) if found else ((), (), (), ())
-        columns = [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(estimate, pa.float64()), pa.array(cell, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "estimate", "cell"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
-            keys = np.stack([rows[c].to_numpy() for c in ("bucket", "i", "j")])
-            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
-            yield pairs([rows.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)])
-            rest = rows.slice(edges[-1]).combine_chunks()
-        if rest is not None:
-            yield pairs([rest])
+        names = group["node"].to_pylist()
+        return pa.table([pa.array([names[k[e]] for k in linked], pa.binary()) for e in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -321,9 +345,9 @@ def _cell_batches(pairs_of: Callable[[pa.Table], list[tuple[bytes, bytes, float]
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(key, node, component, class_id, class_size) for every row, and (node, component) of nodes with links."""
     rows = cut_lineage(sketches(docs, key, text))
-    nodes = cut_lineage(rows.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch")))
+    nodes = cut_lineage(rows.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.max("bytes").alias("bytes")))
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * 2 * ROWS + 1, F.lit(2 * ROWS))))
-    banded = nodes.select("node", F.posexplode(band).alias("band", "bucket"))
+    banded = nodes.select("node", "bytes", F.posexplode(band).alias("band", "bucket"))
     # Buckets of the same nodes (close copies share most bands) compare the same pairs: the one of the first band stands for them.
     buckets = banded.groupBy("bucket").agg(
         F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("all"), F.first("band").alias("band")
@@ -338,51 +362,47 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def cells(joined: DataFrame) -> DataFrame:
         """The nodes of buckets with several components, in cells. Probes have the first block numbers, the base has those after."""
-        placed = members.join(joined, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
-        parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        opened = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("base"), F.max("n").alias("n"), F.sum("n").alias("m")).where("n < m")
-        small = F.col("m") <= BLOCK
+        placed = members.join(joined, "node", "left").select("bucket", "band", "node", "bytes", F.coalesce("component", "node").alias("component"))
+        parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+        largest = F.max(F.struct("n", "component", "b"))
+        opened = parts.groupBy("bucket").agg(largest.alias("base"), F.sum("n").alias("m"), F.sum("b").alias("bytes")).where("base.n < m")
+        small = (F.col("m") <= BLOCK) & (F.col("bytes") <= CELL_BYTES)
+        blocks = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / CELL_BYTES), F.lit(1))
         shaped = opened.select(
             "bucket",
-            F.when(~small, F.col("base")).alias("base"),
-            F.when(small, 1).otherwise(F.ceil((F.col("m") - F.col("n")) / BLOCK)).cast("int").alias("probes"),
-            F.when(small, 0).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("bases"),
+            F.when(~small, F.col("base.component")).alias("base"),
+            F.when(small, 1).otherwise(blocks(F.col("m") - F.col("base.n"), F.col("bytes") - F.col("base.b"))).cast("int").alias("probes"),
+            F.when(small, 0).otherwise(blocks(F.col("base.n"), F.col("base.b"))).cast("int").alias("bases"),
         )
         place = F.xxhash64("node", "bucket")
         in_base = F.col("component").eqNullSafe(F.col("base"))
         block = F.when(in_base, F.col("probes") + F.pmod(place, F.col("bases"))).otherwise(F.pmod(place, F.col("probes"))).cast("int")
         others = F.when(in_base, F.col("probes")).otherwise(F.col("probes") + F.col("bases"))
         return (
-            placed.join(shaped, "bucket").join(nodes, "node")
+            placed.join(shaped, "bucket").join(nodes.select("node", "sketch"), "node")
             .select("bucket", "band", "node", "component", "sketch", block.alias("block"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
             .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "sketch", "band")
         )
 
-    def candidates(joined: DataFrame, best: int | None) -> DataFrame:
-        grouped = cells(joined).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = grouped.mapInArrow(_cell_batches(partial(_cell_pairs, lowest=threshold - SLACK, best=best)), "a binary, b binary, estimate double, cell long")
-        found = found.join(tested, ["a", "b"], "left_anti")
-        if best is None:
-            return found.select("cell", "a", "b")
-        found = found.drop("cell").distinct()
-        both = found.select(F.col("a").alias("node"), "a", "b", "estimate").union(found.select(F.col("b").alias("node"), "a", "b", "estimate"))
-        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("estimate"), "a", "b"))
-        return both.select("a", "b", place.alias("place")).where(F.col("place") <= best).select("a", "b").distinct()
+    def compared(joined: DataFrame, of_cell, schema: str) -> DataFrame:
+        return cells(joined).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_by_cell(of_cell), schema)
 
+    lowest = threshold - SLACK
     stars = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    tested = cut_lineage(stars)
-    links = cut_lineage(verified(tested, texts, threshold))
+    links = cut_lineage(verified(stars, texts, threshold))
     classes = connected_components(links)
-    rounds = [PARTNERS] * MERGING_ROUNDS + [None]
-    while rounds:
-        best = rounds.pop(0)
-        pairs = cut_lineage(candidates(classes, best))
-        found = cut_lineage(verified(pairs, texts, threshold) if best else compared(pairs, texts, threshold))
-        if found.isEmpty():
-            rounds = rounds[-1:] if best else []
-            continue
-        tested, links = tested.union(pairs.select("a", "b")), links.union(found)
+    each = compared(classes, _likely(lowest), "a binary, b binary, estimate double")
+    best = F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("best")
+    likeliest = each.select("*", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(best).select("best.*").distinct()
+    more = cut_lineage(verified(likeliest, texts, threshold))
+    if not more.isEmpty():
+        links = links.union(more)
         classes = connected_components(links)
+    rest = cut_lineage(compared(classes, _open(lowest), f"a binary, b binary, {CELL}"))
+    met = rest.where("a is null").drop("a", "b").join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(_cell_links(lowest, threshold), "a binary, b binary")
+    more = cut_lineage(verified(rest.where("a is not null").select("a", "b"), texts, threshold).union(met))
+    if not more.isEmpty():
+        classes = connected_components(links.union(more))
 
     placed_rows = rows.select("key", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     totals = placed_rows.groupBy("component").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
