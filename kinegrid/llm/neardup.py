@@ -8,14 +8,14 @@ Jaccard similarity, whatever the texts' lengths.
 
 1. Equal texts (by the 128-bit hash of their words) are one node of the graph.
 2. Bands of the signature put nodes into buckets. Each node is paired with the least node of all its buckets: one pair per node.
-3. The pairs are verified on their whole texts; verified links make components.
-4. A bucket with several components is open. Its largest component is the base, the other nodes are probes: probes meet the base and each other
+3. The pairs are verified on their whole texts; a verified node gets the label of its least node, which closes most buckets of close copies.
+4. A bucket with several labels is open. Its most frequent label is the base, the other nodes are probes: probes meet the base and each other
    in cells of about ``BLOCK`` nodes (and ``CELL_BYTES`` of text) a side, which compare signatures. A bucket of m nodes and k probes is
-   m + k * (m / BLOCK) rows as long as k is below BLOCK. Once, each node's likeliest partner in another component is verified;
-   that makes a large group of mutual near copies one component and closes its buckets.
-5. In the buckets that are still open, all pairs in different components whose estimate is not far below the threshold (``SLACK``, five
-   standard deviations) are verified. A cell with few of them lists them; of a cell with many, each node is sent once with its text, and the
-   pairs are compared where they meet. So every pair of a bucket is linked, rejected, or already connected, and no row stands for a pair of a large group.
+   m + k * (m / BLOCK) rows as long as k is below BLOCK.
+5. All pairs of a cell with different labels whose estimate is not far below the threshold (``SLACK``, five standard deviations) are verified.
+   A cell with few of them lists them; of a cell with many, each node is sent once with its text, and the pairs are compared where they meet
+   until all that they connect is connected. So every pair of a bucket is linked, rejected, or already connected, and no row stands for
+   a pair of a large group.
 6. Components of all links are the classes. A class's id is its least document key.
 
 With 32 bands of 6 components a pair with similarity 0.8 shares no bucket with probability 6e-5.
@@ -204,27 +204,15 @@ class _Cell:
         component = rows["component"].combine_chunks().dictionary_encode().indices.to_numpy()
         self.component, self.signed = component, np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(n, -1)
         block, one = rows["block"].to_numpy(), rows["i"][0].as_py() == rows["j"][0].as_py()
-        xs, ys, es = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in range(n - 1) if component.any() else ():
             other = component[x + 1 :] != component[x]
             if not one:
                 other &= block[x + 1 :] != block[x]
             at = np.flatnonzero(other) + x + 1
-            estimate = (self.signed[at] == self.signed[x]).mean(axis=1)
-            near = estimate >= lowest
-            xs.append(np.full(int(near.sum()), x)), ys.append(at[near]), es.append(estimate[near])
-        self.x, self.y, self.estimate = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
-
-    def keep(self, at: np.ndarray) -> _Cell:
-        self.x, self.y, self.estimate = self.x[at], self.y[at], self.estimate[at]
-        return self
-
-    def likeliest(self) -> _Cell:
-        """The best pair of each node only."""
-        ends, pair = np.concatenate([self.x, self.y]), np.tile(np.arange(len(self.x)), 2)
-        order = np.lexsort((pair, -np.tile(self.estimate, 2), ends))
-        first = np.flatnonzero(np.diff(ends[order], prepend=-1))
-        return self.keep(np.unique(pair[order[first]]))
+            at = at[(self.signed[at] == self.signed[x]).mean(axis=1) >= lowest]
+            xs.append(np.full(len(at), x)), ys.append(at)
+        self.x, self.y = np.concatenate(xs), np.concatenate(ys)
 
     def first_met(self) -> _Cell:
         """Pairs whose first common bucket this is: no pair is compared twice."""
@@ -232,7 +220,9 @@ class _Cell:
         bands = self.signed.reshape(self.rows.num_rows, BANDS, ROWS)[:, : band + 1]
         step = range(0, len(self.x), 4096)
         first = [(bands[self.x[k : k + 4096]] == bands[self.y[k : k + 4096]]).all(axis=2).argmax(axis=1) for k in step]
-        return self.keep(np.flatnonzero(np.concatenate(first) == band) if first else np.zeros(0, np.int64))
+        at = np.flatnonzero(np.concatenate(first) == band) if first else np.zeros(0, np.int64)
+        self.x, self.y = self.x[at], self.y[at]
+        return self
 
     def pairs(self) -> tuple[list[bytes], list[bytes]]:
         names = self.rows["node"].to_pylist()
@@ -262,15 +252,6 @@ def _by_cell(of_cell: Callable[[pa.Table], pa.Table]):
     return run
 
 
-def _likely(lowest: float):
-    def run(group: pa.Table) -> pa.Table:
-        cell = _Cell(group, lowest).likeliest()
-        a, b = cell.pairs()
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(cell.estimate)], names=["a", "b", "estimate"])
-
-    return run
-
-
 CELL = "bucket long, i int, j int, block int, node binary, component binary, sketch binary, band int"
 CELL_NAMES = [c.split()[0] for c in CELL.split(", ")]
 
@@ -390,19 +371,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     lowest = threshold - SLACK
     stars = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = cut_lineage(verified(stars, texts, threshold))
-    classes = connected_components(links)
-    each = compared(classes, _likely(lowest), "a binary, b binary, estimate double")
-    best = F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("best")
-    likeliest = each.select("*", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(best).select("best.*").distinct()
-    more = cut_lineage(verified(likeliest, texts, threshold))
-    if not more.isEmpty():
-        links = links.union(more)
-        classes = connected_components(links)
-    rest = cut_lineage(compared(classes, _open(lowest), f"a binary, b binary, {CELL}"))
+    labels = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    rest = cells(labels).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_by_cell(_open(lowest)), f"a binary, b binary, {CELL}")
+    rest = cut_lineage(rest)
     met = rest.where("a is null").drop("a", "b").join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(_cell_links(lowest, threshold), "a binary, b binary")
-    more = cut_lineage(verified(rest.where("a is not null").select("a", "b"), texts, threshold).union(met))
-    if not more.isEmpty():
-        classes = connected_components(links.union(more))
+    listed = verified(rest.where("a is not null").select("a", "b"), texts, threshold)
+    classes = connected_components(links.union(listed).union(met))
 
     placed_rows = rows.select("key", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     totals = placed_rows.groupBy("component").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
