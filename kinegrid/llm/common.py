@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set (tests, one machine)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set and all of Spark runs in this process."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="kinegrid-")
         context.setCheckpointDir(folder)
     return folder
@@ -32,6 +35,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A table of so many short rows may be broadcast; its rows are counted first.
+BROADCAST_ROWS = 200_000
+
+
+def small_or_joined(keys: DataFrame) -> DataFrame:
+    """A settled table of a few bytes a row, marked for broadcast if it has few rows; else it is joined by a shuffle."""
+    keys = cut_lineage(keys)
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -3,8 +3,10 @@
 ``build_index`` turns the corpus into index segments: one row per few megabytes of text, holding the
 segment's terms and, for each term, its sorted token positions. Segments are made where the texts are
 read, so the index needs no shuffle, and a frequent term is no hot key: its postings are spread over all
-segments. ``search`` sends the test windows to every segment in chunks of a checked size. In a segment, a
-window starts from the postings of its rarest term and intersects them, shifted by the terms' offsets,
+segments. ``stored`` writes the segments to the shared folder, so that every search reads postings, not texts.
+``search`` counts the test terms in the index, files each test window under its rarest term, and sends the windows to every
+segment in chunks of a checked size. A segment looks up the windows of the terms it has; such a
+window starts from the postings of its rarest term there and intersects them, shifted by the terms' offsets,
 with those of the other terms, from rare to frequent; what is left are exact phrase matches. With
 ``slop`` it also finds proximity matches: all words in order within ``slop`` more words.
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinegrid.llm.bytewords import ALNUM_LOWER, Words, pieces
+from kinegrid.llm.common import cut_lineage, fresh, small_or_joined
 
 SEGMENT_BYTES = 4 << 20
 #: Test texts are held by each task in chunks of about so many bytes.
@@ -73,23 +76,66 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(_index_batches, SEGMENT)
 
 
+def stored(index: DataFrame) -> DataFrame:
+    """The segments, written to the shared folder."""
+    return cut_lineage(index)
+
+
+def _count_batches(queries):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = queries.value.terms
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch.column(0)[row].values
+                known = pc.index_in(terms.cast(own.type), value_set=own).fill_null(-1).to_numpy(zero_copy_only=False)
+                some = np.flatnonzero(known >= 0)
+                total[some] += np.diff(np.frombuffer(batch.column(1)[row].as_py(), np.int64))[known[some]]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
+
+    return run
+
+
+def term_counts(index: DataFrame, queries) -> np.ndarray:
+    """How often the corpus has each test term: at most one row per term of a chunk of test texts."""
+    found = index.select("terms", "term_starts").mapInArrow(_count_batches(queries), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(queries.value.terms), np.int64)
+    for r in found:
+        counts[r["term"]] = r["n"]
+    return counts
+
+
 class Queries:
-    """Test windows as rows of term numbers, by length."""
+    """Test windows by length: where each starts among the term numbers of all items, and its item."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         words = Words(pa.array([t for _, t in items], pa.string()), ALNUM_LOWER, lower=True)
-        codes, self.terms = words.coded() if items else (np.zeros(0, int), pa.array([], pa.large_binary()))
+        self.codes, self.terms = words.coded() if items else (np.zeros(0, np.int64), pa.array([], pa.large_binary()))
         self.ids = [i or "" for i, _ in items]
+        size = np.minimum(words.counts, window) if items else np.zeros(0, np.int64)
         self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        rows: dict[int, list] = {}
-        for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
-            size = min(window, b - a)
-            for at in range(a, b - size + 1) if size else ():
-                rows.setdefault(size, []).append((i, codes[at : at + size]))
-        for size, found in rows.items():
-            windows = np.array([c for _, c in found])
-            owner = np.array([i for i, _ in found])
-            self.groups[size] = (windows, owner)
+        for s in np.unique(size[size > 0]).tolist():
+            some = np.flatnonzero(size == s)
+            many = words.counts[some] - s + 1
+            ends = np.cumsum(many)
+            starts = np.arange(int(ends[-1])) - np.repeat(ends - many - words.first[some], many)
+            self.groups[s] = starts, np.repeat(some, many)
+        self.file(np.zeros(len(self.terms), np.int64))
+
+    def windows(self, size: int, at: np.ndarray) -> np.ndarray:
+        return self.codes[self.groups[size][0][at, None] + np.arange(size)]
+
+    def file(self, counts: np.ndarray) -> None:
+        """Files windows under their rarest term: filed[size] has the windows in order of that term, and its bounds by term."""
+        self.filed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, (starts, _) in self.groups.items():
+            rarest = np.zeros(len(starts), np.int64)
+            for a in range(0, len(starts), 1 << 16):
+                terms = self.windows(size, np.arange(a, min(len(starts), a + (1 << 16))))
+                rarest[a : a + len(terms)] = terms[np.arange(len(terms)), counts[terms].argmin(axis=1)]
+            order = np.argsort(rarest, kind="stable")
+            self.filed[size] = order, np.searchsorted(rarest[order], np.arange(len(self.terms) + 1))
 
 
 def _held(sorted_list: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -138,10 +184,16 @@ def search_segment(docs: np.ndarray, terms: pa.Array, starts: np.ndarray, positi
     if not n or not queries.groups:
         return change[:n] > 0, exact, near
     known = pc.index_in(queries.terms.cast(terms.type), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
-    for size, (windows, owner) in queries.groups.items():
-        here = known[windows]
-        for w in np.flatnonzero((here >= 0).all(axis=1)):
-            lists = [positions[starts[t] : starts[t + 1]] for t in here[w]]
+    there = np.flatnonzero(known >= 0)
+    for size, (_, owner) in queries.groups.items():
+        order, bounds = queries.filed[size]
+        many = bounds[there + 1] - bounds[there]
+        ends = np.cumsum(many)
+        asked = order[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - many - bounds[there], many)]
+        here = known[queries.windows(size, asked)]
+        for k in np.flatnonzero((here >= 0).all(axis=1)):
+            w = asked[k]
+            lists = [positions[starts[t] : starts[t + 1]] for t in here[k]]
             at = _phrase(lists)
             doc = np.searchsorted(docs, at, "right") - 1
             inside = at + size <= docs[doc + 1] if len(at) else np.zeros(0, bool)
@@ -218,7 +270,9 @@ def search(index: DataFrame, tests: DataFrame, *, item: str = "item_id", text: s
     passes = []
     for c in range(chunks):
         rows = wanted.where(F.pmod(F.xxhash64("t"), F.lit(chunks)) == c) if chunks > 1 else wanted
-        asked = spark.sparkContext.broadcast(Queries([tuple(r) for r in rows.toLocalIterator()], window))
+        queries = Queries([tuple(r) for r in rows.toLocalIterator()], window)
+        queries.file(term_counts(index, spark.sparkContext.broadcast(queries)))
+        asked = spark.sparkContext.broadcast(queries)
         passes.append(index.mapInArrow(_search_batches(asked, slop), FOUND))
     if chunks == 1:
         return passes[0]
@@ -249,11 +303,13 @@ def contaminated(n_hit, n_words):
 def decontaminate(docs: DataFrame, tests: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns.
 
-    A contaminated key is a few bytes; rows that repeat a key are told apart by the hash of their text.
+    A contaminated row is known by 128 bits of its key and text: a few bytes each, joined by broadcast where they are few.
     """
-    mark = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
-    both = docs.select(F.concat_ws(" ", mark, F.col(key).cast("string")).alias("_k"), F.col(text).alias("_t"))
-    found = search(build_index(both, key="_k", text="_t"), tests, item=item, text=item_text)
-    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias("_k")).distinct()
-    marked = docs.withColumn("_k", F.concat_ws(" ", mark, F.col(key).cast("string")))
-    return marked.join(bad, "_k", "left_anti").drop("_k")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    h, g = (F.xxhash64(F.lit(salt), F.col(key).cast("string"), body) for salt in (1, 2))
+    both = docs.select(F.concat_ws(" ", h, g).alias("key"), F.col(text).cast("string").alias("text"))
+    found = search(stored(build_index(both, key="key", text="text")), tests, item=item, text=item_text)
+    at, and_at = (fresh(docs.columns, n) for n in ("_h", "_g"))
+    number = lambda i: F.split("key", " ")[i].cast("long")
+    bad = small_or_joined(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(number(0).alias(at), number(1).alias(and_at)).distinct())
+    return docs.withColumns({at: h, and_at: g}).join(bad, [at, and_at], "left_anti").select(*docs.columns)

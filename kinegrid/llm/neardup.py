@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinegrid.llm.bytewords import NOT_SPACE, Words, mixed, pieces, shingles, word_hashes
-from kinegrid.llm.common import cut_lineage
+from kinegrid.llm.common import cut_lineage, fresh, small_or_joined
 from kinegrid.llm.components import connected_components
 
 WORDS = 5
@@ -126,8 +126,8 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(_sketch_batches, schema)
 
 
-def with_nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """All columns of docs, and the node of each row's text as ``_node``."""
+def with_nodes(docs: DataFrame, key: str, text: str, into: str = "_node") -> DataFrame:
+    """All columns of docs, and the node of each row's text."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +135,9 @@ def with_nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
             for part in pieces(batch, names.index(text), PIECE_BYTES):
                 words = Words(part.column(names.index(text)), NOT_SPACE, lower=True)
                 nodes = _nodes(words, word_hashes(words), part.column(names.index(key)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.binary())], names=[*names, "_node"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.binary())], names=[*names, into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_node", T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(into, T.BinaryType())]))
 
 
 def probability_jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -384,11 +384,23 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, the one with the least key; all columns of docs."""
+    """One document of each class, the one with the least key; all columns of docs.
+
+    A class is a chain of similar texts, so the document that stays can be less similar to some of the others.
+    """
     classed, _ = near_duplicates(docs, key=key, text=text, threshold=threshold)
     # keys need not be unique: of a class's rows with the least key one text stays, of its repeated rows one
-    least = classed.where(F.col(key).eqNullSafe(F.col("class_id")))
-    one = least.groupBy("component").agg(F.min("node").alias("_node"), F.first("class_id").alias("_key")).select("_node", "_key")
-    rows = with_nodes(docs, key, text)
-    kept = rows.join(one, (rows["_node"] == one["_node"]) & rows[key].eqNullSafe(one["_key"]), "left_semi")
-    return kept.dropDuplicates(["_node", key]).drop("_node")
+    shared = classed.where("class_size > 1").select("component", "node", F.col(key).alias("k"), F.col(key).eqNullSafe(F.col("class_id")).alias("least"))
+    stays = shared.where("least").groupBy("component").agg(F.min("node").alias("stay"))
+    texts = shared.groupBy("component", "node", "k").agg(F.count("*").alias("n"), F.max("least").alias("least")).join(stays, "component")
+    repeated = F.col("least") & (F.col("node") == F.col("stay"))
+    name, k = (fresh(docs.columns, x) for x in ("_node", "_key"))
+    marked = texts.where(~repeated | (F.col("n") > 1)).select(F.col("node").alias(name), F.col("k").alias(k), repeated.alias("again"))
+    marks = small_or_joined(marked)
+    rows = with_nodes(docs, key, text, name)
+    met = (rows[name] == marks[name]) & rows[key].eqNullSafe(marks[k])
+    kept = rows.join(marks, met, "left_anti").select(*docs.columns)
+    again = marks.where("again")
+    if again.isEmpty():
+        return kept
+    return kept.union(rows.join(again, (rows[name] == again[name]) & rows[key].eqNullSafe(again[k]), "left_semi").dropDuplicates([name, key]).select(*docs.columns))

@@ -60,11 +60,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kinegrid.llm.segment import NBEST, Vocabulary, decode, encode
+    from kinegrid.llm.segment import NBEST, Vocabulary, encode
 
-    vocabulary = Vocabulary.load()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = decode(encode(docs, vocabulary, nbest=NBEST), vocabulary)
+    back = encode(docs, Vocabulary.load(), nbest=NBEST, decoded="decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
@@ -99,10 +98,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _contamination(spark: SparkSession, sf_dir: str, slop: int, *more: Column) -> DataFrame:
-    from kinegrid.llm.contamination import build_index, contaminated, search
+    from kinegrid.llm.contamination import build_index, contaminated, search, stored
 
     docs = table(spark, sf_dir, "documents")
-    found = search(build_index(docs), table(spark, sf_dir, "benchmark"), slop=slop)
+    found = search(stored(build_index(docs)), table(spark, sf_dir, "benchmark"), slop=slop)
     return found.select(
         F.col("key").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         "n_words",

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from kinegrid.llm.bytewords import pieces as slices
 from kinegrid.llm.bytewords import raw
+from kinegrid.llm.common import fresh
 
 MARK = "▁"
 SPACE = 0x20
@@ -310,11 +311,18 @@ def _alternatives(segmented: Segmented, codes: np.ndarray, starts: np.ndarray, n
     for k in near.tolist():
         paths = segmented.known[int(codes[k])]
         choices.append([(0.0, None), *((paths[0][0] - s, (k, ids)) for s, ids in paths[1:])])
-    picks = ((sum(c[0] for c in pick), i, pick) for i, pick in enumerate(itertools.product(*choices)))
+    # best first: each step takes the next path of one chunk, never of a chunk before the last one changed
+    heap = [(0.0, (0,) * len(choices), 0)]
     out = []
-    for lost, _, pick in heapq.nsmallest(n, picks, key=lambda x: x[:2]):
-        patches = [{"at": int(starts[k]), "drop": int(segmented.bounds[codes[k] + 1] - segmented.bounds[codes[k]]), "ids": list(ids)} for _, change in pick if change for k, ids in [change]]
+    while heap and len(out) < n:
+        lost, pick, last = heapq.heappop(heap)
+        changes = [c[i][1] for c, i in zip(choices, pick, strict=True) if i]
+        patches = [{"at": int(starts[k]), "drop": int(segmented.bounds[codes[k] + 1] - segmented.bounds[codes[k]]), "ids": list(ids)} for k, ids in changes]
         out.append({"score": best - lost, "patches": patches})
+        for j in range(last, len(choices)):
+            if pick[j] + 1 < len(choices[j]):
+                step = (*pick[:j], pick[j] + 1, *pick[j + 1 :])
+                heapq.heappush(heap, (sum(c[i][0] for c, i in zip(choices, step, strict=True)), step, j))
     return out
 
 
@@ -357,15 +365,17 @@ def decode_slice(vocabulary: Vocabulary, ids: pa.Array) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out[keep])]).cast(pa.large_string()).cast(pa.string())
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", nbest: int = NBEST) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", nbest: int = NBEST, decoded: str | None = None) -> DataFrame:
     """All columns of docs, ids (the best segmentation's pieces), score, and nbest: [(score, patches of ids)], the best one first.
 
-    Columns of docs named ids, score or nbest are replaced.
+    With ``decoded``, a column of that name has the text that the ids decode to, as ``decode`` gives it, made in the same pass.
+    Columns of docs named ids, score, nbest or like ``decoded`` are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), *([T.StructField("nbest", NBEST_TYPE)] if nbest > 1 else [])]
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType())]
+    added += [T.StructField("nbest", NBEST_TYPE)] * (nbest > 1) + [T.StructField(decoded or "", T.StringType())] * (decoded is not None)
     kept = [c for c in docs.columns if c not in {f.name for f in added}]
-    rows = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    rows = docs.select(*kept, F.col(text).cast("string").alias(fresh(docs.columns, "_text")))
     schema = T.StructType([*docs.select(*kept).schema, *added])
     patches = pa.list_(pa.struct([("score", pa.float64()), ("patches", pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 
@@ -373,9 +383,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", nbest
         for batch in batches:
             for part in slices(batch, len(kept), SLICE_BYTES):
                 ids, scores, nbests = encode_slice(shared.value, part.column(len(kept)), nbest)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(kept))), ids, pa.array(scores), *([pa.array(nbests, patches)] if nbest > 1 else [])], names=schema.names
-                )
+                more = [pa.array(nbests, patches)] if nbest > 1 else []
+                more += [decode_slice(shared.value, ids)] if decoded is not None else []
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), ids, pa.array(scores), *more], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
