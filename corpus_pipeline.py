@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's documents."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's documents.
+
+Defined cases: a null or empty text fails the base limits of the first stage; repeated rows are judged alike and one of them stays
+after the third stage; null keys pass; further columns of documents pass, whatever their names, but for ids, score, nbest and
+round_trip, which the last stage gives; without documents, labels or benchmark rows every stage gives what its operator gives for
+an empty table (no labels: the ranking scores all alike, at a half).
+"""
 
 from __future__ import annotations
 
@@ -8,12 +14,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import shared_folder, table
+from kinegrid.llm.common import fresh, shared_folder, table
 from kinegrid.llm.contamination import decontaminate
 from kinegrid.llm.neardup import drop_near_duplicates
 from kinegrid.llm.ranking import THRESHOLD, held_out, score, train
 from kinegrid.llm.rules import keep_good
-from kinegrid.llm.segment import NBEST, Vocabulary, decode, encode
+from kinegrid.llm.segment import NBEST, Vocabulary, encode
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose ranking score reaches the threshold; the ranking is learnt from the labelled documents of the whole input."""
     model = train(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), train_only=lambda k: ~held_out(k))
-    return score(docs, model, into="_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    into = fresh(docs.columns, "score")
+    return score(docs, model, into=into).where(F.col(into) >= THRESHOLD).drop(into)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +46,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the pieces of their best segmentation (ids), its score, the N best, and whether the pieces read back to the text."""
-    vocabulary = Vocabulary.load()
-    back = decode(encode(docs, vocabulary, nbest=NBEST), vocabulary, into="_decoded")
-    return back.withColumn("round_trip", F.col("_decoded") == F.coalesce("text", F.lit(""))).drop("_decoded")
+    into = fresh(docs.columns, "decoded")
+    back = encode(docs, Vocabulary.load(), nbest=NBEST, decoded=into)
+    return back.withColumn("round_trip", F.col(into) == F.coalesce("text", F.lit(""))).drop(into)
 
 
 STAGES = [
@@ -55,12 +62,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """A stage's documents, when the next stage's are written. Those of the last written stage stay for whoever reads the result."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Between stages the kept documents are written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     folder = posixpath.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    last = None
     for name, stage in STAGES[:-1]:
         path = posixpath.join(folder, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            _delete(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
