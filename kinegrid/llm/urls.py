@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinegrid.llm.common import small_or_joined
 from kinegrid.llm.components import connected_components
 
 #: Up to so many rules are one CASE expression; beyond it they are a joined table keyed by host.
@@ -31,8 +32,10 @@ SCHEME = "[A-Za-z][A-Za-z0-9+.-]*:"
 REFERENCE = "(&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[A-Za-z]+;|&(?:amp|lt|gt|quot)(?![=A-Za-z0-9;])|[^&]+|&)"
 #: Named references: the Latin and Greek ones, and those of ASCII characters.
 NAMES = {k: chr(v) for k, v in html.entities.name2codepoint.items()} | {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";") and v.isascii()}
-CANONICAL_TAG = r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)"""
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'>\s]+)"""
+LINK_TAG = r"""(?is)(<link\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
+BASE_TAG = r"""(?is)(<base\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
+CANONICAL = r"""(?is)[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
+HREF = r"""(?is)[\s"'/]href\s*=\s*(?:"\s*([^"]*?)\s*"|'\s*([^']*?)\s*'|([^\s>"']+))"""
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -119,19 +122,24 @@ def resolved(own: Column, to: Column) -> Column:
     )
 
 
+def _attribute(tag: Column, pattern: str) -> Column:
+    return F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): alias keys of each page's url and of its canonical link or refresh target."""
+    """(a, b): alias keys of each page's url and of its canonical links and refresh targets, all of them, against the page's base."""
     body, own = F.coalesce(F.col(html), F.lit("")), F.col(url)
-    canonical = F.regexp_extract(F.regexp_extract(body, CANONICAL_TAG, 1), HREF, 1)
-    tag = F.get(F.filter(F.regexp_extract_all(body, F.lit(META_TAG), F.lit(1)), lambda x: x.rlike(REFRESH_TAG)), 0)
-    content = F.coalesce(F.concat(*(F.regexp_extract(tag, CONTENT, i) for i in (1, 2, 3))), F.lit(""))
-    refresh = F.regexp_extract(decoded(content), REFRESH_URL, 1)
-    return (
-        pages.select(own.alias("own"), F.explode(F.array(decoded(canonical), refresh)).alias("target")).where("target <> ''")
-        .select("own", resolved(F.col("own"), F.col("target")).alias("full"))
-        .select(alias_key(F.col("own")).alias("a"), alias_key(F.col("full")).alias("b"))
-        .where("a is not null and b is not null and a <> b")
-    )
+    tags = lambda pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
+    canonical = F.transform(F.filter(tags(LINK_TAG), lambda x: x.rlike(CANONICAL)), lambda x: decoded(_attribute(x, HREF)))
+    refresh = F.transform(F.filter(tags(META_TAG), lambda x: x.rlike(REFRESH_TAG)), lambda x: F.regexp_extract(decoded(_attribute(x, CONTENT)), REFRESH_URL, 1))
+    href = decoded(_attribute(F.coalesce(F.get(tags(BASE_TAG), 0), F.lit("")), HREF))
+    told = body.rlike(r"(?i)<link\b[^>]*canonical|<meta\b[^>]*refresh")  # most pages name no other url
+    once = lambda x: F.explode(F.array(x))  # noqa: E731  a generator keeps the optimizer from copying x into each of its uses
+    found = pages.where(told).select(own.alias("own"), once(F.struct(href.alias("href"), F.concat(canonical, refresh).alias("targets"))).alias("x"))
+    found = found.select("own", F.col("x.href").alias("href"), F.explode("x.targets").alias("target")).where("target <> ''")
+    base = F.when(F.col("href") == "", F.col("own")).otherwise(F.coalesce(resolved(F.col("own"), F.col("href")), F.col("own")))
+    found = found.select("own", "target", once(base).alias("base")).select("own", once(resolved(F.col("base"), F.col("target"))).alias("full"))
+    return found.select(alias_key(F.col("own")).alias("a"), alias_key(F.col("full")).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def judge_urls(
@@ -163,7 +171,9 @@ def judge_urls(
     if classes is None:
         judged = judged.withColumn("class_verdict", F.lit(None).cast("string"))
     else:
-        judged = judged.withColumn("alias", alias_key(F.col("u"))).join(classes, "alias", "left")
+        # a url without an alias key meets none; its row is dealt by its own key
+        alias = F.coalesce(alias_key(F.col("u")), F.concat(F.lit("\n"), F.col("k").cast("string")), F.lit("\n"))
+        judged = judged.withColumn("alias", alias).join(small_or_joined(classes), "alias", "left")
     by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("class_verdict").isNotNull(), "class").otherwise("default")
     return judged.select(
         F.col("k").alias(key), "host", "path", "rule", F.coalesce("rule_verdict", "class_verdict", F.lit("allow")).alias("verdict"), by.alias("decided_by")

@@ -132,6 +132,41 @@ def test_page_link_targets(spark):
     assert got == Counter(w for _, _, w in cases if w)
 
 
+def test_all_links_of_a_page(spark):
+    body = """<head><base href="/b/"><link href=one rel="next canonical"><link rel=stylesheet href=no.css><link rel='canonical' href=' two '>
+    <link rel="canonical-x" href=no><meta content="0; url=three" http-equiv="refresh"><meta http-equiv=refresh content="1;url=https://z.org/four"></head>"""
+    got = {r["b"] for r in urls.page_links(spark.createDataFrame([("https://x.org/p/q", body)], "url string, html string")).collect()}
+    assert got == {"x.org/b/one", "x.org/b/two", "x.org/b/three", "z.org/four"}
+
+
+def test_redirect_graph_brute_force(spark):
+    """Hubs, cycles, chains and random links, with rules on both sides, against union-find."""
+    rng = np.random.default_rng(5)
+    host = lambda i: f"https://{('example.com/en', 'www.example.com/en', 'a.net/es', 'b.net', 'c.org', 'd.io', 'e.org', 'f.org')[i % 8]}/p{i}"
+    n = 400
+    links = [(i, 4) for i in range(12, 60, 8)] + [(i, i + 8) for i in range(61, 200, 8)] + [(204, 212), (212, 220), (220, 204)]
+    links += [(int(a), int(b)) for a, b in rng.integers(220, n, (110, 2)) if a % 8 > 2 or b % 3 == 0]
+    pages_of = {i: "".join(f'<link rel="canonical" href="{host(b)}">' for a, b in links if a == i) for i in range(n)}
+    given = spark.createDataFrame([(host(0), host(7)), (host(1), host(7)), (host(2), host(15)), (None, host(1)), (host(3), None)], "src string, dst string")
+    table = spark.createDataFrame([(i, host(i), pages_of[i]) for i in range(n)], "page_id long, url string, html string")
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in [*links, (0, 7), (1, 7), (2, 15)]:
+        root[find(a)] = find(b)
+    own = ["block", "allow", "block", None, None, None, None, None]
+    classes = {}
+    for i in range(n):
+        classes.setdefault(find(i), set()).add(own[i % 8])
+    want = {i: own[i % 8] or ("block" if "block" in classes[find(i)] and "allow" not in classes[find(i)] else "allow") for i in range(n)}
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(table, RULES, redirects=given).collect()}
+    assert got == want and sum(v == "block" and own[i % 8] is None for i, v in want.items()) > 10
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (6, 6), (None, 7), (3, 1), *[(100 + i, 101 + i) for i in range(40)]]
     got = {(r["node"], r["component"]) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -156,6 +191,17 @@ def test_shards(spark):
     assert shards.interleaved_shards(table.where("false"), 7).count() == 0
 
 
+def test_shards_split_equal_rows(spark, monkeypatch):
+    """Null and repeated keys of one text fill no cell, and their rows are spread over all shards."""
+    monkeypatch.setattr(shards, "CELL_ROWS", 16)
+    monkeypatch.setattr(shards, "SPAN", 4)
+    rows = [(None, "same", "hot")] * 300 + [(7, f"t{i % 3}", "hot") for i in range(200)] + [(i, "x", "cold") for i in range(100)]
+    got = shards.interleaved_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), 6).toPandas()
+    assert got.groupby("shard").size().tolist() == [100] * 6
+    assert all(sorted(g["slot"]) == list(range(100)) for _, g in got.groupby("shard"))
+    assert got[got["doc_id"].isna()].groupby("shard").size().min() > 30
+
+
 def test_contamination_brute_force(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(12)]
