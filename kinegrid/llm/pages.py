@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element. A line's weight is the length of its text, without link text
-outside the article; lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing, and neither do lines outside
-``<article>`` or ``<main>`` where a page has one. Weights are summed over sliding windows of lines; the
-distribution surges where a window starts to hold text and dives where none follows. The text between a surge and
-its dive is kept. Without an article element, blocks whose peak is far below the page's highest are dropped too.
+outside the article, times a prior: more inside ``<article>`` or ``<main>``, next to nothing for lines of menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments, or outside the article where a page has one. Weights are summed over sliding
+windows of lines. The page's own distribution of these sums is split in two (the split with the greatest variance between its sides,
+of the sums' logarithms); the text surges where a window reaches the split, and dives at the end of the last one that does. The text between
+a surge and its dive is kept, but for lines of next to no weight. Blocks whose peak is far below the page's highest are dropped.
+The priors alone keep nothing and drop nothing: a long marked block can reach the split, and unmarked crumbs do not.
 
 Defined cases: a null or empty page has an empty text; unclosed tags, comments and scripts end with the page; very long
 pages are read whole; repeated rows give equal rows; an empty table gives no rows.
@@ -13,6 +15,8 @@ pages are read whole; repeated rows give equal rows; an empty table gives no row
 from __future__ import annotations
 
 import html
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,7 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 3
-#: Without an article element: a block is kept whose peak window has so many characters, or this share of the highest peak.
+#: Priors of lines inside an article, and of marked ones or those outside the article.
+INSIDE, MARKED = 64.0, 1 / 400
+#: Bounds of the split, and the share of it that a line of a kept block needs.
+SPLIT, LINE_SHARE = (12.0, 48.0), 1 / 12
+#: A block is kept whose peak window has so much weight, or this share of the highest peak.
 PEAK, PEAK_SHARE = 80, 0.25
 #: Fixed values of HTML: elements without text of the page, elements that do not end a line, elements that never have content.
 SILENT = frozenset("script style template noscript svg math head title iframe object canvas audio video textarea select datalist".split())
@@ -136,33 +144,46 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return found
 
 
-def main_text(page: str | None) -> str:
-    """The kept lines, joined by an empty line."""
-    found = lines(page or "")
+def line_weights(found: list[tuple[str, int, bool, bool]]) -> list[float]:
     has_article = any(inside and not flag for _, _, flag, inside in found)
     weights = []
     for text, linked, flag, inside in found:
-        if flag or has_article and not inside:
-            weights.append(0)
-        else:
-            weights.append(len(text) if inside else max(0, len(text) - linked))
-    total = [0]
-    for w in weights:
-        total.append(total[-1] + w)
+        prior = MARKED if flag or has_article and not inside else INSIDE if inside else 1.0
+        weights.append(prior * (len(text) if inside else max(0, len(text) - linked)))
+    return weights
+
+
+def split(sums: list[float]) -> float:
+    """The middle between the two sides of the sums' logarithms with the greatest variance between them, within SPLIT."""
+    logs = sorted(math.log1p(x) for x in sums)
+    total, left, best, at = sum(logs), 0.0, 0.0, 0.0
+    for k in range(1, len(logs)):
+        left += logs[k - 1]
+        between = k * (len(logs) - k) * (left / k - (total - left) / (len(logs) - k)) ** 2
+        if between > best:
+            best, at = between, math.expm1((logs[k - 1] + logs[k]) / 2)
+    return min(max(at, SPLIT[0]), SPLIT[1])
+
+
+def main_text(page: str | None) -> str:
+    """The kept lines, joined by an empty line."""
+    found = lines(page or "")
+    weights = line_weights(found)
     n = len(weights)
+    total = list(itertools.accumulate(weights, initial=0.0))
     windows = [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
-    highest = max(windows, default=0)
+    highest = max(windows, default=0.0)
+    level = max(1.0, min(split(windows), highest / 2))  # a page of a few short lines is judged by its own peak
     kept: list[str] = []
-    i = 0
+    i = end = 0
     while i < n:
-        if not windows[i]:
-            i += 1
-            continue
         surge = i
-        while i < n and windows[i]:
+        while i < n and windows[i] >= level:
             i += 1
-        if has_article or max(windows[surge:i]) >= min(PEAK, PEAK_SHARE * highest):
-            kept += [found[k][0] for k in range(surge, i) if weights[k]]
+        if i > surge and max(windows[surge:i]) >= min(PEAK, PEAK_SHARE * highest):
+            kept += [found[k][0] for k in range(max(surge, end), min(n, i + WINDOW - 1)) if weights[k] >= LINE_SHARE * level]
+            end = min(n, i + WINDOW - 1)
+        i += i == surge
     return "\n\n".join(kept)
 
 

@@ -92,6 +92,39 @@ def test_page_table(spark):
 RULES = queries.URL_RULES
 
 
+def test_page_windows_decide():
+    """On all pages of sf0.001: a brute-force twin of surge and dive agrees, and without windows most pages would have another text."""
+    table = duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()
+    other = 0
+    for (html,) in table:
+        found = pages.lines(html or "")
+        weights = np.array(pages.line_weights(found))
+        sums = np.array([weights[i : i + pages.WINDOW].sum() for i in range(len(weights))])
+        logs = np.sort(np.log1p(sums))
+        cuts = [(k * (len(logs) - k) * (logs[:k].mean() - logs[k:].mean()) ** 2, k) for k in range(1, len(logs))]
+        k = max(cuts, key=lambda c: (round(c[0], 9), -c[1]))[1]
+        level = min(max(math.expm1((logs[k - 1] + logs[k]) / 2), pages.SPLIT[0]), pages.SPLIT[1])
+        level = max(1.0, min(level, sums.max() / 2))
+        reached = sums >= level
+        block = np.cumsum(np.diff(reached, prepend=False) & reached) * reached
+        peaks = {b: sums[block == b].max() for b in set(block[reached])}
+        good = [b for b in block if b and peaks[b] >= min(pages.PEAK, pages.PEAK_SHARE * sums.max())]
+        covered = {j for i, b in enumerate(block) if b in good for j in range(i, min(len(sums), i + pages.WINDOW))}
+        want = "\n\n".join(found[i][0] for i in sorted(covered) if weights[i] >= pages.LINE_SHARE * level)
+        assert pages.main_text(html) == want
+        other += "\n\n".join(line[0] for line, w in zip(found, weights) if w > 0) != want
+    assert other > 0.9 * len(table)
+
+
+def test_page_without_article():
+    body = "".join(f"<p>{'Plain words of a long paragraph stand here. ' * 4}</p>" for _ in range(5))
+    page = f"<body><div><a href=x>One</a></div><div><a href=y>Two</a></div><div>Login</div><div>Help</div><div>Menu</div>{body}<p>The end is short.</p><div>ok</div><div>up</div><div>top</div></body>"
+    got = pages.main_text(page).split("\n\n")
+    assert [g for g in got if g.startswith("Plain")] == got[-6:-1] and got[-1] == "The end is short." and "One" not in got and "Login" not in got
+    long_comment = f"<body><div class=comment>{'A reader says a lot. ' * 30}</div><article><h1>T</h1>{body}</article><div id=comments><p>{'More of it. ' * 40}</p></div></body>"
+    assert pages.main_text(long_comment).split("\n\n") == ["T", *["Plain words of a long paragraph stand here. " * 3 + "Plain words of a long paragraph stand here."] * 5]
+
+
 def test_url_rules_and_aliases(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [
