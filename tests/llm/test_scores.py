@@ -45,6 +45,25 @@ def test_no_training_texts_and_no_rows(spark):
     assert mixing.language_model_scores(docs(spark, []), lambda k: F.lit(True), lambda k: F.lit(False)).count() == 0
 
 
+def test_score_is_a_function_of_the_corpus(spark):
+    """The same scores under any number of partitions, and better ones than the base on texts that were not learnt from."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (3, 11):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = mixing.language_model_scores(rows.repartition(n), lambda k: residue(k, 7) != 2, lambda k: residue(k, 7) == 3).collect()
+            found.append({r["doc_id"]: (r["score"], r["base_score"], r["held_out"]) for r in got})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0].keys() == found[1].keys() and all(found[0][k][0] == pytest.approx(found[1][k][0], abs=1e-6) for k in found[0])
+    apart = [v for v in found[0].values() if v[2]]
+    assert sum(v[0] for v in apart) > sum(v[1] for v in apart)
+
+
 def test_spelled_words_are_a_distribution():
     """Each bit's two outcomes share one context, so a word's bits are a path in a binary tree; all words closed by a space sum to 1 at most."""
     model = mixing.Model(np.zeros(mixing.SLOTS, np.int8), np.zeros(mixing.SLOTS, np.int8), mixing.first_weights())
