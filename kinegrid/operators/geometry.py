@@ -23,7 +23,7 @@ GAUSS = {
 
 
 def locate_ports(trials: DataFrame, series: DataFrame) -> DataFrame:
-    """One row per session: medians of the position at center exit (all trials) and at choice entry, by the chosen side. A side without trials is null."""
+    """One row per session: medians of the position at center entry (all trials) and at choice entry, by the chosen side. A side without trials is null."""
     at = lambda c, p: series.select("session_id", F.col("frame").alias(c), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
     both = trials.join(at("ce", "c"), ["session_id", "ce"]).join(at("ch", "h"), ["session_id", "ch"])
     side = lambda c, s: F.median(F.when(F.col("choice") == s, F.col(c)))
@@ -66,22 +66,25 @@ def movement_samples(trials: DataFrame, series: DataFrame, least: int = 4) -> Da
 def smooth(samples: DataFrame, columns: Sequence[str] = ("x", "y"), sigma: float = 1.5, keys: Sequence[str] = TRIAL) -> DataFrame:
     """Gaussian filter along k, mirrored at both ends (half-sample symmetric). Needs m, the number of samples; fewer than 3 stay as they are.
 
-    Each tap is an equi-join with the mirrored index, written as an array lookup in the trial's own packed samples.
+    A trial's samples are packed once, filtered as arrays and unpacked again: m rows cost m times the taps, and no row carries an array.
     """
     half = GAUSS[sigma]
-    radius = len(half) - 1
-    arrays = samples.groupBy(*keys).agg(*[packed(c).alias(f"_{c}") for c in columns])
-    rows = samples.join(arrays, list(keys))
-    n = F.col("m")
+    radius, n = len(half) - 1, F.col("m")
+    others = [c for c in samples.columns if c not in (*keys, "k", "m", *columns)]
+    one = samples.groupBy(*keys).agg(F.first("m").alias("m"), *[packed(c).alias(f"_{c}") for c in columns], F.sort_array(F.collect_list(F.struct("k", *others))).alias("_rest"))
 
-    def mirrored(o: int) -> Column:
-        p = F.pmod(F.col("k") + o, 2 * n)
-        return F.when(p >= n, 2 * n - 1 - p).otherwise(p).cast("int")
+    def filtered(array: str) -> Column:
+        def tap(i: Column, o: int) -> Column:
+            p = F.pmod(i + o, 2 * n)
+            return half[abs(o)] * F.get(array, F.when(p >= n, 2 * n - 1 - p).otherwise(p).cast("int"))
 
-    for c in columns:
-        total = sum((half[abs(o)] * F.get(f"_{c}", mirrored(o)) for o in range(-radius, radius + 1)), F.lit(0.0))
-        rows = rows.withColumn(c, F.when(n >= 3, total).otherwise(F.col(c)))
-    return rows.drop(*[f"_{c}" for c in columns])
+        at = lambda x, i: F.when(n >= 3, sum((tap(i, o) for o in range(-radius, radius + 1)), F.lit(0.0))).otherwise(x)
+        return F.transform(array, at)
+
+    zipped = F.arrays_zip(*[F.col(f"_s_{c}") for c in columns], "_rest")
+    rows = one.select(*keys, "m", "_rest", *[filtered(f"_{c}").alias(f"_s_{c}") for c in columns]).select(*keys, "m", F.explode(zipped).alias("_r"))
+    found = {c: F.col(f"_r._s_{c}") for c in columns} | {c: F.col(f"_r._rest.{c}") for c in ("k", *others)}
+    return rows.select(*[found.get(c, F.col(c)).alias(c) for c in samples.columns])
 
 
 def arc_length(samples: DataFrame, keys: Sequence[str] = TRIAL) -> DataFrame:
@@ -136,28 +139,79 @@ def velocity_measures(samples: DataFrame, series: DataFrame, *, fps: float = RIG
         F.max("lin_vel").alias("peak_lin_vel"), F.max_by(k, F.struct(F.col("lin_vel").alias("v"), (-k).alias("k"))).alias("i_peak"),
         F.max_by("lin_vel", k).alias("vel_choice"), F.max(k).alias("last"), F.first("ce").alias("ce"), F.first("w_start").alias("w_start"), F.first("w_end").alias("w_end"),
     )
-    reach = round(0.12 * fps)
-    near = peaks.withColumn("peak_frame", F.col("ce") + F.col("i_peak"))
-    near = near.withColumn("frame", F.explode(F.sequence(F.greatest("w_start", F.col("peak_frame") - reach), F.least(F.col("w_end") - 1, F.col("peak_frame") + reach))))
-    near = near.join(series.select("session_id", "frame", "ang_vel"), ["session_id", "frame"])
-    best = F.struct(F.abs("ang_vel").alias("v"), (-F.col("frame")).alias("f"))
-    turned = near.groupBy(*keys).agg(F.max_by("ang_vel", best).alias("peak_ang_vel"), F.max_by(F.col("frame") - F.col("peak_frame"), best).alias("lag"))
-    return peaks.join(turned, list(keys)).select(
-        *keys, "peak_lin_vel", (F.col("i_peak") / fps).alias("t_peak_lin_vel"), "peak_ang_vel", (F.col("lag") / fps).alias("ang_peak_lag"), "vel_choice", (F.col("last") / fps).alias("t_choice"),
+    return peaks.join(_turn_at_peak(peaks, series, fps), list(keys)).select(
+        *keys, "peak_lin_vel", (F.col("i_peak") / fps).alias("t_peak_lin_vel"), "peak_ang_vel", "ang_peak_lag", "vel_choice", (F.col("last") / fps).alias("t_choice"),
     )
 
 
 LABELS = ("session_id", "idx", "absolute_trial", "session", "subject", "target", "choice", "trial_type", "error")
 
 
+#: Label and behaviour columns that a measure table takes from the trials, where they are there.
+CARRIED = ("subject", "session", "absolute_trial", "target", "choice", "trial_type", "error", "cue", "sampling", "rt")
+
+
+def smoothed_path(path: Column, sigma: float = 1.5) -> Column:
+    """Total length, and displacement from first to last point, of an array of (x, y) after ``smooth``."""
+    half = GAUSS[sigma]
+    radius, n = len(half) - 1, F.size(path)
+
+    def point(i: Column) -> Column:
+        def tap(o: int) -> Column:
+            p = F.pmod(i + o, 2 * n)
+            return F.get(path, F.when(p >= n, 2 * n - 1 - p).otherwise(p).cast("int"))
+
+        taps = F.array(*[F.struct(F.lit(half[abs(o)]).alias("w"), tap(o).alias("p")) for o in range(-radius, radius + 1)])
+        total = lambda c: F.aggregate(taps, F.lit(0.0), lambda acc, t: acc + t["w"] * t["p"][c])
+        return F.when(n >= 3, F.struct(total("x").alias("x"), total("y").alias("y"))).otherwise(F.get(path, i))
+
+    step = lambda u, v: F.sqrt((v["x"] - u["x"]) ** 2 + (v["y"] - u["y"]) ** 2)
+    start = lambda q: F.struct(F.lit(0.0).alias("total"), F.get(q, 0).alias("at"))
+    measure = lambda q: F.aggregate(
+        q, start(q), lambda acc, v: F.struct((acc["total"] + step(acc["at"], v)).alias("total"), v.alias("at")), lambda acc: F.struct(acc["total"].alias("total"), step(F.get(q, 0), acc["at"]).alias("disp"))
+    )
+    return F.get(F.transform(F.array(F.transform(F.sequence(F.lit(0), n - 1), point)), measure), 0)
+
+
 def build_measure_table(trials: DataFrame, series: DataFrame, axis: DataFrame, *, sigma: float = 1.5, fps: float = RIG.framerate) -> DataFrame:
-    """One row per measurable trial: labels and all scalar measures. Trials that cannot be measured drop (see ``exclusions``)."""
-    samples = movement_samples(trials, series)
-    lengths = path_measures(smooth(samples, sigma=sigma), axis)
-    marks = landmark_measures(samples, axis, fps=fps)
-    labels = samples.groupBy(*TRIAL).agg(*[F.first(c).alias(c) for c in trials.columns if c in ("target", "choice", "error", "cue", "rt", "absolute_trial", "trial_type")])
-    peak = samples.groupBy(*TRIAL).agg(F.max("lin_vel").alias("peak_lin_vel"), (F.max("k") / fps).alias("t_choice"))
-    return labels.join(lengths, list(TRIAL)).join(marks, list(TRIAL)).join(peak, list(TRIAL))
+    """One row per measurable trial: labels and all scalar measures. Trials that cannot be measured drop (see ``exclusions``).
+
+    All but the turn around the speed peak come from one pass over the samples and one aggregate by trial. Measures of heading or angular velocity
+    are there if ``series`` has head_angle or ang_vel; w_start and w_end (the trial's window) default to the movement.
+    """
+    names = set(trials.columns)
+    carried = [c for c in CARRIED if c in names]
+    bounds = {"w_start": F.col("w_start") if "w_start" in names else F.col("ce"), "w_end": F.col("w_end") if "w_end" in names else F.col("ch") + 1}
+    rows = projected(arc_length(movement_samples(trials.withColumns(bounds), series)), axis).withColumn("total", F.max("arc").over(whole(*TRIAL)))
+    k, away = F.col("k"), -F.col("along")
+    first_max = lambda v: F.max_by(k, F.struct(v.alias("v"), (-k).alias("k")))
+    heading = "head_angle" in series.columns
+    one = rows.groupBy(*TRIAL).agg(
+        *[F.first(c).alias(c) for c in [*carried, "ce", "w_start", "w_end", "s", "ux", "uy", "scale"]], F.first("d_chosen").alias("d"), F.max(k).alias("last"),
+        F.transform(F.sort_array(F.collect_list(F.struct("k", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("path"),
+        F.max(away).alias("dev"), first_max(away).alias("i_dev"), F.min(F.when(F.col("along") >= 0.5 * F.col("d_chosen"), k)).alias("commit"),
+        *([F.min_by("head_angle", F.when(F.col("arc") >= 0.2 * F.col("total"), k)).alias("head")] if heading else []),
+        F.max("lin_vel").alias("peak_lin_vel"), first_max(F.col("lin_vel")).alias("i_peak"), F.max_by("lin_vel", k).alias("vel_choice"),
+    )
+    d = F.nullif("d", F.lit(0.0))
+    out = one.withColumn("smoothed", smoothed_path(F.col("path"), sigma)).select(
+        *TRIAL, *carried, "ce", "w_start", "w_end", "i_peak", "vel_choice", "peak_lin_vel", (F.col("i_peak") / fps).alias("t_peak_lin_vel"), (F.col("last") / fps).alias("t_choice"),
+        (F.coalesce("commit", "last") / fps).alias("t_commit"), (F.col("dev") * F.col("scale")).alias("dev_unchosen_cm"), (F.col("dev") / d).alias("dev_unchosen_norm"),
+        "i_dev", (F.col("i_dev") / fps).alias("t_dev"), *([(F.col("s") * (F.cos("head") * F.col("ux") + F.sin("head") * F.col("uy"))).alias("head_to_chosen")] if heading else []),
+        (F.col("smoothed.total") / F.nullif("smoothed.disp", F.lit(0.0))).alias("tortuosity"), (F.col("smoothed.total") * F.col("scale")).alias("path_len_cm"), (F.col("smoothed.total") / d).alias("path_len_norm"),
+    )
+    if "ang_vel" in series.columns:
+        out = out.join(_turn_at_peak(out, series, fps), list(TRIAL), "left")
+    return out.drop("ce", "w_start", "w_end", "i_peak")
+
+
+def _turn_at_peak(peaks: DataFrame, series: DataFrame, fps: float) -> DataFrame:
+    """Per trial: the signed angular velocity that is strongest within 0.12 s of the speed peak, first of equals, and its lag. peaks: ce, i_peak, w_start, w_end."""
+    reach, at = round(0.12 * fps), F.col("ce") + F.col("i_peak")
+    near = peaks.select(*TRIAL, at.alias("peak_frame"), F.explode(F.sequence(F.greatest("w_start", at - reach), F.least(F.col("w_end") - 1, at + reach))).alias("frame"))
+    near = near.join(series.select("session_id", "frame", "ang_vel"), ["session_id", "frame"])
+    best = F.struct(F.abs("ang_vel").alias("v"), (-F.col("frame")).alias("f"))
+    return near.groupBy(*TRIAL).agg(F.max_by("ang_vel", best).alias("peak_ang_vel"), (F.max_by(F.col("frame") - F.col("peak_frame"), best) / fps).alias("ang_peak_lag"))
 
 
 def measure_columns(table: DataFrame) -> list[str]:

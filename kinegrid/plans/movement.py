@@ -186,6 +186,39 @@ def q27b_node_speed(spark, sf):
     return pose_ops.node_speed(rows).select("session_id", "frame", F.round("speed", 6).alias("speed"))
 
 
+def _signals(spark, sf):
+    """Frames with a heading and an angular velocity."""
+    return L.frames(spark, sf).withColumn("ang_vel", (F.col("event_id") * 37 % 101 - 50).cast("double")).withColumn("head_angle", F.col("event_id") % 63 / 10)
+
+
+def _windowed_trials(spark, sf):
+    return L.trials(spark, sf).withColumns({"w_start": F.greatest(F.col("ce") - 2, F.lit(0)), "w_end": F.col("ch") + 2, "sampling": F.col("rt") / 2})
+
+
+_MEASURES = (
+    "WITH " + _MOVES.replace("f.lin_vel FROM ok o", "f.lin_vel, (f.event_id * 37 % 101 - 50)::DOUBLE AS ang_vel, (f.event_id % 63) / 10 AS head_angle, o.target, o.cue, o.rt FROM ok o") + ", " + _arc("moves", "arcs") + ", " + _ALONG
+    + ", " + _smooth(1.5, "sm") + ", " + _arc("sm", "sarcs")
+    + """, g AS (SELECT session_id, idx, any_value(target) AS target, any_value(choice) AS choice, any_value(error) AS error, any_value(cue) AS cue, any_value(rt) AS rt, any_value(ce) AS ce, any_value(ch) AS ch,
+ max(-along) AS dev, arg_max(k, struct_pack(v := -along, k := -k)) AS i_dev, max(k) AS last, min(CASE WHEN along >= 0.5 * d_chosen THEN k END) AS c, arg_min(head_angle, CASE WHEN arc >= 0.2::DOUBLE * total THEN k END) AS head,
+ any_value(scale) AS scale, any_value(d_chosen) AS d, max(lin_vel) AS peak, arg_max(k, struct_pack(v := lin_vel, k := -k)) AS i_peak, arg_max(lin_vel, k) AS vel_choice FROM pr GROUP BY 1, 2),
+e AS (SELECT session_id, idx, max(arc) AS total, sqrt((arg_max(x, k) - arg_min(x, k)) * (arg_max(x, k) - arg_min(x, k)) + (arg_max(y, k) - arg_min(y, k)) * (arg_max(y, k) - arg_min(y, k))) AS disp FROM sarcs GROUP BY 1, 2),
+tn AS (SELECT g.session_id, g.idx, f.frame - (ce + i_peak) AS lag, (f.event_id * 37 % 101 - 50)::DOUBLE AS av FROM g JOIN frames f ON f.session_id = g.session_id AND f.frame BETWEEN greatest(ce - 2, 0, ce + i_peak - 3) AND least(ch + 1, ce + i_peak + 3)),
+tp AS (SELECT session_id, idx, arg_max(av, struct_pack(v := abs(av), f := -lag)) AS peak_ang_vel, arg_max(lag, struct_pack(v := abs(av), f := -lag)) AS lag FROM tn GROUP BY 1, 2)
+SELECT session_id, idx, target, choice, error, cue, round(rt / 2, 6) AS sampling, round(rt, 6) AS rt, round(vel_choice, 6) AS vel_choice, round(peak, 6) AS peak_lin_vel, round(i_peak / 25, 6) AS t_peak_lin_vel, round(last / 25, 6) AS t_choice,
+ round(coalesce(c, last) / 25, 6) AS t_commit, round(dev * g.scale, 5) AS dev_unchosen_cm, round(dev / nullif(d, 0), 5) AS dev_unchosen_norm, i_dev, round(i_dev / 25, 6) AS t_dev,
+ round(CASE WHEN choice = 1 THEN 1 ELSE -1 END * (cos(head) * ux + sin(head) * uy), 5) AS head_to_chosen, round(total / nullif(disp, 0), 4) AS tortuosity, round(total * g.scale, 4) AS path_len_cm, round(total / nullif(d, 0), 4) AS path_len_norm,
+ peak_ang_vel, round(lag / 25, 6) AS ang_peak_lag FROM g JOIN e USING (session_id, idx) JOIN axis USING (session_id) LEFT JOIN tp USING (session_id, idx)"""
+)
+
+
+@query(_MEASURES)
+def q46_measure_table(spark, sf):
+    """Every scalar measure of every measurable trial."""
+    t = geometry.build_measure_table(_windowed_trials(spark, sf), _signals(spark, sf), _axis(spark, sf))
+    places = {"tortuosity": 4, "path_len_cm": 4, "path_len_norm": 4, "dev_unchosen_cm": 5, "dev_unchosen_norm": 5, "head_to_chosen": 5}
+    return t.select(*[F.round(c, places.get(c, 6)).alias(c) if k == "double" and c != "peak_ang_vel" else F.col(c) for c, k in t.dtypes])
+
+
 @query(
     "WITH " + _MOVES + ", " + _smooth(1.5, "sm") + ", " + _arc("sm", "arcs") + """, ends AS (SELECT session_id, idx, max(arc) AS total FROM arcs GROUP BY 1, 2), mv AS (SELECT m.session_id, m.idx, any_value(error) AS error, max(lin_vel) AS peak, max(-CASE WHEN choice = 1 THEN 1 ELSE -1 END * ((x - center_x) * ux + (y - center_y) * uy)) * any_value(scale) AS dev, any_value(scale) AS scale FROM moves m JOIN axis USING (session_id) GROUP BY 1, 2)
  SELECT error, count(*) AS n_trials, round(avg(total * scale), 5) AS mean_path_len_cm, round(avg(peak), 5) AS mean_peak_lin_vel, round(avg(dev), 5) AS mean_dev_unchosen_cm FROM mv JOIN ends USING (session_id, idx) GROUP BY 1"""
