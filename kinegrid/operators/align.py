@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinegrid.config import RIG
+from kinegrid.config import EPOCHS, RIG
 from kinegrid.functions.expr import by
 
 
@@ -43,6 +43,18 @@ def aligned_windows(events: DataFrame, series: DataFrame, *, before: int = 25, a
     return wanted.join(series.select("session_id", "frame", F.col(value).alias("value")), ["session_id", "frame"], "left").select("session_id", "idx", "offset", "value")
 
 
+def epoch_velocities(events: DataFrame, series: DataFrame, epochs: dict[str, tuple[int, int]] | None = None, value: str = "lin_vel") -> DataFrame:
+    """(session_id, idx, event, offset, value): the window of each event's epoch (frames before and after it), null outside the session.
+
+    events: (session_id, idx, event, frame); events without an epoch are left out.
+    """
+    epochs = EPOCHS if epochs is None else epochs
+    spans = F.create_map(*[x for e, (before, after) in epochs.items() for x in (F.lit(e), F.sequence(F.lit(-before), F.lit(after - 1)))])
+    wanted = events.where(F.col("event").isin(*epochs)).select("session_id", "idx", "event", F.col("frame").alias("_at"), F.explode(spans[F.col("event")]).alias("offset"))
+    wanted = wanted.withColumn("frame", F.col("_at") + F.col("offset"))
+    return wanted.join(series.select("session_id", "frame", F.col(value).alias("value")), ["session_id", "frame"], "left").select("session_id", "idx", "event", "offset", "value")
+
+
 def offset_scores(trials: DataFrame, series: DataFrame, low: float, high: float, step: float, *, fps: float = RIG.framerate, least: int = 5) -> DataFrame:
     """(session_id, k, f0, n_valid, score) of candidate offsets: mean speed of movements less mean speed of holds.
 

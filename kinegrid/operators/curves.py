@@ -118,6 +118,14 @@ def rest_minimum(series: DataFrame, peaks: DataFrame, value: str = "lin_vel", *,
     return out.select(*keys, F.coalesce("_before", "_first", F.lit(0)).cast("long").alias("rest_k"))
 
 
+def figure_trials(samples: DataFrame, start: str | None = None, value: str = "lin_vel", keys: Sequence[str] = TRIAL) -> DataFrame:
+    """(keys, localmax, lmax_idx, localmin) of each trial for figures: its first peak, the peak's place, and the rest minimum before it (0 without a peak)."""
+    peaks = first_peak(samples, value, start=start, keys=keys)
+    rests = rest_minimum(samples, peaks, value, keys=keys)
+    rows = rests.join(peaks, list(keys), "left")
+    return rows.select(*keys, F.col("peak").alias("localmax"), F.col("peak_k").alias("lmax_idx"), F.when(F.col("peak_k").isNull(), F.lit(0)).otherwise(F.col("rest_k")).cast("long").alias("localmin"))
+
+
 def epoch_peaks(windows: DataFrame, *, window_before: int, fps: float = RIG.framerate, floor: float = RIG.peak_floor, keys: Sequence[str] = TRIAL) -> DataFrame:
     """Per event window (keys, offset, value): peak, its place and time, and the peaks before and after the event; each null below the floor."""
     o = F.col("offset")

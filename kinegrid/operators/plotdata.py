@@ -66,6 +66,20 @@ def histogram(df: DataFrame, value: str, bins: int = 25) -> DataFrame:
     return rows.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def shares(df: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, q<place>): percentiles with linear interpolation, such as terciles (1/3, 2/3) or display limits (0.01, 0.99)."""
+    each = F.percentile(value, F.array(*[F.lit(p) for p in points]))
+    return df.groupBy(*by).agg(each.alias("_q")).select(*by, *[F.get("_q", i).alias(f"q{i}") for i in range(len(points))])
+
+
+def extreme_trials(table: DataFrame, measure: str, by: Sequence[str] = (), key: str = "idx") -> DataFrame:
+    """(by, least, greatest): keys of the trials with the least and the greatest measure, the first one of equals; nulls take no part."""
+    rows = table.where(F.col(measure).isNotNull())
+    return rows.groupBy(*by).agg(
+        F.min_by(key, F.struct(measure, key)).alias("least"), F.max_by(key, F.struct(F.col(measure).alias("v"), (-F.col(key)).alias("k"))).alias("greatest")
+    )
+
+
 def select_trials(table: DataFrame, wanted: Sequence[int], key: str = "idx") -> DataFrame:
     """The named trials in the asked order (column ``place``); absent ones are left out."""
     order = table.sparkSession.createDataFrame([(int(k), i) for i, k in enumerate(wanted)], "_k long, place int")

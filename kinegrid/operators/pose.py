@@ -111,6 +111,29 @@ def angular_measures(df: DataFrame, fps: float = RIG.framerate, keys: Sequence[s
     return rows.withColumn("ang_vel", gradient(F.col("angle_unwrapped"), 1 / fps, w))
 
 
+def session_series(
+    pose: DataFrame, *, left: str, right: str, heading: str | None = None, centroid_nodes: Sequence[str] | None = None, scale: float | Column = RIG.fallback_scale, fps: float = RIG.framerate
+) -> DataFrame:
+    """(session_id, frame, x, y, lin_vel, head_angle, ang_vel) from pose rows (session_id, frame, node, x, y).
+
+    The heading points from the middle of the posterior pair to the heading node, or along the pair's normal without one. A heading node that no row
+    names raises KeyError.
+    """
+    if heading is not None and pose.where(F.col("node") == heading).isEmpty():
+        raise KeyError(f"no row of node {heading!r}; for a pair alone pass heading=None")
+    inside = F.lit(True) if centroid_nodes is None else F.col("node").isin(*centroid_nodes)
+    at = lambda node, c: F.max(F.when(F.col("node") == node, F.col(c)))
+    ends = {"left": left, "right": right} | ({"head": heading} if heading is not None else {})
+    rows = pose.groupBy("session_id", "frame").agg(
+        *[F.avg(F.when(inside, F.col(c))).alias(c) for c in ("x", "y")], *[at(n, c).alias(f"{e}_{c}") for e, n in ends.items() for c in ("x", "y")]
+    )
+    rows = velocity(rows, scale=scale, fps=fps, into="lin_vel")
+    if heading is None:
+        rows = heading_from_pair(rows).withColumnsRenamed({"heading_x": "head_x", "heading_y": "head_y"})
+    rows = rows.withColumns({"hx": F.col("head_x") - (F.col("left_x") + F.col("right_x")) / 2, "hy": F.col("head_y") - (F.col("left_y") + F.col("right_y")) / 2})
+    return angular_measures(rows, fps=fps).select("session_id", "frame", "x", "y", "lin_vel", "head_angle", "ang_vel")
+
+
 def node_speed(df: DataFrame, scale: float = RIG.fallback_scale, fps: float = RIG.framerate, keys: Sequence[str] = ("session_id", "node")) -> DataFrame:
     """Adds ``speed``: forward differences; the last sample repeats the one before."""
     w = by(*keys)

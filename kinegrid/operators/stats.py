@@ -210,9 +210,12 @@ def perm_diff_biserial(df: DataFrame, value: str, error: str, condition: str, n_
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, keys: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """(keys, mean, low, high): percentile interval of Poisson-bootstrap means; weights are drawn per row and replicate, so it is one aggregate."""
-    rows = df.select(*keys, F.col(value).alias("_v")).where("_v is not null").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_r", "_v", F.monotonically_increasing_id()), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """(keys, mean, low, high): percentile interval of Poisson-bootstrap means; weights are drawn per row and replicate, so it is one aggregate.
+
+    A weight is a hash of the seed, the replicate and the row's columns: the same rows give the same interval, however they are dealt.
+    """
+    rows = df.select(*keys, F.col(value).alias("_v"), F.xxhash64(F.lit(seed), *df.columns).alias("_id")).where("_v is not null").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    u = (F.pmod(F.xxhash64("_id", "_r"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     cut, p = [], math.exp(-1)
     total = p
     for k in range(1, 8):

@@ -91,7 +91,7 @@ def q34b_main_effect(spark, sf):
 
 @query()
 def q34c_bootstrap_ci(spark, sf):
-    return stats.bootstrap_mean_ci(L.trials(spark, sf), "rt", ["cue"], n_boot=200)
+    return stats.bootstrap_mean_ci(L.trials(spark, sf), "rt", ["cue"])
 
 
 _WARPS = "w AS (SELECT idx, k, grid AS t, power(grid, 1 + abs(y)) AS gamma FROM curves)"

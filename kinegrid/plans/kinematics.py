@@ -138,8 +138,8 @@ def q08_msd(spark, sf):
 
 
 @query(
-    "WITH " + L.CURVES + """, g AS (SELECT unnest(range(50)) AS g), w AS (SELECT g, g * 63.0 / 49 AS at, least(CAST(floor(g * 63.0 / 49) AS BIGINT), 62) AS lo FROM g)
- SELECT a.idx, CAST(w.g AS BIGINT) AS g, round(a.y + (b.y - a.y) * (w.at - w.lo), 6) AS y FROM w JOIN curves a ON a.k = w.lo JOIN curves b ON b.k = w.lo + 1 AND b.idx = a.idx"""
+    """WITH w AS (SELECT g, g * 63.0::DOUBLE / 49 AS p, least(CAST(floor(g * 63.0::DOUBLE / 49) AS BIGINT), 62) AS lo FROM (SELECT unnest(range(50)) AS g))
+ SELECT vec_id AS idx, CAST(g AS BIGINT) AS g, round(embedding[lo + 1]::DOUBLE + (embedding[lo + 2]::DOUBLE - embedding[lo + 1]::DOUBLE) * (p - lo), 6) AS y FROM embeddings, w"""
 )
 def q09_resample(spark, sf):
     rows = L.packed_curves(spark, sf).select("idx", "y", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("g"))
@@ -196,3 +196,47 @@ def q14_offset_search(spark, sf):
     t, f = _offset_inputs(spark, sf)
     best = align.best_offset(align.offset_scores(t, f, 0.0, 8.0, 0.5, fps=2, least=2))
     return best.select("session_id", F.round("f0", 6).alias("f0"), F.round("score", 6).alias("score"))
+
+
+def _pose(spark, sf):
+    """Three nodes around each frame's position."""
+    a, b = F.col("event_id") % 5, F.col("event_id") % 3
+    node = lambda n, x, y: F.struct(F.lit(n).alias("node"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    nodes = F.array(node("head", F.col("x"), F.col("y")), node("left", F.col("x") - 3, F.col("y") + a), node("right", F.col("x") + 4, F.col("y") - b))
+    return L.frames(spark, sf).select("session_id", "frame", F.explode(nodes).alias("n")).select("session_id", "frame", "n.*")
+
+
+_POSE = L.FRAMES + """, f2 AS (SELECT session_id, frame, (x + (x - 3) + (x + 4)) / 3 AS x, (y + (y + event_id % 5) + (y - event_id % 3)) / 3 AS y,
+ x - ((x - 3) + (x + 4)) / 2 AS hx, y - ((y + event_id % 5) + (y - event_id % 3)) / 2 AS hy FROM frames)"""
+_SERIES = (
+    "WITH " + _POSE + _SG[len(L.FRAMES) :].replace("FROM frames)", "FROM f2)") + _ANGLES[len(L.FRAMES) :].replace("h AS (", "hd AS (", 1).replace("atan2(y - 49.5, x - 20.5)", "atan2(hy, hx)").replace("FROM frames)", "FROM f2)").replace("FROM h)", "FROM hd)")
+    + """, l AS (SELECT *, lag(un) OVER w AS u0, lead(un) OVER w AS u1 FROM u WINDOW w AS (PARTITION BY session_id ORDER BY frame))
+SELECT session_id, frame, round(f2.x, 6) AS x, round(f2.y, 6) AS y, round(sqrt(dx * dx + dy * dy) * 2.5, 5) AS lin_vel, round(a, 6) AS head_angle,
+ round(CASE WHEN u0 IS NULL THEN (u1 - un) / 0.04 WHEN u1 IS NULL THEN (un - u0) / 0.04 ELSE (u1 - u0) / 0.08 END, 4) AS ang_vel FROM f2 JOIN d USING (session_id, frame) JOIN l USING (session_id, frame)"""
+).replace("AS n FROM frames", "AS n FROM f2")
+
+
+@query(_SERIES)
+def q47_session_series(spark, sf):
+    """Centroid, speed, heading and angular velocity from the nodes of a pose."""
+    t = pose.session_series(_pose(spark, sf), left="left", right="right", heading="head", scale=0.1)
+    places = {"lin_vel": 5, "ang_vel": 4}
+    return t.select("session_id", "frame", *[F.round(c, places.get(c, 6)).alias(c) for c in t.columns[2:]])
+
+
+_EPOCHS = " UNION ALL ".join(
+    f"SELECT session_id, idx, '{e}' AS event, {at} AS at, unnest(range(-{b}, {a})) AS o FROM trials"
+    for (e, (b, a)), at in zip(align.EPOCHS.items(), ("ce - 3", "ce", "ch", "ch + 2"), strict=True)
+)
+
+
+@query(
+    "WITH " + L.TRIALS + ", w AS (" + _EPOCHS + """) SELECT event, CAST(o AS INT) AS "offset", count(*) AS n_windows, count(lin_vel) AS n, round(avg(lin_vel), 6) AS mean_velocity
+ FROM w LEFT JOIN frames f ON f.session_id = w.session_id AND f.frame = w.at + w.o GROUP BY 1, 2"""
+)
+def q48_epoch_velocities(spark, sf):
+    """Mean speed around each of the four events, over their epochs."""
+    at = {"center_entry": F.col("ce") - 3, "center_exit": F.col("ce"), "choice_entry": F.col("ch"), "reward_entry": F.col("ch") + 2}
+    events = L.trials(spark, sf).select("session_id", "idx", F.explode(F.array(*[F.struct(F.lit(e).alias("event"), c.alias("frame")) for e, c in at.items()])).alias("e")).select("session_id", "idx", "e.*")
+    found = align.epoch_velocities(events, L.frames(spark, sf))
+    return found.groupBy("event", "offset").agg(F.count("*").alias("n_windows"), F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean_velocity"))

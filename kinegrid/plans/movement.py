@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinegrid.operators import align, curves, geometry
+from kinegrid.operators import align, curves, geometry, plotdata
 from kinegrid.operators import pose as pose_ops
 from kinegrid.operators.geometry import GAUSS
 from kinegrid.plans import lenses as L
@@ -167,6 +167,29 @@ def q26_peak_and_rest(spark, sf):
     return curves.rest_minimum(s, peaks, keys=["session_id"]).join(peaks, "session_id", "left").select("session_id", "peak_k", "rest_k")
 
 
+@query("WITH " + _PEAK + """, g AS (SELECT s.session_id, any_value(lw.peak_k) AS lmax_idx, coalesce(max(CASE WHEN low AND lw.k < lw.peak_k THEN lw.k END), min(CASE WHEN low THEN lw.k END), 0) AS r FROM (SELECT DISTINCT session_id FROM s) s JOIN lw USING (session_id) GROUP BY 1)
+ SELECT g.session_id, round(peak, 6) AS localmax, lmax_idx, CASE WHEN lmax_idx IS NULL THEN 0 ELSE r END AS localmin FROM g LEFT JOIN pk USING (session_id)""")
+def q49_figure_trials(spark, sf):
+    """First peak, its place and the rest before it, as figures use them."""
+    s = _session_series(spark, sf).withColumn("start", F.lit(4))
+    return rounded(curves.figure_trials(s, start="start", keys=["session_id"]), "session_id")
+
+
+_Q = "quantile_cont(rt, [1.0 / 3, 2.0 / 3, 0.01, 0.99])"
+
+
+@query("WITH " + L.TRIALS + f" SELECT session_id, round({_Q}[1], 6) AS q0, round({_Q}[2], 6) AS q1, round({_Q}[3], 6) AS q2, round({_Q}[4], 6) AS q3 FROM trials GROUP BY 1")
+def q50_reaction_time_shares(spark, sf):
+    """Terciles and display limits of each session's reaction times."""
+    return rounded(plotdata.shares(L.trials(spark, sf), "rt", (1 / 3, 2 / 3, 0.01, 0.99), ["session_id"]), "session_id")
+
+
+@query("WITH " + L.TRIALS + " SELECT session_id, arg_min(idx, struct_pack(a := rt, b := idx)) AS least, arg_max(idx, struct_pack(a := rt, b := -idx)) AS greatest FROM trials GROUP BY 1")
+def q51_extreme_trials(spark, sf):
+    """The fastest and the slowest trial of each session."""
+    return plotdata.extreme_trials(L.trials(spark, sf), "rt", ["session_id"])
+
+
 @query(
     "WITH " + L.TRIALS + """, a AS (SELECT t.session_id, t.idx, f.frame - ch AS o, f.lin_vel AS v FROM trials t JOIN frames f ON f.session_id = t.session_id AND f.frame >= ch - 5 AND f.frame < ch + 6),
  g AS (SELECT session_id, idx, max(v) AS p, arg_max(o, struct_pack(v := v, o := -o)) AS w, max(v) FILTER (o < 0) AS b, max(v) FILTER (o >= 0) AS f FROM a GROUP BY 1, 2)

@@ -85,6 +85,31 @@ def test_straight_trial(spark, side):
     assert m["tortuosity"] == pytest.approx(1) and m["t_commit"] == pytest.approx(0.6) and m["t_choice"] == pytest.approx(1.2)
 
 
+@pytest.mark.parametrize("side", [0, 1])
+def test_every_measure(spark, side):
+    """The hand-made trial's goldens, with heading and behaviour columns."""
+    axis = geometry.decision_axis(ports(spark))
+    series = trial_frames(spark, side).withColumns({"ang_vel": F.lit(0.0), "head_angle": F.lit(math.atan2(70.0 if side else -70.0, 2.0))})
+    table = geometry.build_measure_table(one_trial(spark, side).withColumn("sampling", F.lit(0.4)), series, axis)
+    m = table.first()
+    assert m["head_to_chosen"] == pytest.approx(0.999592, abs=1e-6) and m["peak_lin_vel"] == 10 and m["t_peak_lin_vel"] == 0 and m["vel_choice"] == 0
+    assert m["peak_ang_vel"] == 0 and m["sampling"] == 0.4 and {"sampling", "rt", "t_choice"} <= set(geometry.measure_columns(table))
+    assert not {"idx", "target", "choice", "error"} & set(geometry.measure_columns(table))
+
+
+def test_session_series_needs_its_heading_node(spark):
+    rows = spark.createDataFrame([("s", f, n, float(f) + d, d) for f in range(10) for n, d in (("l", 0.0), ("r", 1.0))], "session_id string, frame long, node string, x double, y double")
+    with pytest.raises(KeyError):
+        pose.session_series(rows, left="l", right="r", heading="nose")
+    assert pose.session_series(rows, left="l", right="r").where("lin_vel > 0 and ang_vel = 0").count() == 10
+
+
+def test_bootstrap_is_reproducible(spark):
+    rows = spark.range(300).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 7 % 31).cast("double").alias("v"))
+    one, two = (stats.bootstrap_mean_ci(rows.repartition(n), "v", ["g"], n_boot=100).orderBy("g").collect() for n in (1, 7))
+    assert [(r["g"], pytest.approx(r["low"]), pytest.approx(r["high"])) for r in one] == [(r["g"], r["low"], r["high"]) for r in two]
+
+
 def test_bowed_trial(spark):
     axis = geometry.decision_axis(ports(spark))
     m = geometry.build_measure_table(one_trial(spark, 1), trial_frames(spark, 1, 20.0), axis).first()
