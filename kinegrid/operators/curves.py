@@ -25,6 +25,20 @@ def movement_curves(samples: DataFrame, value: str, n_points: int = 50, least: i
     return grid.select(*keys, F.col("k").cast("long").alias("k"), (F.col("k") / F.lit(float(n_points - 1))).alias("grid"), lerp_at(F.col(value), at).alias("y"))
 
 
+def keypoint_speed_curves(trials: DataFrame, speeds: DataFrame, n_points: int = 50, pad: int = 2, least: int = 6, start: str = "ce", end: str = "ch") -> DataFrame:
+    """(session_id, idx, node, k, grid, y): each node's ``speed`` over [start - pad, end + pad), uniformly resampled.
+
+    speeds: (session_id, frame, node, speed). Trials that start before frame ``pad``, or of which a node lacks a frame, drop with all their nodes.
+    """
+    rows = trials.where(F.col(start) >= pad).select("session_id", "idx", F.col(start).alias("_a"), (F.col(end) + pad - 1).alias("_b"))
+    span = rows.withColumn("frame", F.explode(F.sequence(F.col("_a") - pad, F.col("_b")))).withColumn("k", F.col("frame") - F.col("_a") + pad)
+    found = span.join(speeds.select("session_id", "frame", "node", "speed"), ["session_id", "frame"])
+    nodes = speeds.where("speed is not null").groupBy("session_id").agg(F.count_distinct("node").alias("_nodes"))
+    sizes = found.groupBy("session_id", "idx").agg(F.count("speed").alias("_n"), F.max(F.col("_b") - F.col("_a") + pad + 1).alias("_m")).join(nodes, "session_id")
+    full = sizes.where((F.col("_m") >= least) & (F.col("_n") == F.col("_m") * F.col("_nodes"))).select("session_id", "idx")
+    return movement_curves(found.join(full, ["session_id", "idx"]), "speed", n_points, least, [*TRIAL, "node"])
+
+
 def on_arc_grid(rows: DataFrame, values: Sequence[str], n_points: int, keys: Sequence[str] = TRIAL) -> DataFrame:
     """(keys, k, values): interpolated at equal steps of ``arc``; of equal abscissae the last one counts. Paths without length drop."""
     one = packed_curves(rows, ["arc", *values], keys).withColumn("_n", F.size("arc")).withColumn("_total", F.get("arc", F.col("_n") - 1)).where("_total > 0")

@@ -221,6 +221,12 @@ def measure_columns(table: DataFrame) -> list[str]:
     return [f.name for f in table.schema if isinstance(f.dataType, NumericType) and f.name not in LABELS]
 
 
+def trial_meta(trials: DataFrame, keys: Sequence[str] = TRIAL) -> DataFrame:
+    """The keys and those labels of a trial that the table has."""
+    labels = ("target", "choice", "trial_type", "error", "cue", "rt")
+    return trials.select(*keys, *[c for c in labels if c in trials.columns])
+
+
 def exclusions(asked: DataFrame, measured: DataFrame, keys: Sequence[str] = TRIAL) -> tuple[DataFrame, DataFrame]:
     """Keys only in the first table, and keys only in the second one."""
     a, b = asked.select(*keys), measured.select(*keys)

@@ -92,3 +92,25 @@ def padded(paths: DataFrame, key: Sequence[str], columns: Sequence[str] = ("x",
     rows = paths.join(F.broadcast(longest))
     fill = lambda c: F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.get(c, (i - 1).cast("int")))
     return rows.select(*key, "_n", *[F.when(F.col("_n") > 0, fill(c)).otherwise(F.col(c)).alias(c) for c in columns]).withColumnRenamed("_n", "length")
+
+
+def local_trend(df: DataFrame, x: str, y: str, *, fraction: float = 2 / 3, n_points: int = 25) -> DataFrame:
+    """(k, x, n, y): local linear fits of y at equal steps of x, with tricube weights over the nearest ``fraction`` of the rows.
+
+    The reach of each point is a rank of distances (exact up to 10,000 distinct ones, within a ten-thousandth of the rows beyond), its fit one
+    aggregate of weighted sums. Rows with nulls drop; one value of x gives one fit, the mean.
+    """
+    rows = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
+    ends = rows.agg(F.min("_x").alias("a"), F.max("_x").alias("b")).where("a is not null")
+    at = F.col("a") + (F.col("b") - F.col("a")) * F.col("k") / F.lit(float(max(n_points - 1, 1)))
+    points = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1)))).select("k", at.alias("x")).dropDuplicates(["x"])
+    spread = rows.join(F.broadcast(points)).select("k", "x", (F.col("_x") - F.col("x")).alias("u"), "_y")  # n_points rows
+    reach = spread.groupBy("k").agg(F.percentile_approx(F.abs("u"), F.lit(fraction), F.lit(10_000)).alias("h"))
+    near = F.when(F.col("h") > 0, F.pow(1 - F.pow(F.least(F.abs("u") / F.nullif("h", F.lit(0.0)), F.lit(1.0)), 3), 3)).otherwise((F.col("u") == 0).cast("double"))
+    w, u, v = F.col("w"), F.col("u"), F.col("_y")
+    sums = spread.join(F.broadcast(reach), "k").withColumn("w", near).groupBy("k", "x").agg(
+        F.count(F.when(w > 0, 1)).alias("n"), F.sum(w).alias("s"), F.sum(w * u).alias("su"), F.sum(w * u * u).alias("suu"), F.sum(w * v).alias("sv"), F.sum(w * u * v).alias("suv")
+    )
+    det = F.col("s") * F.col("suu") - F.col("su") * F.col("su")
+    line = (F.col("sv") * F.col("suu") - F.col("su") * F.col("suv")) / F.nullif(det, F.lit(0.0))
+    return sums.select("k", "x", "n", F.when(det > 1e-9 * F.col("s") * F.col("s"), line).otherwise(F.col("sv") / F.nullif("s", F.lit(0.0))).alias("y"))

@@ -7,37 +7,38 @@ all rows meets in one task. The p-values are computed on the driver from a few n
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _before(counts: DataFrame, c: str, keys: Sequence[str]) -> DataFrame:
+    """Adds _b to (keys, c, _n): the sum of _n of the smaller values of c with the same keys.
+
+    Ranges of (keys, c) are summed up inside and then between ranges, so a key with a third of all rows is spread over many tasks.
+    """
+    parts = counts.repartitionByRange(*keys, c).withColumn("_p", F.spark_partition_id()).persist()
+    inside = Window.partitionBy(*keys, "_p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per key and range that holds it
+    between = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*keys, "_p").agg(F.sum("_n").alias("_t"))
+    offsets = totals.select(*keys, "_p", F.coalesce(F.sum("_t").over(between), F.lit(0)).alias("_o"))
+    own = parts.withColumn("_i", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return own.join(offsets, [*keys, "_p"]).withColumn("_b", F.col("_i") + F.col("_o")).drop("_p", "_i", "_o")
+
+
 def mid_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Adds r_<column>: average ranks from 1, within keys if given. Nulls have no rank.
+    """Adds r_<column>: average ranks from 1, within keys if given. Nulls have no rank; rows with a null key have none.
 
-    Distinct values are counted first (map-side), summed up along a sort of the distinct values in buckets, and joined back.
+    Distinct values are counted first (map-side), summed up along a range sort of the distinct values, and joined back.
     """
     out = df
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
-        if keys:
-            before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            ranks = counts.select(*keys, c, (before + (F.col("_n") + 1) / 2.0).alias(f"r_{c}"))
-        else:
-            # the partition number of a range sort orders the partitions: running counts within, offsets between
-            parts = counts.repartitionByRange(c).sortWithinPartitions(c).withColumn("_p", F.spark_partition_id()).persist()
-            inside = Window.partitionBy("_p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-            totals = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.sum("_n").alias("n")).collect()}  # one row per partition
-            offsets, run = [], 0
-            for p in sorted(totals):
-                offsets.append((p, run))
-                run += totals[p]
-            table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_p int, _o long")
-            before = F.coalesce(F.sum("_n").over(inside), F.lit(0))
-            ranks = parts.withColumn("_b", before).join(F.broadcast(table), "_p").select(c, (F.col("_o") + F.col("_b") + (F.col("_n") + 1) / 2.0).alias(f"r_{c}"))
+        ranks = _before(counts, c, keys).select(*keys, c, (F.col("_b") + (F.col("_n") + 1) / 2.0).alias(f"r_{c}"))
         out = out.join(ranks, [*keys, c], "left")
     return out
 
@@ -146,67 +147,99 @@ def spearman_p(r: float | None, n: int) -> float | None:
     return incomplete_beta((n - 2) / (n - 2 + t2), (n - 2) / 2, 0.5)
 
 
-def _ranks(x: np.ndarray) -> np.ndarray:
-    return pd.Series(x).rank().to_numpy()
+#: Rounds of a shuffle: each swaps a row's place with its mirror image or not, by a hash bit; 6 log2 n mix n places well.
+SHUFFLE_ROUNDS = 6
+
 
+def numbered(df: DataFrame, columns: Sequence[str], into: str = "_at") -> tuple[DataFrame, int]:
+    """The rows of the columns numbered from 0 in their order, and how many they are. Equal rows are numbered in any order."""
+    # equal rows are counted once and laid out again, so a hot row is a count and not a range of its own
+    counts = df.select(*columns).dropna().groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = counts.withColumn("_key", F.struct(*columns))
+    placed = _before(keyed, "_key", ()).drop("_key").cache()
+    n = placed.agg(F.sum("_n")).first()[0] or 0
+    return placed.withColumn(into, F.explode(F.sequence(F.col("_b"), F.col("_b") + F.col("_n") - 1))).drop("_b", "_n"), n
 
-def _partial(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
-    r = np.corrcoef([_ranks(a), _ranks(b), _ranks(c)])
-    rest = (1 - r[0, 2] ** 2) * (1 - r[1, 2] ** 2)
-    return (r[0, 1] - r[0, 2] * r[1, 2]) / math.sqrt(rest) if rest > 0 else math.nan
 
+def shuffled_place(at: Column, replicate: Column, n: int, seed: int) -> Column:
+    """The place of row ``at`` in a random order of 0 to n - 1: a keyed bijection (swap or not), so no replicate is sorted."""
+    rounds = F.sequence(F.lit(1), F.lit(SHUFFLE_ROUNDS * max(1, (n - 1).bit_length())))
 
-def _biserial(one: np.ndarray, zero: np.ndarray) -> float:
-    if not len(one) or not len(zero):
-        return math.nan
-    u = _ranks(np.concatenate([one, zero]))[: len(one)].sum() - len(one) * (len(one) + 1) / 2
-    return 2 * u / (len(one) * len(zero)) - 1
+    def swap(x: Column, k: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(F.lit(seed), replicate, k), F.lit(n)) - x, F.lit(n))
+        return F.when(F.xxhash64(F.lit(seed + 1), replicate, k, F.greatest(x, mirror)) % 2 == 0, x).otherwise(mirror)
 
+    return F.aggregate(rounds, at.cast("long"), swap)
 
-#: The rows of one permutation test must fit a task: it is for samples, not for corpora.
-PERMUTED_ROWS = 1_000_000
 
+def _with_replicates(rows: DataFrame, n_perm: int) -> DataFrame:
+    """Each row under every replicate; 0 is the observed order."""
+    return rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
 
-def _permuted(df: DataFrame, columns: Sequence[str], statistic, shuffle, n_perm: int, seed: int) -> dict[str, float]:
-    """Observed value and p. Replicate r draws from (seed, r), so results do not depend on the partitions."""
-    rows = df.select(*columns).dropna()
-    n = rows.count()
-    if n > PERMUTED_ROWS:
-        raise ValueError(f"{n} rows; a permutation test takes {PERMUTED_ROWS} at most")
-    spark = df.sparkSession
-    data = rows.toPandas().sort_values(list(columns)).to_numpy(float).T
-    shared = spark.sparkContext.broadcast(data)
-    observed = statistic(*data)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = shared.value
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "v": [statistic(*shuffle(held, np.random.default_rng([seed, int(r)]))) for r in batch["id"]]})
+def _against_null(values: DataFrame) -> dict[str, float]:
+    """observed (replicate 0) and the share of defined replicates that are as far from 0. values: (_r, v)."""
+    observed = values.where("_r = 0").select(F.first("v").alias("o"))
+    hit = F.avg(F.when(F.col("_r") > 0, (F.abs("v") >= F.abs("o") - 1e-12).cast("double")))
+    one = values.join(F.broadcast(observed)).where("v is not null").agg(F.first(F.col("o")).alias("o"), hit.alias("p")).first()  # a side of one row
+    return {"observed": one["o"], "p": one["p"]}
 
-    null = spark.range(n_perm, numPartitions=min(n_perm, 2 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "id long, v double")
-    hits = null.where(~F.isnan("v")).agg(F.avg((F.abs("v") >= abs(observed) - 1e-12).cast("double"))).first()[0]
-    return {"observed": observed, "p": hits}
+
+def _partial(ab: Column, ac: Column, bc: Column) -> Column:
+    rest = F.sqrt((1 - ac * ac) * (1 - bc * bc))
+    return (ab - ac * bc) / F.nullif(rest, F.lit(0.0))
 
 
 def perm_partial_p(df: DataFrame, a: str, b: str, c: str, n_perm: int = 10_000, seed: int = 0) -> dict[str, float]:
-    """Two-sided p of the partial rank correlation of a and b given c; b is shuffled."""
-    return _permuted(df, [a, b, c], _partial, lambda d, rng: (d[0], rng.permutation(d[1]), d[2]), n_perm, seed)
+    """Two-sided p of the partial rank correlation of a and b given c; b is shuffled. Results do not depend on the partitions.
 
+    Shuffling keeps the ranks, so each replicate is one sum of products over the rows joined with their shuffled places.
+    """
+    ranked = mid_ranks(df.select(a, b, c).dropna(), [a, b, c]).select(*[F.col(f"r_{x}").alias(n) for x, n in ((a, "x"), (b, "y"), (c, "z"))])
+    rows, n = numbered(ranked, ["x", "y", "z"])
+    place = F.when(F.col("_r") == 0, F.col("_at")).otherwise(shuffled_place(F.col("_at"), F.col("_r"), max(n, 1), seed))
+    moved = _with_replicates(rows.select("_at", "y"), n_perm).select("_r", "y", place.alias("_at")).persist(StorageLevel.DISK_ONLY)  # places are drawn once
+    sums = moved.join(rows.select("_at", "x", "z"), "_at").groupBy("_r")
+    r = sums.agg(guarded_corr("x", "y").alias("ab"), guarded_corr("x", "z").alias("ac"), guarded_corr("y", "z").alias("bc"))
+    out = _against_null(r.select("_r", _partial(F.col("ab"), F.col("ac"), F.col("bc")).alias("v")))
+    moved.unpersist()
+    return out
 
-def perm_diff_partial(df: DataFrame, a: str, b: str, c: str, condition: str, n_perm: int = 10_000, seed: int = 0) -> dict[str, float]:
-    """Difference of the partial rank correlation between conditions 1 and 0; conditions are shuffled."""
-    def diff(x, y, z, g):
-        return _partial(x[g == 1], y[g == 1], z[g == 1]) - _partial(x[g == 0], y[g == 0], z[g == 0])
 
-    return _permuted(df, [a, b, c, condition], diff, lambda d, rng: (d[0], d[1], d[2], rng.permutation(d[3])), n_perm, seed)
+def _labelled(df: DataFrame, columns: Sequence[str], condition: str, n_perm: int, seed: int) -> DataFrame:
+    """(columns, _r, _g): every row under each replicate with a shuffled condition; as many 1 as there are. Other conditions drop."""
+    g = F.col(condition).cast("int").alias("_g")
+    rows, n = numbered(df.where(F.col(condition).isin(0, 1)).select(*columns, g), [*columns, "_g"])
+    ones = rows.where("_g = 1").count()
+    drawn = (shuffled_place(F.col("_at"), F.col("_r"), max(n, 1), seed) < ones).cast("int")
+    # each replicate's conditions are drawn once and read by every column's ranks
+    return _with_replicates(rows, n_perm).withColumn("_g", F.when(F.col("_r") == 0, F.col("_g")).otherwise(drawn)).drop("_at").persist(StorageLevel.DISK_ONLY)
+
+
+def _difference(by_group: DataFrame) -> dict[str, float]:
+    """Replicates' values of condition 1 less those of 0, held against the observed one. by_group: (_r, _g, v)."""
+    of = lambda g: F.max(F.when(F.col("_g") == g, F.col("v")))
+    return _against_null(by_group.groupBy("_r").agg((of(1) - of(0)).alias("v")))
+
+
+def perm_diff_partial(df: DataFrame, a: str, b: str, c: str, condition: str, n_perm: int = 10_000, seed: int = 0) -> dict[str, float]:
+    """Difference of the partial rank correlation between conditions 1 and 0; conditions are shuffled, ranks are taken within each."""
+    keys = ["_r", "_g"]
+    rows = _labelled(df, [a, b, c], condition, n_perm, seed)
+    ranked = mid_ranks(rows, [a, b, c], keys)
+    r = ranked.groupBy(*keys).agg(*[guarded_corr(f"r_{x}", f"r_{y}").alias(n) for n, x, y in (("ab", a, b), ("ac", a, c), ("bc", b, c))])
+    out = _difference(r.select(*keys, _partial(F.col("ab"), F.col("ac"), F.col("bc")).alias("v")))
+    rows.unpersist()
+    return out
 
 
 def perm_diff_biserial(df: DataFrame, value: str, error: str, condition: str, n_perm: int = 10_000, seed: int = 0) -> dict[str, float]:
     """Difference of the rank-biserial effect of correct against wrong between conditions 1 and 0; conditions are shuffled."""
-    def diff(x, e, g):
-        return _biserial(x[(g == 1) & (e == 0)], x[(g == 1) & (e == 1)]) - _biserial(x[(g == 0) & (e == 0)], x[(g == 0) & (e == 1)])
-
-    return _permuted(df, [value, error, condition], diff, lambda d, rng: (d[0], d[1], rng.permutation(d[2])), n_perm, seed)
+    rows = _labelled(df, [value, error], condition, n_perm, seed)
+    effects = rank_biserial(rows.withColumn("_right", 1 - F.col(error).cast("int")), value, "_right", ["_r", "_g"])
+    out = _difference(effects.select("_r", "_g", F.col("effect").alias("v")))
+    rows.unpersist()
+    return out
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, keys: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:

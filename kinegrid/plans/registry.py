@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("kinematics", "movement", "inference")
+MODULES = ("kinematics", "movement", "inference", "reports")
 
 
 def _all(name: str) -> dict:

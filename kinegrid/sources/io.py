@@ -69,3 +69,9 @@ def write_table(df: DataFrame, path: str) -> str:
     """A measure table as CSV with a header."""
     df.write.mode("overwrite").csv(path, header=True)
     return path
+
+
+def save_curves(packed: DataFrame, meta: DataFrame, path: str, keys: Sequence[str] = ("session_id", "idx")) -> str:
+    """A curve bundle: arrays and labels in one Parquet table keyed by trial, so no row stands for another by its place. Curves without labels stay."""
+    packed.join(meta, list(keys), "left").write.mode("overwrite").parquet(path)
+    return path

@@ -173,7 +173,39 @@ def test_ranks_and_p_values(spark):
 def test_permutation_ignores_partitions(spark):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([tuple(map(float, r)) for r in rng.random((40, 3))], "a double, b double, c double")
-    assert stats.perm_partial_p(df, "a", "b", "c", n_perm=60) == stats.perm_partial_p(df.repartition(3), "a", "b", "c", n_perm=60)
+    one, two = (stats.perm_partial_p(d, "a", "b", "c", n_perm=60) for d in (df, df.repartition(3)))
+    assert one == pytest.approx(two)
+
+
+def test_shuffles_are_bijections_and_differ(spark):
+    places = spark.range(37).crossJoin(spark.range(1, 41).withColumnRenamed("id", "r")).withColumn("to", stats.shuffled_place(F.col("id"), F.col("r"), 37, 0)).toPandas()
+    assert all(sorted(p) == list(range(37)) for _, p in places.groupby("r")["to"]) and places.groupby("r")["to"].apply(tuple).nunique() == 40
+    assert places.groupby("id")["to"].mean().between(10, 26).all()
+
+
+def test_permutation_tests_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    n = 60
+    a, c, g, e = rng.random(n), rng.integers(0, 4, n), np.arange(n) % 2, rng.integers(0, 2, n)
+    b = a * (g + 0.2) + rng.random(n)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, g, e)], "a double, b double, c double, g double, e double")
+    rank = lambda v: (v[:, None] > v).sum(1) + ((v[:, None] == v).sum(1) + 1) / 2
+
+    def partial(k):
+        r = np.corrcoef([rank(v[k]) for v in (a, b, c)])
+        return (r[0, 1] - r[0, 2] * r[1, 2]) / math.sqrt((1 - r[0, 2] ** 2) * (1 - r[1, 2] ** 2))
+
+    def effect(k):
+        x, y = a[k & (e == 0)], a[k & (e == 1)]
+        return ((x[:, None] > y).mean() + (x[:, None] == y).mean() / 2) * 2 - 1
+
+    def p(f, label):
+        null = [f(q == 1) - f(q == 0) for q in (rng.permutation(label) for _ in range(1000))]
+        return np.mean(np.abs(null) >= abs(f(label == 1) - f(label == 0)))
+
+    for found, f in ((stats.perm_diff_partial(df, "a", "b", "c", "g", n_perm=300), partial), (stats.perm_diff_biserial(df, "a", "e", "g", n_perm=300), effect)):
+        assert found["observed"] == pytest.approx(f(g == 1) - f(g == 0)) and abs(found["p"] - p(f, g)) < 0.12
+    assert stats.perm_partial_p(df, "a", "b", "c", n_perm=100)["observed"] == pytest.approx(partial(g >= 0))
 
 
 def bumps(spark, shifts):
@@ -194,6 +226,16 @@ def test_registration_invariants(spark):
     assert all(abs(r["lag"]) < 1e-6 for r in same.collect())
 
 
+def test_reports_of_registrations(spark):
+    df = bumps(spark, [-0.1, -0.04, 0.02, 0.07, 0.1])
+    report = fda.convergence_report(df, (1, 2))
+    assert report["n_trials"] == 5 and report["lag_corr"] > 0.9 and report["lag_stable"] == (report["lag_corr"] >= 0.99)
+    long = df.select(F.lit("s").alias("session_id"), "idx", F.posexplode("y").alias("k", "y"))
+    labels = df.select(F.lit("s").alias("session_id"), "idx", (-F.col("idx")).cast("double").alias("rt"), F.lit(1).alias("cue"))
+    row = fda.compare_event_locks({"ce": long}, labels, max_iter=1).first()
+    assert row["n"] == 5 and abs(row["lag_rt"]) > 0.8 and row["lag_cue"] is None and 0 < row["pc1_var"] <= 1
+
+
 def test_shift_lag(spark):
     got = {r["idx"]: r["shift"] for r in fda.shift_lag(bumps(spark, [-0.1, 0.0, 0.1])).collect()}
     assert got[2] - got[0] == pytest.approx(0.2, abs=0.03)
