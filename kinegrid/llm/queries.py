@@ -122,6 +122,13 @@ def op9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contamination(spark, sf_dir, SLOP, F.size("near").cast("long").alias("n_near"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinegrid.llm.resampling import importance_resample
+
+    drawn = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = (
     op1_minhash_neardup,
     op2_quality_rules,
@@ -134,6 +141,7 @@ QUERIES = (
     op9_decontamination,
     op9_proximity,
     op10_quality_classifier,
+    op11_importance_resampling,
 )
 
 
@@ -164,6 +172,24 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN n USING (rid)"""
 )
 
 
+OP11_SQL = (
+    r"""WITH z AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS z),
+d AS (SELECT doc_id, row_number() OVER () AS rid, """
+    + _WORDS.format("text")
+    + " AS w FROM documents), b AS (SELECT "
+    + _WORDS.format("text")
+    + """ AS w FROM benchmark),
+x AS (SELECT DISTINCT f FROM (SELECT unnest(w) AS f FROM d UNION ALL SELECT unnest(w) FROM b)),
+c AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))), lambda a, y: xor(a >> 8, z[xor(a & 255, y) + 1])), 4294967295) % 10000 AS k FROM x, z),
+s AS (SELECT k, count(*) AS s FROM (SELECT unnest(w) AS f FROM d) JOIN c USING (f) GROUP BY k), t AS (SELECT k, count(*) AS t FROM (SELECT unnest(w) AS f FROM b) JOIN c USING (f) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT sum(len(w)) FROM d) + 10000) / (CAST(s + 1 AS DOUBLE) * ((SELECT coalesce(sum(len(w)), 0) FROM b) + 10000)))) AS g FROM s LEFT JOIN t USING (k)),
+e AS (SELECT rid, CAST(floor(sum(CAST(g AS BIGINT)) / count(*)) AS BIGINT) AS weight FROM (SELECT rid, unnest(w) AS f FROM d) JOIN c USING (f) JOIN g USING (k) GROUP BY rid),
+h AS (SELECT rid, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN e USING (rid)),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS r, count(*) OVER () AS n FROM h WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM h LEFT JOIN r USING (rid)"""
+)
+
+
 def oracle_sql() -> dict:
     """The other queries are no SQL: they fit models, walk graphs or lattices, or order by Spark's hashes. Their tests are brute force."""
-    return {"op3_chat_formatting": OP3_SQL, "op9_decontamination": OP9_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op9_decontamination": OP9_SQL, "op11_importance_resampling": OP11_SQL}
