@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinegrid.llm import queries, resampling
+from kinegrid.llm import lexical, queries, resampling
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -88,3 +88,51 @@ def test_resampling_without_rows(spark):
 
 def test_resampling_against_sql(spark):
     against_sql(spark, "op11_importance_resampling")
+
+
+def ranked_by_force(rows, items, top):
+    counts = [(k, Counter(words(t))) for k, t in rows]
+    counts = [(k, c) for k, c in counts if c]
+    n, total = len(counts), sum(c.total() for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    for i, t in items:
+        scores = []
+        for k, c in counts:
+            m = 75 + (25 * c.total() * n) // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * (1_000_000_000 * c[w] // (1000 * c[w] + 12 * m)) for w in words(t) if c[w])
+            scores.append((-s, k is not None, k or 0))
+        out += [(i, r + 1, k if some else None, -s) for r, (s, some, k) in enumerate(sorted(scores)[:top]) if s < 0]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("cell_bytes,top,chunk_bytes", [(100, 3, 100), (4 << 20, 20, 2 << 20), (2000, 1, 300)])
+def test_search_is_brute_force(spark, cell_bytes, top, chunk_bytes):
+    rows = list(enumerate(CASES * 4 + ["the cat", "mat mat", "sat on the mat the cat"])) + [(None, CASES[0])] * 2
+    items = [(1, "the CAT"), (2, "cat cat mat"), (2, "ñandú zebra"), (4, None), (5, "?!"), (None, "the CAT"), (7, "a z dog w"), (8, "nothing known")]
+    index = lexical.build_index(docs(spark, rows), sample=16, cell_bytes=cell_bytes)
+    got = lexical.search(index, spark.createDataFrame(items, "item_id long, text string"), top=top, chunk_bytes=chunk_bytes)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == ranked_by_force(rows, items, top)
+
+
+def test_search_without_rows(spark):
+    none, one = docs(spark, []), docs(spark, [(1, "a b c")])
+    items = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert lexical.search(lexical.build_index(none), items).count() == 0
+    assert lexical.search(lexical.build_index(one), items.limit(0)).count() == 0
+
+
+def test_bisection_groups_like_with_like():
+    rng = np.random.default_rng(3)
+    topic = rng.permutation(np.repeat(np.arange(8), 64))
+    kinds = [np.unique(t * 200 + rng.integers(0, 200, 60)) for t in topic]
+    bounds = np.concatenate([[0], np.cumsum([len(k) for k in kinds])])
+    tree = lexical.fit_bisection(np.concatenate(kinds), bounds)
+    leaf = tree.clusters(np.concatenate(kinds), bounds)
+    together = [Counter(topic[leaf == c]).most_common(1)[0][1] for c in np.unique(leaf)]
+    assert sum(together) / len(topic) > 0.9
+
+
+def test_search_against_sql(spark):
+    against_sql(spark, "op12_ranked_search")
