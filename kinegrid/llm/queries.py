@@ -135,6 +135,24 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinegrid.llm.ranking import held_out
+    from kinegrid.llm.toxicity import THRESHOLD, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels"), train_only=lambda k: ~held_out(k)))
+    n = lambda which: F.size(which).cast("long")
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        n(F.col("hits")).alias("n_hits"),
+        n(F.filter("hits", lambda h: h["quoted"])).alias("n_quoted"),
+        n(F.filter("hits", lambda h: h["errors"] > 0)).alias("n_misspelled"),
+    )
+
+
 QUERIES = (
     op1_minhash_neardup,
     op2_quality_rules,
@@ -149,6 +167,7 @@ QUERIES = (
     op10_quality_classifier,
     op11_importance_resampling,
     op12_ranked_search,
+    op13_toxicity,
 )
 
 

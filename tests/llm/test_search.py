@@ -8,10 +8,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinegrid.llm import lexical, queries, resampling
+from kinegrid.llm import lexical, queries, resampling, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -136,3 +137,88 @@ def test_bisection_groups_like_with_like():
 
 def test_search_against_sql(spark):
     against_sql(spark, "op12_ranked_search")
+
+
+def distance(a, b):
+    """Edits and swaps of neighbours."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_automaton_is_brute_force():
+    terms = sorted(["idiot\0", "moron\0", "worthless\0", "disgusting\0", "scum\0", "réeux", "ab", "abc\0", "abcde\0", "réeuxou\0"])
+    rng, found = np.random.default_rng(1), {"", "idoit", "wrothles", "abdce", "réeuxoi", "x" * 60, "ab" * 40}
+    for t in terms:
+        for _ in range(200):
+            w = list(t.strip("\0"))
+            for _ in range(rng.integers(0, 4)):
+                at, c = int(rng.integers(len(w) + 1)), str(rng.choice(list("abcdiotxé")))
+                w[at : at + int(rng.integers(0, 2))] = [c] if rng.random() < 0.7 else []
+            found.add("".join(w))
+    words = sorted(found)
+
+    def nearest(w):
+        whole = [(e, i) for i, t in enumerate(terms) if t.endswith("\0") and (e := distance(w, t[:-1])) <= toxicity.allowed(len(t) - 1)]
+        begins = max(((len(t), i) for i, t in enumerate(terms) if not t.endswith("\0") and w.startswith(t)), default=None)
+        best = min(whole, default=None)
+        if best and (best[0] == 0 or begins is None):
+            return best[1], best[0]
+        return (begins[1], 0) if begins else (-1, 0)
+
+    automaton = toxicity.Automaton(terms)
+    assert [(int(t), int(e)) for t, e in zip(*automaton.find(pa.array(words, pa.large_string())), strict=True)] == [nearest(w) for w in words]
+    assert toxicity.Automaton([]).find(pa.array(["a"], pa.large_string()))[0].tolist() == [-1]
+
+
+def toxic_rows():
+    rng = np.random.default_rng(2)
+    syllables = ["ba", "ko", "mi", "tel", "ran", "su", "vi", "or"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
+    out = []
+    for i in range(400):
+        w = [word() for _ in range(rng.integers(20, 120))]
+        if toxic := i % 8 == 0:
+            for at in rng.integers(0, len(w), 3):
+                w[at] = str(rng.choice(["idiot", "worthless"]))
+        out.append((i, " ".join(w), int(toxic)))
+    return out
+
+
+def test_toxicity_catches_misspelled_and_spares_quoted(spark):
+    rows = toxic_rows()
+    base = rows[1][1]
+    more = [(1000, base + " you wortless idoit"), (1001, base + ' he called it "idiot" yesterday'), (1002, base + " you idiot, worthless"), (1003, None), (1004, ""), (None, "IDIOT!"), (1005, "a" * 200_000)]
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows] + [(1003, None)], "doc_id long, toxic int")
+    both = spark.createDataFrame([r[:2] for r in rows] + more, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("score", "body", "term")})
+    model = toxicity.train(both, labels)
+    assert {"idiot\0", "worthless\0"} <= set(model.terms)
+    scored = toxicity.score(both, model)
+    assert scored.columns == ["doc_id", "text", "body", "term", "score", "hits"]
+    got = {r["doc_id"]: r for r in scored.collect()}
+    wrong = [i for i, _, t in rows if (got[i]["score"] >= 0.5) != bool(t)]
+    assert len(wrong) <= 4
+    assert got[1000]["score"] > 0.5 and ("idiot", 1) in {(h["term"], h["errors"]) for h in got[1000]["hits"]}
+    assert got[1001]["score"] < got[1002]["score"] and [h["quoted"] for h in got[1001]["hits"]] == [True]
+    assert got[1003]["score"] == got[1004]["score"] < 0.5 and not got[1005]["hits"] and got[None]["hits"][0]["word"] == 0
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    rows = docs(spark, [(1, "you idiot"), (2, None)])
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    scores = [r["score"] for r in toxicity.score(rows, toxicity.train(rows, labels)).collect()]
+    assert scores == [0.5, 0.5]
+    assert toxicity.score(rows.limit(0), toxicity.train(rows.limit(0), labels)).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    """Of the labelled documents that were not learnt from, nearly all are told apart; labels of junk texts without a term are noise."""
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op13_toxicity(spark, sf).collect()}
+    labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
+    right = sum(got[r["doc_id"]]["predicted"] == r["toxic"] for r in labels)
+    assert right / len(labels) > 0.95
