@@ -17,6 +17,19 @@ def packed_curves(samples: DataFrame, values: Sequence[str], keys: Sequence[str]
     return samples.groupBy(*keys).agg(*[packed(v, order).alias(v) for v in values])
 
 
+def movement_segments(windows: DataFrame, series: DataFrame, value: str = "lin_vel", *, pad: int = 2, start: str = "ce", end: str = "ch") -> tuple[DataFrame, DataFrame]:
+    """(session_id, idx, k, value) over [start - pad, end + pad) of each trial's window, and the keys of clipped trials.
+
+    windows: trials with w_start and w_end. A trial is clipped, and left out, if fewer than ``pad`` frames of its window come before the start or if
+    the window ends before or at the end event; a tail that the window cuts off is only shorter.
+    """
+    inside = (F.col(start) - F.col("w_start") >= pad) & (F.col(end) < F.col("w_end"))
+    rows = windows.where(inside).select("session_id", "idx", (F.col(start) - pad).alias("_a"), F.least(F.col("w_end"), F.col(end) + pad).alias("_b"))
+    rows = rows.withColumn("frame", F.explode(F.sequence("_a", F.col("_b") - 1)))
+    samples = rows.join(series.select("session_id", "frame", value), ["session_id", "frame"]).select("session_id", "idx", (F.col("frame") - F.col("_a")).alias("k"), value)
+    return samples, windows.where(~inside).select("session_id", "idx")
+
+
 def movement_curves(samples: DataFrame, value: str, n_points: int = 50, least: int = 5, keys: Sequence[str] = TRIAL) -> DataFrame:
     """(keys, k, grid, y): a signal resampled uniformly in its index; curves of fewer than ``least`` samples or with nulls drop."""
     rows = packed_curves(samples, [value], keys).where((F.size(value) >= least) & ~F.exists(value, lambda v: v.isNull() | F.isnan(v)))
@@ -79,14 +92,16 @@ def decision_frame_paths(samples: DataFrame, axis: DataFrame, n_points: int = 40
     return rows.select(*TRIAL, "k", (scale * (y * F.col("ux") - x * F.col("uy"))).alias("u"), (scale * side * (x * F.col("ux") + y * F.col("uy"))).alias("v"))
 
 
-def event_locked_curves(events: DataFrame, series: DataFrame, value: str = "lin_vel", *, at: str = "frame", pre_s: float = 0.4, post_s: float = 0.4, fps: float = RIG.framerate) -> DataFrame:
-    """(session_id, idx, k, t, y): [-pre, post) around each event, of events whose window is whole inside [w_start, w_end)."""
+def event_locked_curves(
+    events: DataFrame, series: DataFrame, value: str = "lin_vel", *, at: str = "frame", pre_s: float = 0.4, post_s: float = 0.4, fps: float = RIG.framerate, keys: Sequence[str] = TRIAL
+) -> DataFrame:
+    """(keys, k, t, y): [-pre, post) around each event, of events whose window is whole inside [w_start, w_end). ``keys`` holds session_id; with an event's name among them all events are cut at once."""
     before, after = round(pre_s * fps), round(post_s * fps)
-    rows = events.select("session_id", "idx", F.col(at).alias("_at"), "w_start", "w_end").where((F.col("_at") - before >= F.col("w_start")) & (F.col("_at") + after <= F.col("w_end")))
+    rows = events.select(*keys, F.col(at).alias("_at"), "w_start", "w_end").where((F.col("_at") - before >= F.col("w_start")) & (F.col("_at") + after <= F.col("w_end")))
     rows = rows.withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after - 1)))).withColumn("frame", F.col("_at") + F.col("offset"))
     found = rows.join(series.select("session_id", "frame", F.col(value).alias("y")), ["session_id", "frame"]).where("y is not null")
-    whole_ones = found.groupBy("session_id", "idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == before + after).select("session_id", "idx")
-    return found.join(whole_ones, ["session_id", "idx"]).select("session_id", "idx", (F.col("offset") + before).cast("long").alias("k"), (F.col("offset") / fps).alias("t"), "y")
+    whole_ones = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == before + after).select(*keys)
+    return found.join(whole_ones, list(keys)).select(*keys, (F.col("offset") + before).cast("long").alias("k"), (F.col("offset") / fps).alias("t"), "y")
 
 
 def channel_trials(channels: Sequence[DataFrame], keys: Sequence[str] = TRIAL) -> DataFrame:

@@ -114,3 +114,9 @@ def local_trend(df: DataFrame, x: str, y: str, *, fraction: float = 2 / 3, n_poi
     det = F.col("s") * F.col("suu") - F.col("su") * F.col("su")
     line = (F.col("sv") * F.col("suu") - F.col("su") * F.col("suv")) / F.nullif(det, F.lit(0.0))
     return sums.select("k", "x", "n", F.when(det > 1e-9 * F.col("s") * F.col("s"), line).otherwise(F.col("sv") / F.nullif("s", F.lit(0.0))).alias("y"))
+
+
+def event_lock_means(packed: DataFrame, columns: Sequence[str], by: Sequence[str] = ("event",)) -> DataFrame:
+    """(by, k, n, mean_<column>): the mean of each packed curve column at each place, for a comparison of event locks."""
+    rows = packed.select(*by, F.posexplode(F.arrays_zip(*columns)).alias("k", "v"))
+    return rows.groupBy(*by, F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("v")[c]).alias(f"mean_{c}") for c in columns])

@@ -10,17 +10,20 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinegrid.sources.state import settled
+
 
 def _before(counts: DataFrame, c: str, keys: Sequence[str]) -> DataFrame:
     """Adds _b to (keys, c, _n): the sum of _n of the smaller values of c with the same keys.
 
     Ranges of (keys, c) are summed up inside and then between ranges, so a key with a third of all rows is spread over many tasks.
     """
-    parts = counts.repartitionByRange(*keys, c).withColumn("_p", F.spark_partition_id()).persist()
+    parts = settled(counts.repartitionByRange(*keys, c).withColumn("_p", F.spark_partition_id()))  # the range is a stored column from here on
     inside = Window.partitionBy(*keys, "_p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
     # one row per key and range that holds it
     between = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,7 +159,7 @@ def numbered(df: DataFrame, columns: Sequence[str], into: str = "_at") -> tuple[
     # equal rows are counted once and laid out again, so a hot row is a count and not a range of its own
     counts = df.select(*columns).dropna().groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     keyed = counts.withColumn("_key", F.struct(*columns))
-    placed = _before(keyed, "_key", ()).drop("_key").cache()
+    placed = settled(_before(keyed, "_key", ()).drop("_key"))
     n = placed.agg(F.sum("_n")).first()[0] or 0
     return placed.withColumn(into, F.explode(F.sequence(F.col("_b"), F.col("_b") + F.col("_n") - 1))).drop("_b", "_n"), n
 
@@ -242,21 +245,42 @@ def perm_diff_biserial(df: DataFrame, value: str, error: str, condition: str, n_
     return out
 
 
+#: Keys whose replicates a task adds up before it sends them.
+HELD_KEYS = 1000
+
+
 def bootstrap_mean_ci(df: DataFrame, value: str, keys: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """(keys, mean, low, high): percentile interval of Poisson-bootstrap means; weights are drawn per row and replicate, so it is one aggregate.
+    """(keys, mean, low, high): percentile interval of Poisson-bootstrap means.
 
-    A weight is a hash of the seed, the replicate and the row's columns: the same rows give the same interval, however they are dealt.
+    Equal values of a key are counted first; a value met n times gets a Poisson number of mean n in each replicate, drawn from a generator that is seeded by
+    the key and the value. So rows need no identity, each is drawn by itself, and an interval does not depend on how the rows are dealt. A task adds up
+    its values and sends one row per key and replicate.
     """
-    rows = df.select(*keys, F.col(value).alias("_v"), F.xxhash64(F.lit(seed), *df.columns).alias("_id")).where("_v is not null").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = (F.pmod(F.xxhash64("_id", "_r"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    cut, p = [], math.exp(-1)
-    total = p
-    for k in range(1, 8):
-        cut.append(total)
-        p /= k
-        total += p
-    weight = sum(((u >= c).cast("int") for c in cut), F.lit(0))
-    means = rows.withColumn("_w", weight).groupBy(*keys, "_r").agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = counts.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key") if keys else F.lit("").alias("_key"), "_v", "_n", F.xxhash64(F.lit(seed), *keys, "_v").alias("_id"))
+
+    def draw(batches):
+        held: dict[str, np.ndarray] = {}
+
+        def sent() -> pd.DataFrame:
+            names = list(held)
+            return pd.DataFrame({"_key": np.repeat(names, n_boot), "_r": np.tile(np.arange(n_boot), len(names)), "_w": np.concatenate([held[k][0] for k in names] or [[]]), "_s": np.concatenate([held[k][1] for k in names] or [[]])})
+
+        for batch in batches:
+            for k, v, n, i in zip(batch["_key"], batch["_v"], batch["_n"], batch["_id"], strict=True):
+                weight = np.random.Generator(np.random.Philox(key=int(i) & (2**64 - 1))).poisson(n, n_boot)
+                total = held.setdefault(k, np.zeros((2, n_boot)))
+                total[0] += weight
+                total[1] += weight * v
+            if len(held) > HELD_KEYS:
+                yield sent()
+                held.clear()
+        if held:
+            yield sent()
+
+    sums = rows.mapInPandas(draw, "_key string, _r long, _w double, _s double").groupBy("_key", "_r").agg((F.sum("_s") / F.nullif(F.sum("_w"), F.lit(0.0))).alias("_m"))
     tail = (1 - level) / 2
-    ci = means.groupBy(*keys).agg(F.percentile("_m", F.lit(tail)).alias("low"), F.percentile("_m", F.lit(1 - tail)).alias("high"))
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ci, list(keys)) if keys else df.agg(F.avg(value).alias("mean")).crossJoin(ci)
+    ci = sums.groupBy("_key").agg(F.percentile("_m", F.lit(tail)).alias("low"), F.percentile("_m", F.lit(1 - tail)).alias("high"))
+    means = df.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    named = means.withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit(""))
+    return named.join(ci, "_key").drop("_key")

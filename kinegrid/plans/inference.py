@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinegrid.operators import align, fda, geometry, ml, plotdata, stats, tsc
+from kinegrid.operators import align, fda, geometry, medoids, ml, plotdata, stats, tsc
 from kinegrid.plans import lenses as L
 from kinegrid.plans.movement import _MOVES, _axis, _samples
 
@@ -116,23 +116,23 @@ def q36b_fpca(spark, sf):
 
 
 def _few(spark, sf):
-    """Smooth movement curves for registration: speeds of trials that are long enough, on 21 points."""
-    from kinegrid.operators.curves import movement_curves, packed_curves
+    """Speed curves of movements with two frames on both sides, on 50 points."""
+    from kinegrid.operators.curves import packed_curves
+    from kinegrid.plans.reports import padded_curves
 
-    c = movement_curves(_samples(spark, sf), "lin_vel", 21, least=8)
-    rows = packed_curves(c, ["y"]).withColumn("key", F.col("session_id") * 100_000 + F.col("idx"))
+    rows = packed_curves(padded_curves(spark, sf), ["y"]).withColumn("key", F.col("session_id") * 100_000 + F.col("idx"))
     return rows.select(F.col("key").alias("idx"), "y")
 
 
 @query()
 def q37_registration(spark, sf):
-    out, info = fda.elastic_register(_few(spark, sf), max_iter=3)
+    out, info = fda.elastic_register(_few(spark, sf))
     return out.withColumn("rounds", F.lit(info["rounds"]))
 
 
 @query()
 def q37b_amplitude_phase(spark, sf):
-    out, _ = fda.elastic_register(_few(spark, sf), max_iter=2)
+    out, _ = fda.elastic_register(_few(spark, sf))
     return fda.amplitude_phase_scores(out)
 
 
@@ -163,9 +163,22 @@ def q38b_medoids(spark, sf):
 
 @query()
 def q38c_kmedoids(spark, sf):
-    c = L.packed_curves(spark, sf)
-    labels, _, inertia = ml.kmedoids(ml.pair_distances(c).persist(), c.select(F.col("idx").alias("i")), 3)
-    return labels.withColumn("inertia", F.lit(inertia))
+    labels, _, inertia = medoids.kmedoids(L.packed_curves(spark, sf), 3)
+    return labels.select("i", "cluster", F.round("d", 6).alias("d")).withColumn("inertia", F.lit(round(inertia, 6)))
+
+
+@query()
+def q38d_suggest_k(spark, sf):
+    """Mean silhouette of the best of three starts for each k."""
+    found = medoids.suggest_k(L.packed_curves(spark, sf), n_init=3)
+    return spark.createDataFrame(list(found.items()), "k int, silhouette double")
+
+
+@query()
+def q38e_cluster_timeseries(spark, sf):
+    """Embeddings as two channels of 32 values, clustered under move-split-merge."""
+    c = L.curves(spark, sf).select("idx", F.when(F.col("k") < 32, "a").otherwise("b").alias("channel"), (F.col("k") % 32).alias("k"), "y")
+    return medoids.cluster_timeseries(c, 3, keys=["idx"], n_init=1, max_iter=5)[0]
 
 
 @query("WITH c AS (SELECT * FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM c" for i, a in enumerate(_MEASURES) for b in _MEASURES[i:]))

@@ -198,6 +198,28 @@ def q14_offset_search(spark, sf):
     return best.select("session_id", F.round("f0", 6).alias("f0"), F.round("score", 6).alias("score"))
 
 
+_REFINED = L.TRIALS + """, n AS (SELECT session_id, max(frame) + 1 AS n FROM frames GROUP BY 1),
+ p AS (SELECT session_id, frame + 1 AS at, sum(lin_vel) OVER (PARTITION BY session_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS total FROM frames),
+ t AS (SELECT session_id, idx, ce * 0.4::DOUBLE AS te, ce * 0.4::DOUBLE + 0.1::DOUBLE AS tx, ch * 0.4::DOUBLE + 0.2::DOUBLE AS tc FROM trials),
+ a AS (SELECT session_id, 0.0::DOUBLE AS low, 0.5::DOUBLE AS step, CAST(greatest(ceil(greatest(0.5::DOUBLE, n / 2.0::DOUBLE - max(tc) - 1) / 0.5::DOUBLE) - 1, 0) AS BIGINT) AS m FROM t JOIN n USING (session_id) GROUP BY session_id, n)"""
+
+
+def _scan(starts: str, name: str) -> str:
+    return f""", {name}_c AS (SELECT t.*, k, low + k * step AS f0, CAST(floor((te + low + k * step) * 2) AS BIGINT) AS fe, CAST(floor((tx + low + k * step) * 2) AS BIGINT) AS fx, CAST(floor((tc + low + k * step) * 2) AS BIGINT) AS fc FROM t JOIN {starts} USING (session_id), (SELECT unnest(range(20000)) AS k) WHERE k <= m),
+ {name}_v AS (SELECT c.*, least(fc, fx + 1) AS fm FROM {name}_c c JOIN n USING (session_id) WHERE fe > 1 AND fc < n - 1 AND fx > fe AND least(fc, fx + 1) > fx),
+ {name}_s AS (SELECT v.session_id, v.k, v.f0, avg((z.total - x.total) / (fm - fx)) - avg((x.total - e.total) / (fx - fe)) AS score FROM {name}_v v JOIN p e ON e.session_id = v.session_id AND e.at = fe JOIN p x ON x.session_id = v.session_id AND x.at = fx JOIN p z ON z.session_id = v.session_id AND z.at = fm GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+ {name} AS (SELECT s.session_id, coalesce(f0, low) AS f0 FROM {starts} s LEFT JOIN (SELECT session_id, arg_max(f0, struct_pack(s := round(score, 9), k := -k)) AS f0 FROM {name}_s GROUP BY 1) USING (session_id))"""
+
+
+@query(
+    "WITH " + _REFINED + _scan("a", "coarse") + """, b AS (SELECT session_id, greatest(0.0::DOUBLE, f0 - 0.5::DOUBLE) AS low, 0.02::DOUBLE AS step, CAST(greatest(ceil((f0 + 0.5::DOUBLE - greatest(0.0::DOUBLE, f0 - 0.5::DOUBLE)) / 0.02::DOUBLE) - 1, 0) AS BIGINT) AS m FROM coarse)"""
+    + _scan("b", "fine") + " SELECT session_id, round(f0, 6) AS f0 FROM fine"
+)
+def q14b_offset_refined(spark, sf):
+    t, f = _offset_inputs(spark, sf)
+    return align.estimate_offset(t, f, fps=2, least=2).select("session_id", F.round("f0", 6).alias("f0"))
+
+
 def _pose(spark, sf):
     """Three nodes around each frame's position."""
     a, b = F.col("event_id") % 5, F.col("event_id") % 3

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinegrid.operators import curves, fda, geometry, plotdata, pose
+from kinegrid.operators import align, curves, fda, geometry, plotdata, pose, registration, shapes
 from kinegrid.plans import lenses as L
 from kinegrid.plans.movement import _samples
 
@@ -68,14 +68,129 @@ def q55_trial_meta(spark, sf):
     return geometry.trial_meta(L.trials(spark, sf))
 
 
-def _curves(spark, sf):
-    return curves.movement_curves(_samples(spark, sf), "lin_vel", 21, least=8)
+def _windows(spark, sf):
+    f = L.frames(spark, sf)
+    return align.trial_windows(L.trials(spark, sf), align.session_lengths(f), entry="ce", choice="ch"), f
+
+
+def padded_curves(spark, sf):
+    """(session_id, idx, k, grid, y): speeds from two frames before each movement to two after it, on 50 points."""
+    return curves.movement_curves(curves.movement_segments(*_windows(spark, sf))[0], "lin_vel")
+
+
+_WINDOWS = L.TRIALS + """, n AS (SELECT session_id, max(frame) + 1 AS n FROM frames GROUP BY 1), w AS (SELECT t.*, greatest(ce - 10, 0) AS w_start, least(ch + 20, n) AS w_end FROM trials t JOIN n USING (session_id)),
+ whole AS (SELECT * FROM w WHERE w_end - w_start >= 3), seg AS (SELECT session_id, idx, ce - 2 AS a, least(w_end, ch + 2) - ce + 2 AS m FROM whole WHERE ce - w_start >= 2 AND ch < w_end)"""
+
+
+@query(
+    "WITH " + _WINDOWS + """, g AS (SELECT seg.*, k, k / 49.0::DOUBLE AS grid, k * (m - 1) / 49.0::DOUBLE AS pos FROM seg, (SELECT CAST(unnest(range(50)) AS BIGINT) AS k) WHERE m >= 5)
+ SELECT g.session_id, g.idx, g.k, round(grid, 6) AS grid, round(lo.lin_vel + (hi.lin_vel - lo.lin_vel) * (pos - floor(pos)), 5) AS y FROM g JOIN frames lo ON lo.session_id = g.session_id AND lo.frame = a + CAST(floor(pos) AS BIGINT) JOIN frames hi ON hi.session_id = g.session_id AND hi.frame = a + least(CAST(floor(pos) AS BIGINT) + 1, m - 1)"""
+)
+def q57_movement_curves(spark, sf):
+    return padded_curves(spark, sf).select("session_id", "idx", "k", F.round("grid", 6).alias("grid"), F.round("y", 5).alias("y"))
+
+
+@query("WITH " + _WINDOWS + " SELECT session_id, idx FROM whole WHERE ce - w_start < 2 OR ch >= w_end")
+def q57b_clipped_trials(spark, sf):
+    return curves.movement_segments(*_windows(spark, sf))[1]
 
 
-@query("WITH " + L.TRIALS + " SELECT session_id, idx, ch - ce + 1 >= 8 AS registered FROM trials WHERE ce >= 1 AND ch - ce + 1 >= 4")
+@query("WITH " + _WINDOWS + ", c AS (SELECT session_id, idx, m >= 5 AND ce >= 1 AS registered FROM seg JOIN trials USING (session_id, idx)) SELECT t.session_id, t.idx, coalesce(c.registered, false) AS registered FROM trials t LEFT JOIN c USING (session_id, idx) WHERE ce >= 1 AND ch - ce + 1 >= 4")
 def q56_fda_columns(spark, sf):
     """Measured trials, and whether the registration gave them a lag and a score."""
     table = _samples(spark, sf).select("session_id", "idx").distinct()
-    found, _ = fda.registered_table(_curves(spark, sf))
+    found, _ = fda.registered_table(padded_curves(spark, sf))
     joined = fda.with_fda_columns(table, found)
     return joined.select("session_id", "idx", (F.col("fda_lag").isNotNull() & F.col("fda_score1").isNotNull()).alias("registered"))
+
+
+EVENTS = ("view", "purchase")
+
+
+def locked_events(spark, sf):
+    """(event, session_id, idx, k, t, y): speeds around the view and the purchase of each trial, cut in one job."""
+    w, f = _windows(spark, sf)
+    named = w.select("session_id", "idx", "w_start", "w_end", F.explode(F.array(*[F.struct(F.lit(e).alias("event"), F.col(c).alias("frame")) for e, c in zip(EVENTS, ("ce", "ch"), strict=True)])).alias("e"))
+    return curves.event_locked_curves(named.select("session_id", "idx", "w_start", "w_end", "e.*"), f, keys=("event", "session_id", "idx"))
+
+
+def _locked_packed(spark, sf):
+    return curves.packed_curves(locked_events(spark, sf), ["y"], ("event", "session_id", "idx"))
+
+
+_LOCKED = _WINDOWS + """, e AS (SELECT 'view' AS event, session_id, idx, ce AS z, w_start, w_end FROM whole UNION ALL SELECT 'purchase', session_id, idx, ch, w_start, w_end FROM whole),
+ lock AS (SELECT event, e.session_id, e.idx, f.frame - z + 10 AS k, f.lin_vel AS y FROM e JOIN frames f ON f.session_id = e.session_id AND f.frame >= z - 10 AND f.frame < z + 10 WHERE z - 10 >= w_start AND z + 10 <= w_end)"""
+
+
+@query("WITH " + _LOCKED + " SELECT event, k, count(*) AS n, round(avg(y), 6) AS mean_y FROM lock GROUP BY ALL")
+def q58_event_lock_means(spark, sf):
+    """The mean curve of each event's lock."""
+    return plotdata.event_lock_means(_locked_packed(spark, sf), ["y"]).select("event", "k", "n", F.round("mean_y", 6).alias("mean_y"))
+
+
+def _behaviour(spark, sf):
+    return L.trials(spark, sf).select("session_id", "idx", "rt", "cue")
+
+
+@query()
+def q58b_compare_event_locks(spark, sf):
+    """n, first component's share and rank correlations with reaction time and cue, of one registration of all events."""
+    table, _ = registration.compare_event_locks(_locked_packed(spark, sf), _behaviour(spark, sf))
+    return table.select("event", "n", *[F.round(c, 3).alias(c) for c in ("pc1_var", "lag_rt", "lag_cue", "amp1_cue", "amp1_rt")])
+
+
+@query()
+def q58c_event_locked_fda(spark, sf):
+    """Lag and scores of each curve; templates by event and choice, all together."""
+    c = _locked_packed(spark, sf).join(L.trials(spark, sf).select("session_id", "idx", "choice"), ["session_id", "idx"])
+    rows, _ = registration.register_groups(c, ["event", "session_id", "idx"], ["event", "choice"])
+    return rows.select("event", "choice", "session_id", "idx", "lag", "amp", "phase", "joint")
+
+
+@query()
+def q58d_registered_lock_means(spark, sf):
+    """Raw and registered mean curves of each event's lock."""
+    rows, _ = registration.register_groups(_locked_packed(spark, sf), ["session_id", "idx"], ["event"], joint=False)
+    return plotdata.event_lock_means(rows, ["y", "registered"])
+
+
+_SPEARMAN = lambda c: f"rank() OVER (PARTITION BY choice ORDER BY {c}) + (count(*) OVER (PARTITION BY choice, {c}) - 1) / 2.0 AS r_{c}"
+
+
+@query("WITH " + L.TRIALS + ", s AS (SELECT choice, ch - ce AS lag, ce % 7 AS amp1, rt, cue FROM trials), r AS (SELECT choice, " + ", ".join(map(_SPEARMAN, ("lag", "amp1", "rt", "cue"))) + " FROM s) SELECT choice, round(corr(r_lag, r_rt), 6) AS lag_rt, round(corr(r_lag, r_cue), 6) AS lag_cue, round(corr(r_amp1, r_cue), 6) AS amp1_cue, round(corr(r_amp1, r_rt), 6) AS amp1_rt FROM r GROUP BY 1")
+def q58e_lock_correlations(spark, sf):
+    """The comparison's rank correlations, of stand-ins for lag and score, within each choice."""
+    t = L.trials(spark, sf).select("choice", (F.col("ch") - F.col("ce")).alias("lag"), (F.col("ce") % 7).alias("amp1"), "rt", "cue")
+    found = registration.lock_correlations(t, ["choice"])
+    return found.select("choice", *[F.round(c, 6).alias(c) for c in found.columns if c != "choice"])
+
+
+@query()
+def q59_convergence_report(spark, sf):
+    """Whether lag and first score are the same after 20 and 40 rounds; the second fit goes on from the first one's templates."""
+    return registration.convergence_report(curves.packed_curves(padded_curves(spark, sf), ["y"]), ["session_id", "idx"])
+
+
+def _decision_paths(spark, sf):
+    """Paths in the decision frame on 20 points."""
+    paths = curves.decision_frame_paths(_samples(spark, sf), geometry.decision_axis(L.ports(spark, sf)), 20)
+    return curves.packed_curves(paths, ["u", "v"])
+
+
+@query()
+def q60_elastic_shapes(spark, sf):
+    """Shape scores of each path around the mean shape of its choice."""
+    paths = _decision_paths(spark, sf).join(L.trials(spark, sf).select("session_id", "idx", "choice"), ["session_id", "idx"])
+    return shapes.elastic_shapes(paths, by=["choice"])[0].select("session_id", "idx", "choice", "scores", "distance")
+
+
+@query()
+def q60b_shape_contrasts(spark, sf):
+    scores, _ = shapes.elastic_shapes(_decision_paths(spark, sf))
+    return shapes.shape_contrasts(scores, L.trials(spark, sf))
+
+
+@query()
+def q60c_shape_modes(spark, sf):
+    """Mean path, shares of variance, and the paths 1.5 deviations along each component."""
+    return shapes.elastic_shapes(_decision_paths(spark, sf))[1]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinegrid.config import RIG
 from kinegrid.functions import expr
-from kinegrid.operators import align, behavior, curves, fda, geometry, ml, plotdata, pose, stats, tsc
+from kinegrid.operators import align, behavior, curves, distances, fda, geometry, medoids, ml, plotdata, pose, registration, shapes, stats, tsc
 
 
 def log_rows():
@@ -110,6 +110,14 @@ def test_bootstrap_is_reproducible(spark):
     assert [(r["g"], pytest.approx(r["low"]), pytest.approx(r["high"])) for r in one] == [(r["g"], r["low"], r["high"]) for r in two]
 
 
+def test_bootstrap_draws_equal_rows_one_by_one(spark):
+    rows = spark.range(400).select((F.col("id") % 2).cast("double").alias("v"))
+    r = stats.bootstrap_mean_ci(rows, "v", [], n_boot=500).first()
+    assert r["mean"] == 0.5 and 0.42 < r["low"] < 0.47 and 0.53 < r["high"] < 0.58
+    keyed = stats.bootstrap_mean_ci(rows.withColumn("g", F.when(F.col("v") > 2, "x")), "v", ["g"], n_boot=50)
+    assert keyed.columns == ["g", "mean", "low", "high"] and keyed.first()["g"] is None
+
+
 def test_bowed_trial(spark):
     axis = geometry.decision_axis(ports(spark))
     m = geometry.build_measure_table(one_trial(spark, 1), trial_frames(spark, 1, 20.0), axis).first()
@@ -226,14 +234,89 @@ def test_registration_invariants(spark):
     assert all(abs(r["lag"]) < 1e-6 for r in same.collect())
 
 
+def locked(spark):
+    df = bumps(spark, [-0.1, -0.04, 0.02, 0.07, 0.1, 0.05]).unionByName(bumps(spark, [0.02, 0.03, -0.05, 0.01]).withColumn("idx", F.col("idx") + 10))
+    return df.withColumn("event", F.when(F.col("idx") < 10, "in").otherwise("out")).withColumn("session_id", F.lit("s"))
+
+
+def test_groups_are_registered_as_if_alone(spark):
+    df = locked(spark)
+    rows, groups = registration.register_groups(df.repartition(5), ["session_id", "idx"], ["event"], max_iter=4)
+    got = {r["idx"]: r for r in rows.collect()}
+    for event in ("in", "out"):
+        own = df.where(F.col("event") == event)
+        alone, info = fda.elastic_register(own, max_iter=4)
+        scores = {r["idx"]: r for r in fda.amplitude_phase_scores(alone).collect()}
+        _, model = fda.fpca(own, 4, weighted=True)
+        group = groups.where(F.col("event") == event).first()
+        assert group["n"] == own.count() and group["pc1_var"] == pytest.approx(model["ratio"][0]) and group["rounds"] == info["rounds"]
+        assert group["template"] == pytest.approx(info["template"].tolist())
+        for r in alone.collect():
+            assert got[r["idx"]]["lag"] == pytest.approx(r["lag"], abs=1e-9) and got[r["idx"]]["warping"] == pytest.approx(r["warping"])
+            for c in ("amp", "phase", "joint"):
+                assert [abs(v) for v in got[r["idx"]][c]] == pytest.approx([abs(v) for v in scores[r["idx"]][c]], abs=1e-6)
+
+
+def test_registration_goes_on_from_its_state(spark, tmp_path):
+    df = locked(spark)
+    keys, by = ["session_id", "idx"], ["event"]
+    whole = registration.fit_templates(df, keys, by, max_iter=5, tol=1e-9)
+    registration.fit_templates(df, keys, by, max_iter=2, tol=1e-9).write.parquet(str(tmp_path / "state"))
+    kept = spark.read.parquet(str(tmp_path / "state"))
+    assert {r["rounds"] for r in kept.collect()} == {2}
+    on = registration.fit_templates(df, keys, by, state=kept, max_iter=5, tol=1e-9)
+    a, b = ({r["_g"]: r for r in s.collect()} for s in (whole, on))
+    assert set(a) == set(b) and all(a[g]["template"] == pytest.approx(b[g]["template"]) and a[g]["objective"] == pytest.approx(b[g]["objective"]) for g in a)
+
+
 def test_reports_of_registrations(spark):
-    df = bumps(spark, [-0.1, -0.04, 0.02, 0.07, 0.1])
-    report = fda.convergence_report(df, (1, 2))
-    assert report["n_trials"] == 5 and report["lag_corr"] > 0.9 and report["lag_stable"] == (report["lag_corr"] >= 0.99)
-    long = df.select(F.lit("s").alias("session_id"), "idx", F.posexplode("y").alias("k", "y"))
-    labels = df.select(F.lit("s").alias("session_id"), "idx", (-F.col("idx")).cast("double").alias("rt"), F.lit(1).alias("cue"))
-    row = fda.compare_event_locks({"ce": long}, labels, max_iter=1).first()
-    assert row["n"] == 5 and abs(row["lag_rt"]) > 0.8 and row["lag_cue"] is None and 0 < row["pc1_var"] <= 1
+    df = locked(spark)
+    report = {r["event"]: r for r in registration.convergence_report(df, ["session_id", "idx"], ["event"], (1, 2)).collect()}
+    assert report["in"]["n"] == 6 and report["in"]["lag_corr"] > 0.9 and report["in"]["lag_stable"] == (report["in"]["lag_corr"] >= 0.99)
+    labels = df.select("session_id", "idx", (-F.col("idx")).cast("double").alias("rt"), F.lit(1).alias("cue"))
+    table, rows = registration.compare_event_locks(df, labels, max_iter=1)
+    got = {r["event"]: r for r in table.collect()}
+    assert rows.count() == 10 and got["in"]["n"] == 6 and got["out"]["lag_cue"] is None and 0 < got["out"]["pc1_var"] <= 1
+    lag = {r["idx"]: r["lag"] for r in rows.collect() if r["event"] == "in"}
+    order = lambda v: np.argsort(np.argsort(v))
+    assert got["in"]["lag_rt"] == pytest.approx(np.corrcoef(order([lag[i] for i in range(6)]), order([-i for i in range(6)]))[0, 1])
+    assert registration.register_groups(df.limit(0), ["session_id", "idx"], ["event"])[0].count() == 0
+
+
+def arcs(spark, count=6, by=1):
+    """Arcs of unlike bend, turned, shifted and run through at unlike speeds."""
+    rng, rows = np.random.default_rng(4), []
+    for i in range(count):
+        t = np.linspace(0, 1, 31)
+        t = t + 0.15 * rng.random() * np.sin(np.pi * t) * t
+        bend = 0.3 * (i % 3)
+        b = np.stack([t, bend * np.sin(np.pi * t)])
+        a = rng.random() * 6
+        b = np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]]) @ b * by + rng.random((2, 1))
+        rows.append(("s", i, b[0].tolist(), b[1].tolist()))
+    return spark.createDataFrame(rows, "session_id string, idx long, u array<double>, v array<double>")
+
+
+def test_shapes_are_invariant(spark):
+    scores, group = shapes.elastic_shapes(arcs(spark), n=2, max_iter=5)
+    group = group.first()
+    d = {r["idx"]: r for r in scores.collect()}
+    assert group["ratio"][0] > 0.9 and len(group["modes_u"]) == 4 and len(group["mean_u"]) == 31
+    for i in range(3):  # the same bend has the same shape, whatever its place, turn and speed
+        assert d[i]["scores"] == pytest.approx(d[i + 3]["scores"], abs=0.15)
+    assert abs(d[0]["scores"][0] - d[2]["scores"][0]) > 0.3
+    one, mean = shapes.elastic_shapes(arcs(spark, 1).unionByName(arcs(spark, 1).withColumn("idx", F.lit(9).cast("long"))), n=1)
+    assert all(r["distance"] < 1e-6 for r in one.collect())
+    path = arcs(spark, 1).first()
+    length = lambda u, v: np.hypot(np.diff(u), np.diff(v)).sum()
+    mean = mean.first()
+    assert length(mean["mean_u"], mean["mean_v"]) == pytest.approx(length(path["u"], path["v"]), rel=0.01)
+    large, _ = shapes.elastic_shapes(arcs(spark, 6, 5), n=2, scale=True, max_iter=2)
+    small, _ = shapes.elastic_shapes(arcs(spark, 6, 1), n=2, scale=True, max_iter=2)
+    b = {r["idx"]: r["scores"] for r in small.collect()}
+    assert all([abs(x) for x in r["scores"]] == pytest.approx([abs(x) for x in b[r["idx"]]], abs=1e-6) for r in large.collect())
+    labels = scores.select("session_id", "idx", (F.col("idx") % 2).cast("int").alias("error"), F.lit(1).alias("cue"))
+    assert shapes.shape_contrasts(scores, labels, 2).count() == 2
 
 
 def test_shift_lag(spark):
@@ -262,14 +345,6 @@ def test_dtw_brute_force():
         assert ml.dtw(a, b) == pytest.approx(d[7, 5]) and ml.dtw(a, a) == 0
 
 
-def test_kmedoids_finds_blobs(spark):
-    df = spark.createDataFrame([(i, [float(i % 2) * 10 + 0.01 * i]) for i in range(12)], "idx long, y array<double>")
-    labels, centers, _ = ml.kmedoids(ml.pair_distances(df), df.select(F.col("idx").alias("i")), 2, n_init=3)
-    got = {r["i"]: r["cluster"] for r in labels.collect()}
-    assert len(centers) == 2 and all(got[i] == got[i % 2] for i in got) and got[0] != got[1]
-    assert ml.silhouette(ml.pair_distances(df), labels).agg(F.min("s")).first()[0] > 0.9
-
-
 def test_density_clusters():
     rng = np.random.default_rng(3)
     points = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[20.0, -20.0]]])
@@ -303,3 +378,109 @@ def test_first_peak_and_no_peak(spark):
     assert [(r["idx"], r["peak_k"]) for r in peaks.collect()] == [(0, 3)]
     rest = {r["idx"]: r["rest_k"] for r in curves.rest_minimum(s, peaks).collect()}
     assert rest == {0: 2, 1: 0}
+
+
+def edit_distance(name, x, y):
+    """The three programmes as plain recurrences."""
+    n, m = len(x), len(y)
+    d = np.full((n + 1, m + 1), np.inf)
+    split = lambda v, a, b: 1.0 if a <= v <= b or b <= v <= a else 1.0 + min(abs(v - a), abs(v - b))
+    d[0, 0] = 0.0
+    if name == "msm":
+        e = np.zeros((n, m))
+        for i in range(n):
+            for j in range(m):
+                ways = []
+                if i == j == 0:
+                    ways.append(abs(x[0] - y[0]))
+                if i and j:
+                    ways.append(e[i - 1, j - 1] + abs(x[i] - y[j]))
+                if i:
+                    ways.append(e[i - 1, j] + split(x[i], x[i - 1], y[j]))
+                if j:
+                    ways.append(e[i, j - 1] + split(y[j], x[i], y[j - 1]))
+                e[i, j] = min(ways)
+        return e[-1, -1]
+    a, b = np.concatenate([[0], x]), np.concatenate([[0], y])
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            if name == "dtw":
+                d[i, j] = (a[i] - b[j]) ** 2 + min(d[i - 1, j - 1], d[i - 1, j], d[i, j - 1])
+            elif name == "dtw2" and abs(i - j) <= 2:
+                d[i, j] = (a[i] - b[j]) ** 2 + min(d[i - 1, j - 1], d[i - 1, j], d[i, j - 1])
+            elif name == "twe":
+                match = d[i - 1, j - 1] + (a[i] - b[j]) ** 2 + (a[i - 1] - b[j - 1]) ** 2 + 0.002 * abs(i - j)
+                d[i, j] = min(match, d[i - 1, j] + (a[i] - a[i - 1]) ** 2 + 1.001, d[i, j - 1] + (b[j] - b[j - 1]) ** 2 + 1.001)
+    return d[n, m]
+
+
+def test_elastic_distances_are_brute_force():
+    rng = np.random.default_rng(7)
+    rows, one = rng.normal(size=(5, 20)), rng.normal(size=20)
+    for name, as_ in (("dtw", "dtw"), ("msm", "msm"), ("twe", "twe"), ("dtw@0.1", "dtw2")):
+        assert distances.distances_to(rows, one, name) == pytest.approx([edit_distance(as_, r, one) for r in rows])
+    assert distances.distances_to(rows, one, "msm:2") == pytest.approx([edit_distance("msm", r[:10], one[:10]) + edit_distance("msm", r[10:], one[10:]) for r in rows])
+    many = np.cumsum(rng.normal(size=(400, 20)), axis=1)
+    at, d, measured = distances.nearest(many, many[3], 5)
+    every = distances.distances_to(many, many[3], "dtw@0.1")
+    best = np.lexsort((np.arange(400), every))[:5]
+    assert at.tolist() == best.tolist() and d == pytest.approx(every[best]) and measured < 300
+    assert (distances.lower_bounds(many, many[3], 2) <= every + 1e-9).all()
+
+
+def blobs(spark, n=120, p=8):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(3, p)) * 4
+    return np.stack([centres[i % 3] + rng.normal(size=p) for i in range(n)])
+
+
+def voronoi(d, k, start):
+    chosen = list(start)
+    while True:
+        label = d[:, chosen].argmin(axis=1)
+        new = [int(np.flatnonzero(label == c)[d[np.ix_(label == c, label == c)].sum(axis=1).argmin()]) for c in range(k)]
+        if new == chosen:
+            return chosen, d[:, chosen].min(axis=1).sum()
+        chosen = new
+
+
+def test_kmedoids_reaches_the_inertia_of_a_distance_matrix(spark):
+    x = blobs(spark)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, y array<double>")
+    labels, found, inertia = medoids.kmedoids(df.repartition(5), 3, n_init=4)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    best = min(voronoi(d, 3, s)[1] for s in ([0, 1, 2], [3, 4, 5], [0, 3, 1]))
+    got = {r["i"]: r for r in labels.collect()}
+    assert inertia == pytest.approx(best) and sum(r["d"] for r in got.values()) == pytest.approx(inertia)
+    assert all(got[i]["cluster"] == got[i % 3]["cluster"] for i in range(120)) and len(set(found)) == 3
+    s = {r["i"]: r["s"] for r in medoids.silhouettes(df, labels).collect()}
+    own = [got[i]["cluster"] for i in range(120)]
+    for i in (0, 7, 50):
+        mean = {c: np.mean([d[i, j] for j in range(120) if own[j] == c and j != i]) for c in set(own)}
+        b = min(v for c, v in mean.items() if c != own[i])
+        assert s[i] == pytest.approx((b - mean[own[i]]) / max(b, mean[own[i]]))
+    scores = medoids.suggest_k(df, (2, 3, 4), n_init=2)
+    assert max(scores, key=scores.get) == 3
+    with pytest.raises(ValueError):
+        medoids.kmedoids(df.limit(2), 3)
+
+
+def test_medoids_beyond_the_reference(spark, monkeypatch):
+    monkeypatch.setattr(medoids, "REFERENCE", 8)
+    monkeypatch.setattr(medoids, "CANDIDATES", 6)
+    x = blobs(spark)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, y array<double>")
+    one, two = (medoids.kmedoids(df.repartition(n), 3, n_init=2)[1:] for n in (2, 7))
+    assert one[0] == two[0] and one[1] == pytest.approx(two[1])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert one[1] < 1.05 * voronoi(d, 3, [0, 1, 2])[1]
+
+
+def test_cluster_timeseries(spark):
+    t = np.linspace(0, 1, 20)
+    rows = [("s", i, c, k, float(np.sin(6 * (t[k] + 0.05 * (i // 2))) * (1 if i % 2 else -1) * (2 if c == "b" else 1))) for i in range(8) for c in ("a", "b") for k in range(20)]
+    df = spark.createDataFrame(rows, "session_id string, idx long, channel string, k long, y float")
+    for name in ("msm", "dtw"):
+        labels, _, _ = medoids.cluster_timeseries(df, 2, distance=name, z=True, n_init=2)
+        got = {r["idx"]: r["cluster"] for r in labels.collect()}
+        assert labels.columns == ["session_id", "idx", "cluster", "d"] and len({got[i] for i in (0, 2, 4, 6)}) == 1 and got[0] != got[1]
