@@ -117,7 +117,8 @@ def kmedoids(packed: DataFrame, k: int, *, key: str = "idx", y: str = "y", dista
     """(i, cluster, d) of every curve, the medoids' keys, and the inertia (sum of distances) of the best of ``n_init`` starts."""
     if k < 1:
         raise ValueError("k is 1 or more")
-    rows = settled(packed.select(F.col(key).alias("i"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(y).alias("y")))
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settled(packed.select(F.col(key).alias("i"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(y).alias("y")).repartition(parts, "i"))
     measure = lambda a, b: distances_to(a, b, distance)
     now = _seeds(rows, k, n_init, seed, measure)
     active = list(range(n_init))

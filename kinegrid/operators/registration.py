@@ -159,6 +159,15 @@ def grouped(curves: DataFrame, by: Sequence[str]) -> DataFrame:
     return curves.withColumn("_g", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("{}"))
 
 
+def ready(curves: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(_g, keys, by, y), settled, and dealt over all shuffle partitions, as a curve costs much more time than bytes. Such a table is returned as it is."""
+    if "_g" in curves.columns:
+        return curves
+    names = list(dict.fromkeys([*keys, *by]))
+    parts = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settled(grouped(curves, by).select("_g", *names, "y").repartition(parts, *keys))
+
+
 def _grid(y: np.ndarray) -> np.ndarray:
     return np.linspace(0, 1, y.shape[1])
 
@@ -203,7 +212,7 @@ def fit_templates(curves: DataFrame, keys: Sequence[str], by: Sequence[str] = ()
     ``state``: a table from an earlier call on the same curves, which is taken up where it stopped. A group is done when its template moves by less than
     ``tol`` of its length.
     """
-    rows = settled(grouped(curves, by).select("_g", *keys, "y"))
+    rows = ready(curves, keys, by).select("_g", *keys, "y")
     if rows.where(F.size("y") < 3).limit(1).count():
         raise ValueError("curves of three points or more are needed")
     state = settled(first_templates(rows, keys)) if state is None else state
@@ -229,7 +238,7 @@ def apply_templates(curves: DataFrame, state: DataFrame, keys: Sequence[str], by
     lag: the integral of the warp less t; positive where a curve is slower than its template.
     """
     names = list(dict.fromkeys([*keys, *by]))
-    rows = grouped(curves, by).select("_g", *names, "y")
+    rows = ready(curves, keys, by).select("_g", *names, "y")
     kinds = rows.schema
 
     def warps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,6 +400,7 @@ def register_groups(curves: DataFrame, keys: Sequence[str], by: Sequence[str] =
     pc1_var: share of the first component of the unregistered curves.
     """
     names = list(dict.fromkeys([*keys, *by]))
+    curves = ready(curves, keys, by)
     state = fit_templates(curves, keys, by, max_iter=max_iter, tol=tol)
     registered, templates = apply_templates(curves, state, keys, by)
     rows, _ = score_families(registered, n, joint=joint)
@@ -420,6 +430,7 @@ def convergence_report(curves: DataFrame, keys: Sequence[str], by: Sequence[str]
 
     How lag and the first amplitude score agree after ``iters`` rounds; the longer fit goes on from the shorter one's templates.
     """
+    curves = ready(curves, keys, by)
     short = fit_templates(curves, keys, by, max_iter=iters[0], tol=fit_tol)
     long = fit_templates(curves, keys, by, state=short, max_iter=iters[1], tol=fit_tol)
     out, names = [], list(dict.fromkeys([*keys, *by]))

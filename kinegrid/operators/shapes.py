@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinegrid.operators import fda, registration
-from kinegrid.operators.registration import WARPED, _of, _with, best_warps, components, group_sums, grouped, lists, scored
+from kinegrid.operators.registration import WARPED, _of, _with, best_warps, components, group_sums, lists, ready, scored
 from kinegrid.sources.state import settled
 
 ROUNDS, TOLERANCE = 15, 1e-3
@@ -145,7 +145,7 @@ def elastic_shapes(
     the mean path, shares of variance, and for each component the paths 1.5 deviations before and after the mean.
     """
     names = list(dict.fromkeys([*keys, *by]))
-    points = grouped(paths, by).select("_g", *names, F.concat("u", "v").alias("y"))
+    points = ready(paths.select(*names, F.concat("u", "v").alias("y")), keys, by)
 
     def to_q(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
