@@ -46,7 +46,7 @@ def test_no_training_texts_and_no_rows(spark):
 
 
 def test_score_is_a_function_of_the_corpus(spark):
-    """The same scores under any number of partitions, and better ones than the base on texts that were not learnt from."""
+    """The same scores under any number of partitions."""
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     found = []
@@ -60,8 +60,13 @@ def test_score_is_a_function_of_the_corpus(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert found[0].keys() == found[1].keys() and all(found[0][k][0] == pytest.approx(found[1][k][0], abs=1e-6) for k in found[0])
-    apart = [v for v in found[0].values() if v[2]]
-    assert sum(v[0] for v in apart) > sum(v[1] for v in apart)
+
+
+def test_score_beats_the_base(spark):
+    """The base lets every unseen word have one share, so its words sum to more than 1; the model's do not, and texts that were not learnt from still get more."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.language_model_scores(rows, lambda k: residue(k, 7) != 2, lambda k: residue(k, 7) == 3).where("held_out").collect()
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
 def test_spelled_words_are_a_distribution():
@@ -73,6 +78,25 @@ def test_spelled_words_are_a_distribution():
     assert p[:-1].sum() / close == pytest.approx(1 - close)
 
 
+def test_mixture_of_all_predictors_is_a_distribution():
+    """Over an alphabet of a few words whose spellings sum to 1, the last word of a text takes each of them: the texts' probabilities sum to that of what comes before."""
+    rng = np.random.default_rng(8)
+    words = 12
+    mix, short = (np.log(rng.dirichlet(np.ones(words))) for _ in range(2))
+    c = rng.integers(0, 5, words) * (rng.random(words) < 0.6)
+    whole = mixing.whole_words(c, mix, int(c.sum()), int((c == 1).sum()))
+    cls = rng.integers(0, 3, words)
+    corpus = mixing.Corpus(int(c.sum()), int((c == 1).sum()), np.bincount(cls, weights=c, minlength=mixing.TEXT_CLASSES))
+    assert np.exp(whole).sum() == pytest.approx(1) and (np.exp(whole)[c == 0] < 0.5).all()
+    before = rng.integers(0, words, 150)
+    texts = [np.append(before, w) for w in range(words)] + [before]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = mixing.text_scores(mix, short, c, cls, corpus, np.concatenate(texts), bounds)
+    assert np.exp(found[:-1] - found[-1]).sum() == pytest.approx(1)
+    # an unseen word costs what its letters cost, so unseen words of any length do not share one price
+    assert np.diff(mixing.whole_words(np.zeros(2), np.array([-10.0, -90.0]), 100, 10))[0] == pytest.approx(-80)
+
+
 def test_packed_numbers_round_trip():
     x = np.array([0, 1, 255, 256, 1 << 40])
     assert (mixing._unplaned(mixing._planes(x)) == x.astype(np.uint64)).all()
@@ -197,13 +221,14 @@ def test_contexts_are_counted_exactly():
     halves, told = [0, len(words) // 3, len(words)], {}
     parts = [mixing.Spelled(pa.array(words[a:b], pa.binary())) for a, b in zip(halves[:-1], halves[1:])]
     for i, (a, b) in enumerate(zip(halves[:-1], halves[1:])):
-        for block, data in mixing.asked_blocks(parts[i], n0[a:b], n1[a:b]):
+        for block, data in mixing.asked_blocks(parts[i], n0[a:b], n1[a:b], 8):
             told.setdefault(block, []).append((i, data))
     back = [[], []]
     for block in sorted(told):
         for (i, _), data in zip(told[block], mixing.answered([d for _, d in told[block]])):
             back[i].append(data)
-    first, both = mixing.context_counts(spelled, n0), mixing.context_counts(spelled, n0 + n1)
+    first = mixing.context_counts(spelled, n0)
+    both = first + mixing.context_counts(spelled, n1)
     want = np.stack([*mixing.finished_tables(*first), *mixing.finished_tables(*both)])
     for part, data in zip(parts, back):
         assert (mixing.predictions(data) == want[:, np.searchsorted(spelled.keys, part.keys)]).all()
