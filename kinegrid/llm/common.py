@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a compressed table in the shared folder: like ``cut_lineage``, with a fraction of its bytes."""
+    path = posixpath.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: A table of so many short rows may be broadcast; its rows are counted first.
 BROADCAST_ROWS = 200_000
 
