@@ -120,3 +120,19 @@ def event_lock_means(packed: DataFrame, columns: Sequence[str], by: Sequence[str
     """(by, k, n, mean_<column>): the mean of each packed curve column at each place, for a comparison of event locks."""
     rows = packed.select(*by, F.posexplode(F.arrays_zip(*columns)).alias("k", "v"))
     return rows.groupBy(*by, F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("v")[c]).alias(f"mean_{c}") for c in columns])
+
+
+def velocity_profiles(samples: DataFrame, marks: DataFrame, value: str = "lin_vel", keys: Sequence[str] = ("session_id", "idx")) -> DataFrame:
+    """(keys, k, value, is_peak, is_rest): each profile with its peak and rest marked. marks: ``curves.figure_trials``; a profile without a peak has none marked."""
+    rows = samples.join(marks.select(*keys, "lmax_idx", "localmin"), list(keys), "left")
+    mark = lambda c: F.coalesce(F.col("k") == F.col(c), F.lit(False))
+    return rows.select(*keys, "k", value, mark("lmax_idx").alias("is_peak"), mark("localmin").alias("is_rest"))
+
+
+def trial_panel(windows: DataFrame, series: DataFrame, ports: DataFrame, signals: Sequence[str] = ("x", "y", "lin_vel")) -> DataFrame:
+    """(session_id, idx, k, t_choice, signals, d_left, d_right): what a figure of single trials draws: each frame of a trial's window, its place from the choice, its signals and its distances to both ports."""
+    from kinegrid.operators.align import trial_samples
+
+    rows = trial_samples(windows, series, ("session_id", "idx", "ch")).join(ports, "session_id", "left")
+    to = lambda side: F.sqrt((F.col("x") - F.col(f"{side}_x")) ** 2 + (F.col("y") - F.col(f"{side}_y")) ** 2).alias(f"d_{side}")
+    return rows.select("session_id", "idx", "k", (F.col("frame") - F.col("ch")).alias("t_choice"), *signals, to("left"), to("right"))

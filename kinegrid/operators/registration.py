@@ -148,10 +148,11 @@ def _mean() -> Column:
     return F.transform("s", lambda v: v / F.col("n"))
 
 
-def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows joined with a settled row per group."""
-    first = groups.select(F.max(F.size("template") if "template" in groups.columns else F.lit(1)).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    return rows.join(F.broadcast(groups) if (first["p"] or 1) * first["n"] <= BROADCAST_NUMBERS else groups, "_g")
+def _with(rows: DataFrame, groups: DataFrame, numbers: int | None = None) -> DataFrame:
+    """rows joined with a settled row per group; numbers: how many the groups' templates have, counted here if not known."""
+    if numbers is None:
+        numbers = groups.select(F.sum(F.size("template") if "template" in groups.columns else F.lit(1))).first()[0] or 0
+    return rows.join(F.broadcast(groups) if numbers <= BROADCAST_NUMBERS else groups, "_g")
 
 
 def grouped(curves: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -218,9 +219,10 @@ def fit_templates(curves: DataFrame, keys: Sequence[str], by: Sequence[str] = ()
     state = settled(first_templates(rows, keys)) if state is None else state
     while True:
         moving = state.where(~F.col("done") & (F.col("rounds") < max_iter))
-        if not moving.limit(1).count():
+        numbers = moving.select(F.sum(F.size("template"))).first()[0]
+        if not numbers:
             return state
-        sums = group_sums(_with(rows, moving.select("_g", "template")), _aligned)
+        sums = group_sums(_with(rows, moving.select("_g", "template"), numbers), _aligned)
         size = F.size("s") - 1
         new = sums.select("_g", F.transform(F.slice("s", F.lit(1), size), lambda v: v / F.col("n")).alias("new"), (F.element_at("s", -1) / F.col("n")).alias("cost"))
         length = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))

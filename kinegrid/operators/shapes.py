@@ -129,9 +129,10 @@ def karcher_means(rows: DataFrame, keys: Sequence[str], *, scale: bool, max_iter
 
     while True:
         moving = state.where(~F.col("done") & (F.col("rounds") < max_iter))
-        if not moving.limit(1).count():
+        numbers = moving.select(F.sum(F.size("template"))).first()[0]
+        if not numbers:
             return state
-        sums = group_sums(_with(rows.select("_g", "q"), moving.select("_g", "template")), step)
+        sums = group_sums(_with(rows.select("_g", "q"), moving.select("_g", "template"), numbers), step)
         new = moving.join(sums, "_g").mapInPandas(update, registration.STATE)
         state = settled(state.where(F.col("done") | (F.col("rounds") >= max_iter)).unionByName(new))
 

@@ -33,6 +33,12 @@ def _before(counts: DataFrame, c: str, keys: Sequence[str]) -> DataFrame:
     return own.join(offsets, [*keys, "_p"]).withColumn("_b", F.col("_i") + F.col("_o")).drop("_p", "_i", "_o")
 
 
+def places(df: DataFrame, c: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds _b: how many rows with the same keys have a smaller value of c. Rows with a null key or value drop."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
+    return df.join(_before(counts, c, keys).select(*keys, c, "_b"), [*keys, c])
+
+
 def mid_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Adds r_<column>: average ranks from 1, within keys if given. Nulls have no rank; rows with a null key have none.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinegrid.operators import align, fda, geometry, medoids, ml, plotdata, stats, tsc
+from kinegrid.operators import align, density, fda, geometry, medoids, ml, plotdata, shapley, stats, tsc
 from kinegrid.plans import lenses as L
 from kinegrid.plans.movement import _MOVES, _axis, _samples
 
@@ -200,7 +200,7 @@ def _table(spark, sf):
 @query()
 def q39c_density_clusters(spark, sf):
     t = _table(spark, sf)
-    return ml.cluster_measures(t, ["path_len_cm", "tortuosity", "dev_unchosen_cm", "peak_lin_vel"], ["session_id", "idx"])
+    return density.cluster_measures(t, ["path_len_cm", "tortuosity", "dev_unchosen_cm", "peak_lin_vel"], ["session_id", "idx"])
 
 
 @query()
@@ -216,14 +216,38 @@ def q40_fold_sizes(spark, sf):
     return f.groupBy("error", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _features(spark, sf, target):
+    t, names = ml.feature_matrix(_table(spark, sf).drop("cue" if target == "error" else "error"), target)
+    return t, [n for n in names if n != target]
+
+
 @query()
 def q40b_classifier(spark, sf):
-    t, names = ml.feature_matrix(_table(spark, sf).drop("cue"), "error")
-    names = [n for n in names if n != "error"]
-    importance, score = ml.classifier_importance(t, names, "error", ["session_id", "idx"], rounds=5)
+    """Mean absolute Shapley value of each measure for the outcome, and balanced accuracy on the rows held out."""
+    t, names = _features(spark, sf, "error")
+    importance, _, score = shapley.classifier_importance(t, names, "error", ["session_id", "idx"], rounds=ROUNDS)
     return importance.withColumn("balanced_accuracy", F.lit(score))
 
 
+@query()
+def q40c_shapley_values(spark, sf):
+    """Shapley values of the held-out trials for each of the cues."""
+    t, names = _features(spark, sf, "cue")
+    return shapley.classifier_importance(t, names, "cue", ["session_id", "idx"], rounds=CUE_ROUNDS)[1]
+
+
+@query()
+def q40d_cross_validation(spark, sf):
+    """Balanced accuracy of each of five stratified folds."""
+    t, names = _features(spark, sf, "error")
+    scores = ml.cross_val_score(t, names, "error", ["session_id", "idx"], rounds=FOLD_ROUNDS)
+    return spark.createDataFrame([(i + 1, s) for i, s in enumerate(scores)], "fold int, balanced_accuracy double")
+
+
+#: Rounds of boosting in registered queries; the operators' default is 200.
+ROUNDS, CUE_ROUNDS, FOLD_ROUNDS = 20, 5, 5
+
+
 _SHAPE = (0.5, -0.25, 0.125, 0.75, -0.5, 0.0, 0.25)
 
 
@@ -236,13 +260,17 @@ def q41_window_distance(spark, sf):
 
 @query()
 def q41b_random_kernels(spark, sf):
-    return tsc.random_kernel_features(L.packed_curves(spark, sf), 50)
+    return tsc.multirocket_features(L.packed_curves(spark, sf))
 
 
 @query()
 def q41c_shapelets(spark, sf):
-    features, _ = tsc.shapelet_transform(L.packed_curves(spark, sf).select("idx", "label", "y"), "label", candidates=20, keep=5, fit_rows=100)
-    return features
+    return tsc.shapelet_transform(L.packed_curves(spark, sf).select("idx", "label", "y"), "label")[0]
+
+
+@query()
+def q41d_shapelet_summary(spark, sf):
+    return tsc.shapelet_transform(L.packed_curves(spark, sf).select("idx", "label", "y"), "label")[1]
 
 
 @query("WITH " + _MOVES + " SELECT session_id, idx FROM trials EXCEPT SELECT session_id, idx FROM moves")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinegrid.operators import align, curves, fda, geometry, plotdata, pose, registration, shapes
+from kinegrid.operators import align, curves, fda, geometry, ml, plotdata, pose, registration, shapes, stats
 from kinegrid.plans import lenses as L
-from kinegrid.plans.movement import _samples
+from kinegrid.plans.movement import _MOVES, _PEAK, _arc, _on_grid, _samples
+from kinegrid.streaming import trials
 
 QUERIES, SQL = {}, {}
 
@@ -194,3 +195,100 @@ def q60b_shape_contrasts(spark, sf):
 def q60c_shape_modes(spark, sf):
     """Mean path, shares of variance, and the paths 1.5 deviations along each component."""
     return shapes.elastic_shapes(_decision_paths(spark, sf))[1]
+
+
+_LIMIT = 600.0
+
+
+def event_log(spark, sf):
+    """The events as a log of entries (views), choices (purchases) and exits (all others)."""
+    kind = F.when(F.col("event_type") == "view", "entry").when(F.col("event_type") == "purchase", "choice").otherwise("exit")
+    return L.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), "ts", kind.alias("kind"))
+
+
+@query(
+    f"""WITH r AS (SELECT user_id AS session_id, epoch_us(ts) AS t, CASE event_type WHEN 'view' THEN 'entry' WHEN 'purchase' THEN 'choice' ELSE 'exit' END AS kind FROM events),
+ g AS (SELECT *, sum((kind = 'entry')::INT) OVER (PARTITION BY session_id ORDER BY t, kind ROWS UNBOUNDED PRECEDING) AS trial FROM r),
+ s AS (SELECT session_id, trial, min(t) FILTER (kind = 'entry') AS e FROM g WHERE trial > 0 GROUP BY 1, 2), n AS (SELECT *, lead(e) OVER (PARTITION BY session_id ORDER BY trial) AS nx FROM s),
+ o AS (SELECT session_id, trial, e, nx, min(t) FILTER (kind = 'choice') AS c, min(t) FILTER (kind = 'exit') AS x FROM g JOIN n USING (session_id, trial) WHERE t <= e + {int(_LIMIT * 1e6)} GROUP BY ALL)
+ SELECT session_id, e AS entry, CASE WHEN c IS NULL OR x < c THEN x END AS exit, c AS choice, CASE WHEN c IS NOT NULL THEN 'choice' WHEN nx <= e + {int(_LIMIT * 1e6)} THEN 'abandoned' ELSE 'timeout' END AS outcome FROM o"""
+)
+def q61_closed_trials(spark, sf):
+    """Trials closed by a choice, the next entry or a time-out of ten minutes; a stream of the same log gives the same rows."""
+    found = trials.closed_trials(event_log(spark, sf), limit_s=_LIMIT)
+    return found.select("session_id", *[F.unix_micros(c).alias(c) for c in ("entry", "exit", "choice")], "outcome")
+
+
+@query("WITH " + L.TRIALS + " SELECT session_id, idx, CASE idx WHEN 7 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS place FROM trials WHERE idx IN (7, 2, 30)")
+def q62_select_trials(spark, sf):
+    return plotdata.select_trials(L.trials(spark, sf), (7, 2, 30)).select("session_id", "idx", "place")
+
+
+@query("WITH " + _MOVES + ", " + _arc("moves", "src") + ", " + _on_grid(50, ("lin_vel",)) + " SELECT session_id, idx, k, round(lin_vel, 5) AS y FROM gr")
+def q63_arclength_signal(spark, sf):
+    return curves.arclength_signal(_samples(spark, sf), "lin_vel").select("session_id", "idx", "k", F.round("y", 5).alias("y"))
+
+
+@query(
+    "WITH " + _WINDOWS + """, seg5 AS (SELECT session_id, idx FROM seg WHERE m >= 5), lk AS (SELECT w.session_id, w.idx, f.frame - ch + 10 AS k, f.lin_vel AS y FROM whole w JOIN frames f ON f.session_id = w.session_id AND f.frame >= ch - 10 AND f.frame < ch + 10 WHERE ch - 10 >= w_start AND ch + 10 <= w_end),
+ g AS (SELECT seg.*, CAST(k AS BIGINT) AS k, k * (m - 1) / 49.0::DOUBLE AS pos FROM seg, (SELECT unnest(range(50)) AS k) WHERE m >= 5),
+ mv AS (SELECT g.session_id, g.idx, g.k, lo.lin_vel + (hi.lin_vel - lo.lin_vel) * (pos - floor(pos)) AS y FROM g JOIN frames lo ON lo.session_id = g.session_id AND lo.frame = a + CAST(floor(pos) AS BIGINT) JOIN frames hi ON hi.session_id = g.session_id AND hi.frame = a + least(CAST(floor(pos) AS BIGINT) + 1, m - 1)),
+ both_ AS (SELECT session_id, idx FROM seg5 INTERSECT SELECT session_id, idx FROM lk)
+ SELECT session_id, idx, 'movement' AS channel, k, round(y, 3) AS y FROM mv SEMI JOIN both_ USING (session_id, idx) UNION ALL SELECT session_id, idx, 'purchase', k, round(y, 3) FROM lk SEMI JOIN both_ USING (session_id, idx)"""
+)
+def q64_assembled_channels(spark, sf):
+    """Movement and purchase-locked curves of the trials that have both."""
+    locked = locked_events(spark, sf).where("event = 'purchase'")
+    found = curves.assemble_channels({"movement": padded_curves(spark, sf), "purchase": locked})
+    return found.select("session_id", "idx", "channel", "k", F.round(F.col("y").cast("double"), 3).alias("y"))
+
+
+@query("WITH " + L.FRAMES + ' SELECT session_id, round(1.1::DOUBLE * max(abs(lin_vel)), 6) AS "limit" FROM frames GROUP BY 1')
+def q65_shared_limit(spark, sf):
+    return plotdata.shared_limit(L.frames(spark, sf), "lin_vel", ["session_id"]).select("session_id", F.round("limit", 6).alias("limit"))
+
+
+@query()
+def q66_cluster_check(spark, sf):
+    """Silhouette, smallest share and flag of the best k-means split of the first three shape scores for each k."""
+    scores, _ = shapes.elastic_shapes(_decision_paths(spark, sf), n=3)
+    rows = scores.select(*[F.get("scores", F.lit(j)).alias(f"s{j}") for j in range(3)])
+    return spark.createDataFrame([tuple(r.values()) for r in ml.cluster_check(rows, ["s0", "s1", "s2"])], "k int, silhouette double, min_fraction double, flag string")
+
+
+@query()
+def q67_fpca_summary(spark, sf):
+    """Contrasts of the components of movement curves by outcome and cue, with their shares of variance."""
+    packed = curves.packed_curves(padded_curves(spark, sf), ["y"]).join(L.trials(spark, sf).select("session_id", "idx", "error", "cue"), ["session_id", "idx"])
+    found = fda.fpca_summary(packed)
+    share = F.array(*[F.lit(float(r)) for r in found["ratio"]])
+    return found["table"].withColumn("share", F.get(share, F.col("component") - 1))
+
+
+@query(
+    "WITH " + L.TRIALS + """, r AS (SELECT rt, choice, rank() OVER (ORDER BY rt) + (count(*) OVER (PARTITION BY rt) - 1) / 2.0 AS r FROM trials WHERE rt IS NOT NULL), s AS (SELECT count(*) FILTER (choice = 1) AS n1, count(*) FILTER (choice = 0) AS n0, sum(r) FILTER (choice = 1) AS s, median(rt) FILTER (choice = 1) AS m1, median(rt) FILTER (choice = 0) AS m0 FROM r)
+ SELECT s - n1 * (n1 + 1) / 2.0 AS u, round(2 * (s - n1 * (n1 + 1) / 2.0) / (n1 * n0) - 1, 6) AS effect, round(m1, 6) AS median_1, round(m0, 6) AS median_0 FROM s"""
+)
+def q68_main_effect(spark, sf):
+    """U, effect and medians of the reaction times of both choices (their p-value is in q34b)."""
+    found = stats.condition_main_effect(L.trials(spark, sf), "rt", "choice")
+    return spark.createDataFrame([tuple(None if found[k] is None else round(float(found[k]), 6) for k in ("u", "effect", "median_1", "median_0"))], "u double, effect double, median_1 double, median_0 double")
+
+
+@query(
+    "WITH " + _PEAK + """, g AS (SELECT s.session_id, any_value(lw.peak_k) AS p, coalesce(max(CASE WHEN low AND lw.k < lw.peak_k THEN lw.k END), min(CASE WHEN low THEN lw.k END), 0) AS r FROM (SELECT DISTINCT session_id FROM s) s JOIN lw USING (session_id) GROUP BY 1)
+ SELECT s.session_id, s.k, s.v AS lin_vel, coalesce(s.k = p, false) AS is_peak, s.k = CASE WHEN p IS NULL THEN 0 ELSE r END AS is_rest FROM s JOIN g USING (session_id) WHERE s.k < 40"""
+)
+def q69_velocity_profiles(spark, sf):
+    """The first 40 speeds of each session with its first peak and the rest before it marked."""
+    s = L.frames(spark, sf).select("session_id", F.col("frame").alias("k"), "lin_vel").withColumn("start", F.lit(4))
+    marks = curves.figure_trials(s, start="start", keys=["session_id"])
+    return plotdata.velocity_profiles(s.where("k < 40").drop("start"), marks, keys=["session_id"])
+
+
+@query("WITH " + L.PORTS + _WINDOWS[len(L.TRIALS) :] + " SELECT w.session_id, w.idx, f.frame - w_start AS k, f.frame - ch AS t_choice, round(sqrt((x - left_x) * (x - left_x) + (y - left_y) * (y - left_y)), 5) AS d_left, round(sqrt((x - right_x) * (x - right_x) + (y - right_y) * (y - right_y)), 5) AS d_right FROM whole w JOIN frames f ON f.session_id = w.session_id AND f.frame >= w_start AND f.frame < w_end LEFT JOIN ports p ON p.session_id = w.session_id")
+def q70_trial_panels(spark, sf):
+    """Each frame of each trial's window with its distances to both choice ports."""
+    w, f = _windows(spark, sf)
+    found = plotdata.trial_panel(w, f, L.ports(spark, sf))
+    return found.select("session_id", "idx", "k", "t_choice", F.round("d_left", 5).alias("d_left"), F.round("d_right", 5).alias("d_right"))

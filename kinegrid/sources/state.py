@@ -5,17 +5,26 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder stands in only where none is set and all of Spark is this process."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="kinegrid-")
+        context.setCheckpointDir(found)
+    return found
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into ``spark.checkpoint.dir``; a temporary folder stands in only where none is set and all of Spark is this process."""
+    """``checkpoint()`` into the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="kinegrid-")
-        context.setCheckpointDir(folder)
+        found = folder(df.sparkSession)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(found)
     return df.checkpoint()

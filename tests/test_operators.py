@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinegrid.config import RIG
 from kinegrid.functions import expr
-from kinegrid.operators import align, behavior, curves, distances, fda, geometry, medoids, ml, plotdata, pose, registration, shapes, stats, tsc
+from kinegrid.operators import align, behavior, curves, density, distances, fda, geometry, medoids, ml, plotdata, pose, registration, shapes, shapley, stats, tsc
 
 
 def log_rows():
@@ -34,7 +34,7 @@ def test_event_names(log):
 
 
 def test_settings():
-    assert RIG.framerate == 25 and RIG.but(framerate=30).framerate == 30
+    assert RIG.framerate == 25 and RIG.peak_floor == 9.0
     with pytest.raises(Exception):
         RIG.framerate = 1
 
@@ -348,7 +348,7 @@ def test_dtw_brute_force():
 def test_density_clusters():
     rng = np.random.default_rng(3)
     points = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[20.0, -20.0]]])
-    label = ml.density_clusters(points, 10)
+    label = density.density_clusters(points, 10)
     assert len(set(label[:30])) == 1 and len(set(label[30:60])) == 1 and label[0] != label[40] and label[60] == -1
 
 
@@ -360,7 +360,7 @@ def test_varimax_is_a_rotation():
 def test_shapelet_of_the_same_series():
     y = np.sin(np.arange(30.0))
     assert tsc.shapelet_distance(y, y[4:12]) == pytest.approx(0)
-    assert tsc.information_gain(np.array([0.0, 0.1, 5, 6]), np.array([0, 0, 1, 1])) == pytest.approx(1)
+    assert tsc.information_gain(np.array([[1, 0], [1, 0], [0, 1], [0, 1]])) == pytest.approx(1)
 
 
 def test_views_and_padding(spark):
@@ -484,3 +484,99 @@ def test_cluster_timeseries(spark):
         labels, _, _ = medoids.cluster_timeseries(df, 2, distance=name, z=True, n_init=2)
         got = {r["idx"]: r["cluster"] for r in labels.collect()}
         assert labels.columns == ["session_id", "idx", "cluster", "d"] and len({got[i] for i in (0, 2, 4, 6)}) == 1 and got[0] != got[1]
+
+
+def test_density_cells_are_weighted_points(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(0, 0.3, (60, 2)), rng.normal(4, 0.3, (60, 2)), rng.uniform(-10, 14, (20, 2))]).round(1)
+    each = density.density_clusters(x)
+    places, at, n = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    whole = density.density_clusters(places, 10, n, np.zeros(len(places)))[at]
+    same = lambda l: [[a == b for b in l] for a in l]
+    assert same(each[each >= 0]) == same(whole[each >= 0]) and ((each < 0) == (whole < 0)).all()
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "i long, a double, b double")
+    few = {r["i"]: r["cluster"] for r in density.cluster_points(df.repartition(3), "a", "b").collect()}
+    assert same([few[i] for i in range(140)]) == same(each.tolist())
+    many = np.concatenate([rng.normal(0, 0.3, (3000, 2)), rng.normal(4, 0.3, (3000, 2))])
+    big = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(many)], "i long, a double, b double")
+    got = {r["i"]: r["cluster"] for r in density.cluster_points(big, "a", "b", cells=500).collect()}
+    main = [max(set(v), key=v.count) for v in ([got[i] for i in range(3000)], [got[i] for i in range(3000, 6000)])]
+    assert len(got) == 6000 and main[0] != main[1] and min(main) >= 0
+    assert sum(got[i] == main[i // 3000] for i in range(6000)) > 5000
+    assert density.cluster_points(df.limit(0), "a", "b").count() == 0
+
+
+def test_shapley_values_are_brute_force(spark):
+    from itertools import combinations
+
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 4))
+    y = (x[:, 0] + 0.5 * x[:, 1] * x[:, 2] > 0).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "i long, a double, b double, c double, d double, y double")
+    rows = VectorAssembler(inputCols=list("abcd"), outputCol="features").transform(df)
+    model = GBTClassifier(labelCol="y", maxIter=4, maxDepth=3, seed=1).fit(rows)
+    found = shapley.model_leaves(model, spark)
+    got = {r["i"]: r for r in shapley.shapley_values(df, {"1": found}, list("abcd"), ["i"]).collect()}
+    raw = {r["i"]: float(r["rawPrediction"][1]) for r in model.transform(rows).select("i", "rawPrediction").collect()}
+
+    def given(row, known):
+        """The expected margin with some features known."""
+        return sum(leaf.value * math.prod(float(low < row[f] <= high) if f in known else share for f, low, high, share in leaf.conditions) for leaf in found)
+
+    for i in range(0, 80, 9):
+        assert got[i]["expected"] + sum(got[i]["phi"]) == pytest.approx(raw[i])
+        for f in range(4):
+            rest = [g for g in range(4) if g != f]
+            want = sum(math.factorial(s) * math.factorial(3 - s) / 24 * (given(x[i], {*c, f}) - given(x[i], set(c))) for s in range(4) for c in combinations(rest, s))
+            assert got[i]["phi"][f] == pytest.approx(want, abs=1e-9)
+    three = df.withColumn("y", (F.col("a") > 0.5).cast("int") + (F.col("a") > -0.5).cast("int"))
+    importance, values, score = shapley.classifier_importance(three, list("abcd"), "y", ["i"], rounds=3)
+    assert importance.first()["feature"] == "a" and {r["class"] for r in values.collect()} == {"0", "1", "2"} and score > 0.6
+
+
+def test_multirocket_is_a_direct_loop():
+    rng = np.random.default_rng(12)
+    y = rng.normal(size=(3, 30)).cumsum(axis=1)
+    plan = tsc.multirocket_plan(y, 3 * 84)
+    got, at = tsc.multirocket_rows(y, plan), 0
+    assert sum(len(b) for d, b in plan[0]) == 3
+    for form, steps in zip((y, np.diff(y, axis=1)), plan):
+        p = form.shape[1]
+        for d, biases in steps:
+            for i, bias in enumerate(biases):
+                inside = range(4 * d, p - 4 * d) if i % 2 and p > 8 * d else range(p)
+                for k in range(84):
+                    for r in range(3):
+                        z = []
+                        for t in inside:
+                            terms = ((2.0 if j in tsc.TRIPLES[k] else -1.0) * form[r, t + (j - 4) * d] for j in range(9) if 0 <= t + (j - 4) * d < p)
+                            z.append(sum(terms) - bias[k])
+                        on = [t for t, v in enumerate(z) if v > 0]
+                        runs = "".join("1" if v > 0 else " " for v in z).split()
+                        want = [len(on) / len(z), max(map(len, runs), default=0), sum(z[t] for t in on) / max(len(on), 1), sum(on) / len(on) if on else -1]
+                        assert got[r, at : at + 4] == pytest.approx(want), (d, i, k, r)
+                    at += 4
+    assert at == got.shape[1]
+
+
+def test_shapelets_are_rated_by_all_curves(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(60, 24)) * 0.3
+    x[::2, 5:13] += np.sin(np.linspace(0, 6, 8)) * 3
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "idx long, label int, y array<double>")
+    features, summary = tsc.shapelet_transform(df.repartition(4), "label", 40, 5)
+    best = summary.orderBy("shapelet").collect()
+    shape = x[int(best[0]["source"])][best[0]["start"] : best[0]["start"] + best[0]["length"]]
+    exact = np.array([tsc.shapelet_distance(v, shape) for v in x])
+
+    def gain(d):
+        order = np.argsort(d, kind="stable")
+        return tsc.information_gain(np.eye(2)[np.arange(60)[order] % 2])
+
+    assert best[0]["quality"] == pytest.approx(gain(exact), abs=0.05) and best[0]["quality"] > 0.9
+    got = {r["idx"]: r["features"] for r in features.collect()}
+    assert [got[i][0] for i in range(60)] == pytest.approx(exact.tolist())
+    assert best[0]["quality"] >= best[-1]["quality"]
