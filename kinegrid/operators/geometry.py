@@ -87,6 +87,11 @@ def smooth(samples: DataFrame, columns: Sequence[str] = ("x", "y"), sigma: float
     return rows.select(*[found.get(c, F.col(c)).alias(c) for c in samples.columns])
 
 
+def node_samples(trials: DataFrame, nodes: DataFrame, node: str, least: int = 4) -> DataFrame:
+    """Samples of one tracked node's path in each measurable trial; nodes: (session_id, frame, node, x, y). A node that is not there gives no rows."""
+    return movement_samples(trials, nodes.where(F.col("node") == node).select("session_id", "frame", "x", "y"), least)
+
+
 def arc_length(samples: DataFrame, keys: Sequence[str] = TRIAL) -> DataFrame:
     """Adds ``arc``: cumulative step length from 0."""
     w = by(*keys, order="k")

@@ -6,7 +6,6 @@ All but ``clean_outliers`` are window expressions: one shuffle on the key, which
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -160,12 +159,12 @@ def node_consensus(values: Sequence[Column], threshold: float = 10.0) -> Column:
 
 
 def robust_z(df: DataFrame, column: str, keys: Sequence[str], into: str = "robust_z") -> DataFrame:
-    """Adds 0.6745 (x - median) / MAD within each group; 0 where the MAD is 0. Two aggregates that are joined back: no group is held in memory."""
-    middle = df.groupBy(*keys).agg(F.median(column).alias("_med"))
-    rows = df.join(middle, list(keys))
-    spread = rows.groupBy(*keys).agg(F.median(F.abs(F.col(column) - F.col("_med"))).alias("_mad"))
+    """Adds 0.6745 (x - median) / MAD within each group; 0 where the MAD is 0. Medians come from counts along a range sort, so no group is held in one buffer."""
+    from kinegrid.operators.stats import medians
+
+    rows = df.join(medians(df, column, keys, "_med"), list(keys)).withColumn("_off", F.abs(F.col(column) - F.col("_med")))
     score = F.when(F.col("_mad") == 0, 0.0).otherwise(0.6745 * (F.col(column) - F.col("_med")) / F.nullif("_mad", F.lit(0.0)))
-    return rows.join(spread, list(keys)).withColumn(into, score).drop("_med", "_mad")
+    return rows.join(medians(rows, "_off", keys, "_mad"), list(keys)).withColumn(into, score).drop("_med", "_mad", "_off")
 
 
 def mean_squared_displacement(paths: DataFrame, reference: DataFrame, keys: Sequence[str], on: Sequence[str]) -> DataFrame:
@@ -173,7 +172,3 @@ def mean_squared_displacement(paths: DataFrame, reference: DataFrame, keys: Sequ
     both = paths.join(reference, list(on))
     d = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
     return both.groupBy(*keys).agg(F.avg(d("x", "rx") + d("y", "ry")).alias("msd"))
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

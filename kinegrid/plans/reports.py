@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinegrid.operators import align, curves, fda, geometry, ml, plotdata, pose, registration, shapes, stats
 from kinegrid.plans import lenses as L
+from kinegrid.plans.kinematics import _pose as pose_nodes
 from kinegrid.plans.movement import _MOVES, _PEAK, _arc, _on_grid, _samples
 from kinegrid.streaming import trials
 
@@ -292,3 +293,10 @@ def q70_trial_panels(spark, sf):
     w, f = _windows(spark, sf)
     found = plotdata.trial_panel(w, f, L.ports(spark, sf))
     return found.select("session_id", "idx", "k", "t_choice", F.round("d_left", 5).alias("d_left"), F.round("d_right", 5).alias("d_right"))
+
+
+@query("WITH " + _MOVES + " SELECT m.session_id, m.idx, m.k, round(f.x - 3, 6) AS x, round(f.y + f.event_id % 5, 6) AS y FROM moves m JOIN frames f ON f.session_id = m.session_id AND f.frame = m.ce + m.k")
+def q71_node_paths(spark, sf):
+    """The path of one node through each movement."""
+    found = geometry.node_samples(L.trials(spark, sf), pose_nodes(spark, sf), "left")
+    return found.select("session_id", "idx", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
