@@ -69,6 +69,28 @@ def test_score_beats_the_base(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_text_classes_are_of_all_learnt_texts(spark):
+    """More learnt texts than any sample would hold: the classes are those of all of them, and of no others, in any layout."""
+    texts = [f"{'abcdefgh'[i % 8] * (i % 5)} {i} {'xyz'[i % 3]}" for i in range(9000)] + ["", None, "a"]
+    rows = spark.createDataFrame([(i, t, -1 if i % 7 == 2 else i % 2) for i, t in enumerate(texts)], "key long, text string, fold int")
+    learnt = [t for i, t in enumerate(texts) if i % 7 != 2]
+    kinds = np.zeros((len(learnt), mixing.CLASS_KINDS))
+    for i, t in enumerate(learnt):
+        data = (t or "").encode()
+        for a, b in itertools.pairwise(data):
+            kinds[i, mixing.PAIR_KIND[a << 8 | b]] += 1
+    kinds = np.rint(mixing.KIND_UNIT * np.sqrt(kinds / np.maximum(kinds.sum(axis=1, keepdims=True), 1)))
+    assert (mixing.text_kinds(pa.array(learnt)) == kinds).all()
+    some = kinds[kinds.any(axis=1)]
+    axes = np.linalg.eigh(np.cov(some.T, ddof=0))[1].T[::-1][: mixing.CLASS_BITS]
+    for n in (2, 7):
+        found = mixing.fitted_classes(rows.repartition(n))
+        assert found.middle == pytest.approx(some.mean(axis=0), rel=1e-12)
+        assert np.abs((found.axes * axes).sum(axis=1)) == pytest.approx(1)
+        assert len(np.unique(found.of(kinds))) > 1
+    assert (mixing.PAIR_KIND[[ord("A") << 8 | ord("b")]] == mixing.PAIR_KIND[[ord("a") << 8 | ord("B")]]).all()
+
+
 def test_spelled_words_are_a_distribution():
     """Each bit's two outcomes share one context, so a word's bits are a path in a binary tree; all words closed by a space sum to 1 at most."""
     model = mixing.Model(np.zeros(mixing.SLOTS, np.int8), np.zeros(mixing.SLOTS, np.int8), mixing.first_weights())
