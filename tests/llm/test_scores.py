@@ -91,6 +91,33 @@ def test_text_classes_are_of_all_learnt_texts(spark):
     assert (mixing.PAIR_KIND[[ord("A") << 8 | ord("b")]] == mixing.PAIR_KIND[[ord("a") << 8 | ord("B")]]).all()
 
 
+def test_shared_beginnings_are_spelled_once():
+    """Sorted words are a trie: as many symbols as it has edges, with the counts, sums and scores of words that are spelled one by one."""
+    rng = np.random.default_rng(7)
+    words = sorted({bytes(rng.integers(97, 100, rng.integers(0, 9)).astype(np.uint8)) for _ in range(900)} | {b"a" * 300, b"a" * 299 + b"b"})
+    edges = Counter((w[:i], s) for w in words for i, s in enumerate(w + b" "))
+    for order in (np.arange(len(words)), rng.permutation(len(words))):
+        own = [words[i] for i in order]
+        spelled = mixing.Spelled(pa.array(own, pa.binary()))
+        assert len(spelled.one) >= sum(mixing.CODE.size[s] for _, s in edges)
+        if own == words:
+            assert len(spelled.start) - 1 == len(edges)
+        times = rng.integers(0, 3, len(own))
+        counts = mixing.context_counts(spelled, times)
+        single = [mixing.Spelled(pa.array([w], pa.binary())) for w in own]
+        want = Counter()
+        for s, n in zip(single, times):
+            for slots in s.slots:
+                want.update({(k, b): m for (k, b), m in Counter(zip(s.keys[slots].tolist(), s.one.tolist())).items()} if n else {})
+        assert counts.sum() == sum(want.values())
+        assert all((counts[int(bit), np.searchsorted(spelled.keys, key)] == n) for (key, bit), n in want.items())
+        model = mixing.Model(rng.integers(-60, 60, len(spelled.keys)), rng.integers(0, 5, len(spelled.keys)), mixing.first_weights())
+        part = [mixing.Model(*(x[np.searchsorted(spelled.keys, s.keys)] for x in (model.stretch, model.known)), model.weights) for s in single]
+        assert mixing.Mixer(model, spelled).word_scores(model.weights) == pytest.approx(np.concatenate([mixing.Mixer(m, s).word_scores(m.weights) for m, s in zip(part, single)]))
+        for found, one in zip(mixing.newton_sums(model, spelled, times), zip(*(mixing.newton_sums(m, s, times[i : i + 1]) for i, (m, s) in enumerate(zip(part, single))))):
+            assert found == pytest.approx(sum(one))
+
+
 def test_spelled_words_are_a_distribution():
     """Each bit's two outcomes share one context, so a word's bits are a path in a binary tree; all words closed by a space sum to 1 at most."""
     model = mixing.Model(np.zeros(mixing.SLOTS, np.int8), np.zeros(mixing.SLOTS, np.int8), mixing.first_weights())
@@ -124,6 +151,12 @@ def test_packed_numbers_round_trip():
     assert (mixing._unplaned(mixing._planes(x)) == x.astype(np.uint64)).all()
 
 
+def test_packed_rows_round_trip():
+    x = np.array([0, 1, 255, 256, 1 << 40])
+    for rows in (np.stack([x, x[::-1] % 256, x * 0]), np.zeros((3, 0), np.int64)):
+        assert (mixing._unplaned(mixing._planes(rows)).reshape(rows.shape) == rows.astype(np.uint64)).all()
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     normal = [segment.MARK, "a", "b", "ab", f"{segment.MARK}a", f"{segment.MARK}ab", "ba", segment.MARK * 2, "é"]
