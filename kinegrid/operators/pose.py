@@ -1,10 +1,11 @@
 """Cleaning of positions and session kinematics. Rows are ordered by frame within their keys.
 
-All but ``clean_outliers`` are window expressions: one shuffle on the key, which later windows on it reuse.
+All but ``clean_outliers`` and the arc tangent of ``angular_measures`` are window expressions: one shuffle on the key, which later windows on it reuse.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -100,10 +101,21 @@ def heading_from_pair(df: DataFrame, dist: float = 50.0) -> DataFrame:
     )
 
 
+def _direction(x: Column, y: Column) -> Column:
+    """The C library's atan2(y, x). The JVM's differs in the last place, which says whether a step of half a turn goes left or right."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter(map(math.atan2, a.tolist(), b.tolist()), float, len(a)))
+
+    x, y = x.cast("double"), y.cast("double")
+    return F.when(x.isNotNull() & y.isNotNull(), run(y, x))
+
+
 def angular_measures(df: DataFrame, fps: float = RIG.framerate, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """Adds head_angle (wrapped), angle_unwrapped and ang_vel from vectors (hx, hy)."""
     w = by(*keys)
-    rows = df.withColumn("head_angle", wrap(F.atan2("hy", "hx")))
+    rows = df.withColumn("head_angle", wrap(_direction(F.col("hx"), F.col("hy"))))
     rows = rows.withColumn("_turn", F.coalesce(unwrap_step(F.col("head_angle") - F.lag("head_angle").over(w)), F.lit(0.0)))
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("angle_unwrapped", F.col("head_angle") + F.sum("_turn").over(running)).drop("_turn")

@@ -162,6 +162,23 @@ def test_unwrap_inverts_wrap(spark):
     assert got[3]["ang_vel"] == pytest.approx(22.5)
 
 
+def test_half_turns_go_where_the_c_library_says(spark):
+    rng = np.random.default_rng(3)
+    rows, angles = [], {}
+    for s in range(300):
+        hx, hy, sign = round(float(rng.uniform(-20, 20)), 2), int(rng.integers(0, 8)) + 0.5, rng.choice([-1, 1])
+        frames = [(round(20.5 + m * hx, 2) - 20.5, m * hy) for i in range(6) for m in [float(sign * (-1) ** i * rng.choice([1, 3, 5]))]]
+        rows += [(s, i, x, y) for i, (x, y) in enumerate(frames)]
+        a = np.array([math.atan2(y, x) for x, y in frames])
+        turned = a + math.pi
+        angles[s] = np.unwrap(turned - 2 * math.pi * np.floor(turned / (2 * math.pi)) - math.pi)
+    got = pose.angular_measures(spark.createDataFrame(rows, "session_id long, frame long, hx double, hy double")).collect()
+    assert len(got) == 1800
+    assert all(r["angle_unwrapped"] == pytest.approx(angles[r["session_id"]][r["frame"]], abs=1e-9) for r in got)
+    none = pose.angular_measures(spark.createDataFrame([(1, 0, None, 1.0), (1, 1, 1.0, 1.0)], "session_id long, frame long, hx double, hy double")).orderBy("frame").collect()
+    assert [r["head_angle"] for r in none] == [None, pytest.approx(math.pi / 4)]
+
+
 def test_lerp(spark):
     got = spark.range(1).select(*[expr.lerp_at(F.array(F.lit(0.0), F.lit(2.0), F.lit(6.0)), F.lit(a)).alias(str(i)) for i, a in enumerate((-1.0, 0.5, 1.5, 9.0))]).first()
     assert tuple(got) == (0.0, 1.0, 4.0, 6.0)
