@@ -1,6 +1,7 @@
 """Assertions on hand-made trials, and kernels against brute force."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -256,6 +257,50 @@ def locked(spark):
     return df.withColumn("event", F.when(F.col("idx") < 10, "in").otherwise("out")).withColumn("session_id", F.lit("s"))
 
 
+def plain_warps(q1, q2, t):
+    """The warps' dynamic programme, a slope's differences at a time; and the squared distance that is left."""
+    n, p, h = len(q2), len(t), t[1] - t[0]
+    cost, back = np.full((p, n, p), np.inf), np.zeros((p, n, p), int)
+    cost[0, :, 0] = 0.0
+    for i in range(1, p):
+        for s, (di, dj) in enumerate(registration.SLOPES):
+            if di <= i and dj < p:
+                at = np.arange(p - dj)[:, None] + np.arange(1, di + 1) * (dj / di)
+                lo = np.minimum(at.astype(int), p - 2)
+                moved = (q2[:, lo] + (q2[:, lo + 1] - q2[:, lo]) * (at - lo)) * math.sqrt(dj / di)
+                total = cost[i - di, :, : p - dj] + h * ((q1[:, None, i - di + 1 : i + 1] - moved) ** 2).sum(axis=2)
+                better = total < cost[i, :, dj:]
+                cost[i, :, dj:][better], back[i, :, dj:][better] = total[better], s
+    out = np.empty((n, p))
+    for r in range(n):
+        path = [(p - 1, p - 1)]
+        while path[-1][0]:
+            i, j = path[-1]
+            di, dj = registration.SLOPES[back[i, r, j]]
+            path.append((i - di, j - dj))
+        x, y = np.array(path[::-1]).T
+        out[r] = np.interp(t, t[0] + x * h, t[0] + y * h)
+    return out, cost[-1, :, -1]
+
+
+def test_warps_are_those_of_the_plain_programme_and_faster():
+    rng = np.random.default_rng(4)
+    for n, p in ((40, 3), (40, 6), (40, 20), (256, 50)):
+        t = np.linspace(0, 1, p)
+        a, b = (registration.srsf(np.cumsum(rng.normal(size=(n, p)), axis=1), t) for _ in range(2))
+        b[0] = a[0]
+        began = time.process_time()
+        want, left = plain_warps(a, b, t)
+        plain = time.process_time() - began
+        got = registration.best_warps(a, b, t)
+        assert np.allclose(got, want, atol=1e-9) and np.allclose(got[0], t)
+        assert left[0] == pytest.approx(0, abs=1e-9)
+        took = time.process_time() - began - plain
+        assert p < 50 or took < plain / 2
+    flat = np.stack([a, b], axis=1)
+    assert np.allclose(registration.best_warps(flat, flat, t), t)
+
+
 def test_groups_are_registered_as_if_alone(spark):
     df = locked(spark)
     rows, groups = registration.register_groups(df.repartition(5), ["session_id", "idx"], ["event"], max_iter=4)
