@@ -527,6 +527,31 @@ def test_kmedoids_reaches_the_inertia_of_a_distance_matrix(spark):
         medoids.kmedoids(df.limit(2), 3)
 
 
+def test_all_pairs_are_measured_block_by_block(spark, monkeypatch, tmp_path):
+    from kinegrid.plans import inference
+
+    monkeypatch.setattr(ml, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ml, "PAIR_ROWS", 10)
+    rng = np.random.default_rng(8)
+    y = rng.normal(size=(90, 12)).astype(np.float32).astype(float)
+    y[40:60] = y[3]
+    label = np.where(np.arange(90) == 7, 5, np.arange(90) % 3)
+    spark.createDataFrame([(i, c.tolist(), int(g)) for i, (c, g) in enumerate(zip(y, label, strict=True))], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    d = np.sqrt(((y[:, None] - y) ** 2).sum(axis=2))
+    total = np.stack([d[:, label == g].sum(axis=1) for g in (0, 1, 2, 5)], axis=1)
+    want = {}
+    for i in range(90):
+        own = (0, 1, 2, 5).index(label[i])
+        size = np.array([(label == g).sum() - (g == label[i]) for g in (0, 1, 2, 5)])
+        mean = total[i] / np.maximum(size, 1)
+        a, b = mean[own], np.delete(mean, own).min()
+        want[i] = (b - a) / max(a, b) if size[own] else 0.0
+    got = {r["i"]: r["s"] for r in inference.q38_silhouette(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1.1e-6) for i in got)
+    medoids_ = {r["cluster"]: r["medoid"] for r in inference.q38b_medoids(spark, str(tmp_path)).collect()}
+    assert medoids_ == {g: min(np.flatnonzero(label == g), key=lambda i: (round(d[i, label == g].sum(), 9), i)) for g in (0, 1, 2, 5)}
+
+
 def test_medoids_beyond_the_reference(spark, monkeypatch):
     monkeypatch.setattr(medoids, "REFERENCE", 8)
     monkeypatch.setattr(medoids, "CANDIDATES", 6)
