@@ -209,6 +209,23 @@ def test_shuffles_are_bijections_and_differ(spark):
     assert places.groupby("id")["to"].mean().between(10, 26).all()
 
 
+def test_replicates_as_tasks_and_as_rows_agree(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 50
+    g, e = np.arange(n) % 2, rng.integers(0, 2, n)
+    a = np.round(rng.random(n), 1)
+    b = np.round(a * (g + 0.2) + rng.random(n), 1)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, rng.integers(0, 4, n), g, e)], "a double, b double, c double, g double, e double")
+    df = df.union(spark.createDataFrame([(None, 1.0, 1.0, 1.0, 1.0), (0.5, 1.0, 1.0, 3.0, 1.0)], df.schema))
+    tests = [lambda: stats.perm_partial_p(df, "a", "b", "c", n_perm=300), lambda: stats.perm_diff_partial(df, "a", "b", "c", "g", n_perm=300), lambda: stats.perm_diff_biserial(df, "a", "e", "g", n_perm=300)]
+    tasks = [f() for f in tests]
+    assert tasks == [f() for f in tests]
+    monkeypatch.setattr(stats, "TASK_ROWS", 10)
+    for one, f in zip(tasks, tests, strict=True):
+        other = f()
+        assert one["observed"] == pytest.approx(other["observed"]) and abs(one["p"] - other["p"]) < 0.12
+
+
 def test_permutation_tests_against_numpy(spark):
     rng = np.random.default_rng(5)
     n = 60
