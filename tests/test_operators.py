@@ -523,6 +523,37 @@ def voronoi(d, k, start):
         chosen = new
 
 
+def test_move_split_merge_is_the_plain_programme_and_faster():
+    def split(x, y, z):
+        inside = ((y <= x) & (x <= z)) | ((z <= x) & (x <= y))
+        return np.where(inside, 1.0, 1.0 + np.minimum(np.abs(x - y), np.abs(x - z)))
+
+    def plain(a, b):
+        """All cells of all rows at once, a diagonal after the other."""
+        n, m = a.shape[1], len(b)
+        d = np.zeros((len(a), n, m))
+        d[:, 0, 0] = np.abs(a[:, 0] - b[0])
+        for i in range(1, n):
+            d[:, i, 0] = d[:, i - 1, 0] + split(a[:, i], a[:, i - 1], b[0])
+        for j in range(1, m):
+            d[:, 0, j] = d[:, 0, j - 1] + split(b[j], a[:, 0], b[j - 1])
+        for s in range(2, n + m - 1):
+            i = np.arange(max(1, s - m + 1), min(n - 1, s - 1) + 1)
+            j = s - i
+            up, side = d[:, i - 1, j] + split(a[:, i], a[:, i - 1], b[j]), d[:, i, j - 1] + split(b[j], a[:, i], b[j - 1])
+            d[:, i, j] = np.minimum(np.minimum(d[:, i - 1, j - 1] + np.abs(a[:, i] - b[j]), up), side)
+        return d[:, -1, -1]
+
+    rng = np.random.default_rng(9)
+    for rows, n, m in ((3, 1, 1), (3, 1, 4), (3, 4, 1), (5, 2, 3), (600, 13, 9), (2048, 32, 32)):
+        a, b = np.round(rng.normal(size=(rows, n)), 1), np.round(rng.normal(size=m), 1)
+        began = time.process_time()
+        want = plain(a, b)
+        took = time.process_time() - began
+        assert (distances.msm(a, b) == want).all()
+        assert rows < 2048 or time.process_time() - began - took < took / 1.5
+
+
 def test_kmedoids_reaches_the_inertia_of_a_distance_matrix(spark):
     x = blobs(spark)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, y array<double>")
