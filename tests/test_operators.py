@@ -403,6 +403,22 @@ def test_shift_lag(spark):
     assert got[2] - got[0] == pytest.approx(0.2, abs=0.03)
 
 
+def test_shifts_are_those_of_single_curves(spark):
+    rng = np.random.default_rng(2)
+    y, t, shifts = rng.random((40, 11)).cumsum(axis=1), np.linspace(0, 1, 11), np.linspace(-0.5, 0.5, 21)
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda c: (read.add(1), c)[1], "array<double>").asNondeterministic()
+    rows = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(y)], "idx long, y array<double>").select("idx", seen("y").alias("y"))
+    got = {r["idx"]: r["shift"] for r in fda.shift_lag(rows, steps=21, rounds=3).collect()}
+    mean = y.mean(axis=0)
+    for _ in range(3):
+        moved = np.array([[np.interp(t + s, t, c) for s in shifts] for c in y])
+        best = ((moved - mean) ** 2).sum(axis=2).argmin(axis=1)
+        mean = moved[np.arange(40), best].mean(axis=0)
+    assert got == {i: pytest.approx(shifts[k]) for i, k in enumerate(best)}
+    assert read.value == 40  # the curves are made once, not in every round
+
+
 def test_fpca_matches_numpy(spark):
     rng = np.random.default_rng(0)
     y = rng.random((30, 6))
